@@ -91,6 +91,10 @@ def canonical_url(url: Column) -> Column:
     return F.concat(scheme, prefix, path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
 
 
+# the text pattern with '\s' spelled out as Python's whitespace set
+URL_IN_TEXT_JVM = URL_IN_TEXT.replace(r"\s", WS_CLASS[1:-1])
+
+
 def extract_urls(text: Column) -> Column:
     """All URL matches of a text, in order (duplicates kept; see A9 for uniqueness)."""
-    return F.regexp_extract_all(text, F.lit(URL_IN_TEXT), 0)
+    return F.regexp_extract_all(text, F.lit(URL_IN_TEXT_JVM), 0)

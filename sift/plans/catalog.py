@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sift.plans import archive_plans as arc
+from sift.plans import coverage_plans as cov
 from sift.plans import curation
-from sift.plans import oracle_curation
+from sift.plans import oracle_archive, oracle_coverage, oracle_curation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_items": curation.q_score_items,
@@ -18,6 +20,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": curation.q_flagship,
     "digest_stats": curation.q_digest_stats,
     "category_rollup": curation.q_category_rollup,
+    "coverage_sources": cov.q_coverage_sources,
+    "coverage_by_status": cov.q_coverage_by_status,
+    "coverage_totals": cov.q_coverage_totals,
+    "coverage_missed": cov.q_coverage_missed,
+    "digest_with_coverage": cov.q_digest_with_coverage,
+    "latest_digest": arc.q_latest_digest,
+    "extract_urls": arc.q_extract_urls,
+    "next_digest_name": arc.q_next_digest_name,
 }
 
-ORACLE: dict[str, str] = dict(oracle_curation.ORACLE)
+ORACLE: dict[str, str] = {**oracle_curation.ORACLE, **oracle_coverage.ORACLE, **oracle_archive.ORACLE}

@@ -104,3 +104,76 @@ JOIN pages p ON p.page_id = d.doc_id % (SELECT count(*) FROM pages)
 """.replace("{cats}", CATEGORIES_SQL)
 
 SEEN_SQL = "SELECT url FROM pages WHERE starts_with(url, 'https://')"
+
+
+# --- coverage manifests from events -----------------------------------------
+# One manifest entry per event: the user is the source, the event type the
+# status (view ok, click empty, purchase timeout, error error, signup: no
+# status), the hour the scanner, the event id the position; a manifest holds
+# the events of one day.
+
+def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
+    et = F.col("event_type")
+    status = (F.when(et == "view", "ok").when(et == "click", "empty")
+               .when(et == "purchase", "timeout").when(et == "error", "error"))
+    return ev.select(
+        F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("manifest_ord"),
+        F.col("event_id").alias("entry_ord"),
+        F.concat(F.lit("scanner_"), F.lpad(F.hour("ts").cast("string"), 2, "0")).alias("scanner"),
+        F.concat(F.lit("source_"), F.col("user_id").cast("string")).alias("source_name"),
+        status.alias("status"),
+        F.when(et == "error", F.col("props")).alias("error"))
+
+
+MANIFEST_ENTRIES_SQL = """
+SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS manifest_ord,
+       event_id AS entry_ord,
+       'scanner_' || lpad(CAST(hour(ts) AS VARCHAR), 2, '0') AS scanner,
+       'source_' || CAST(user_id AS VARCHAR) AS source_name,
+       CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'empty'
+            WHEN 'purchase' THEN 'timeout' WHEN 'error' THEN 'error' END AS status,
+       CASE WHEN event_type = 'error' THEN props END AS error
+FROM events
+"""
+
+
+# --- digest archive from orders ---------------------------------------------
+# Each customer is an archive folder; each order leaves one file named by its
+# date, with suffix by order key: '' (base), '-2', '-3', '-1' (never blocks),
+# '.ko' (other edition, skipped) or '-notes' (not a digest).
+
+ARCHIVE_SUFFIXES = ("", "-2", "-3", "-1", ".ko", "-notes")
+
+
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    suf = F.element_at(F.array(*[F.lit(x) for x in ARCHIVE_SUFFIXES]),
+                       (F.col("o_orderkey") % len(ARCHIVE_SUFFIXES) + 1).cast("int"))
+    return o.select(F.col("o_custkey").alias("folder"),
+                    F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), suf, F.lit(".md")).alias("file_name"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"))
+
+
+ARCHIVE_FILES_SQL = """
+SELECT o_custkey AS folder,
+       strftime(o_orderdate, '%Y-%m-%d') || ['', '-2', '-3', '-1', '.ko', '-notes'][CAST(o_orderkey % 6 AS INTEGER) + 1] || '.md' AS file_name,
+       strftime(o_orderdate, '%Y-%m-%d') AS order_date
+FROM orders
+"""
+
+
+def url_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their item URL spliced in three times (start, inside a
+    parenthesis, with a trailing comma) so extraction sees repeats and stops."""
+    it = items(spark, sf_dir).select("doc_id", "url")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.join(it, "doc_id").select(
+        "doc_id", F.concat(F.col("url"), F.lit(" "), F.col("text"), F.lit(" ("), F.col("url"),
+                           F.lit(") and "), F.col("url"), F.lit(", end")).alias("text"))
+
+
+URL_TEXTS_SQL = f"""
+SELECT d.doc_id, i.url || ' ' || d.text || ' (' || i.url || ') and ' || i.url || ', end' AS text
+FROM documents d JOIN ({ITEMS_SQL}) i ON i.doc_id = d.doc_id
+"""

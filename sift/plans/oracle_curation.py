@@ -39,7 +39,12 @@ QUALIFY rank <= 25
 """
 
 
-def digest_sql(cap: int, date: str = "2026-03-17", generated: str = "2026-03-17 06:00") -> str:
+def digest_sql(cap: int, date: str = "2026-03-17", generated: str = "2026-03-17 06:00",
+               sweep_num: int | None = None, coverage_line: bool = False) -> str:
+    """Digest lines; with ``coverage_line`` the footer leaves line 2 to a
+    coverage line the caller unions in."""
+    tag = f" (sweep #{sweep_num})" if sweep_num else ""
+    g = 3 if coverage_line else 2
     capped = (f"SELECT * FROM ({KEPT}) k ORDER BY weighted DESC, input_ord LIMIT {cap}"
               if cap > 0 else f"SELECT * FROM ({KEPT}) k")
     sec = (f"SELECT *, CASE WHEN verdict = 'MUST READ' THEN 1 "
@@ -72,7 +77,7 @@ def digest_sql(cap: int, date: str = "2026-03-17", generated: str = "2026-03-17
               (12, 0, 0, "'---'", None),
               (12, 0, 1, "'Items scanned: ' || (SELECT count(*) FROM items) || ' | Passed: ' || passed "
                          "|| ' | Must-reads: ' || must_reads", None),
-              (12, 0, 2, q(f"Generated: {generated} UTC"), None), (12, 0, 3, "''", None)]
+              (12, 0, g, q(f"Generated: {generated} UTC{tag}"), None), (12, 0, g + 1, "''", None)]
     fixed_sql = " UNION ALL ".join(
         f"SELECT {s} AS section_ord, {p} AS part, CAST(NULL AS DOUBLE) AS weighted, "
         f"CAST(NULL AS BIGINT) AS input_ord, {lo} AS line_ord, {e} AS line FROM stats"
