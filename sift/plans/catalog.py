@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sift.plans import archive_plans as arc
 from sift.plans import coverage_plans as cov
 from sift.plans import curation
-from sift.plans import oracle_archive, oracle_coverage, oracle_curation
+from sift.plans import intake_plans as intake
+from sift.plans import oracle_archive, oracle_coverage, oracle_curation, oracle_intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_items": curation.q_score_items,
@@ -28,6 +29,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_digest": arc.q_latest_digest,
     "extract_urls": arc.q_extract_urls,
     "next_digest_name": arc.q_next_digest_name,
+    "parse_dates": intake.q_parse_dates,
+    "timeframe_cutoffs": intake.q_timeframe_cutoffs,
+    "registry_tiers": intake.q_registry_tiers,
+    "registry_listing": intake.q_registry_listing,
+    "sources_per_tier": intake.q_sources_per_tier,
+    "registry_reconcile": intake.q_registry_reconcile,
+    "source_enrichment": intake.q_source_enrichment,
+    "feed_items": intake.q_feed_items,
+    "feed_quarantine": intake.q_feed_quarantine,
+    "feed_health": intake.q_feed_health,
+    "feed_health_counts": intake.q_feed_health_counts,
+    "summary_truncation": intake.q_summary_truncation,
 }
 
-ORACLE: dict[str, str] = {**oracle_curation.ORACLE, **oracle_coverage.ORACLE, **oracle_archive.ORACLE}
+ORACLE: dict[str, str] = {**oracle_curation.ORACLE, **oracle_coverage.ORACLE, **oracle_archive.ORACLE,
+                         **oracle_intake.ORACLE}

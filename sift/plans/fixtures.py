@@ -177,3 +177,176 @@ URL_TEXTS_SQL = f"""
 SELECT d.doc_id, i.url || ' ' || d.text || ' (' || i.url || ') and ' || i.url || ', end' AS text
 FROM documents d JOIN ({ITEMS_SQL}) i ON i.doc_id = d.doc_id
 """
+
+
+# --- source registry from supplier ------------------------------------------
+# slug 'src<suppkey>' (documents name their source that way), tier by nation,
+# a feed unless the balance is negative, a site for every source.
+
+TIERS = ("1", "2", "3", "3b", "4", "5", "6", "7", "8")
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    key = F.col("s_suppkey").cast("string")
+    return s.select(
+        F.concat(F.lit("src"), key).alias("slug"),
+        F.col("s_name").alias("name"),
+        F.concat(F.lit("https://site"), key, F.lit(".example.com/")).alias("site_url"),
+        F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("https://feeds.example/src"), key, F.lit(".xml"))).alias("feed_url"),
+        F.element_at(F.array(*[F.lit(t) for t in TIERS]), (F.col("s_nationkey") % 9 + 1).cast("int")).alias("tier"))
+
+
+REGISTRY_SQL = """
+SELECT 'src' || s_suppkey AS slug, s_name AS name,
+       'https://site' || s_suppkey || '.example.com/' AS site_url,
+       CASE WHEN s_acctbal >= 0 THEN 'https://feeds.example/src' || s_suppkey || '.xml' END AS feed_url,
+       ['1','2','3','3b','4','5','6','7','8'][CAST(s_nationkey % 9 AS INTEGER) + 1] AS tier
+FROM supplier
+"""
+
+
+def registry_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second copy of the registry that drifted: by supplier key, 3 → gone,
+    5 → renamed, 7 → other tier; plus every nation as a new source."""
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey")
+    reg = registry(spark, sf_dir).withColumn("k", F.regexp_extract("slug", r"\d+", 0).cast("bigint") % 10)
+    reg = (reg.where(F.col("k") != 3)
+              .withColumn("name", F.when(F.col("k") == 5, F.concat(F.col("name"), F.lit(" Labs"))).otherwise(F.col("name")))
+              .withColumn("tier", F.when(F.col("k") == 7, F.lit("3b")).otherwise(F.col("tier")))
+              .drop("k"))
+    del s
+    n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    extra = n.select(F.concat(F.lit("nat"), F.col("n_nationkey").cast("string")).alias("slug"),
+                     F.col("n_name").alias("name"), F.lit(None).cast("string").alias("site_url"),
+                     F.lit(None).cast("string").alias("feed_url"), F.lit("8").alias("tier"))
+    return reg.unionByName(extra)
+
+
+REGISTRY_COPY_SQL = f"""
+SELECT slug, CASE WHEN k = 5 THEN name || ' Labs' ELSE name END AS name, site_url, feed_url,
+       CASE WHEN k = 7 THEN '3b' ELSE tier END AS tier
+FROM (SELECT *, CAST(regexp_extract(slug, '\\d+', 0) AS BIGINT) % 10 AS k FROM ({REGISTRY_SQL}) r) t
+WHERE k <> 3
+UNION ALL
+SELECT 'nat' || n_nationkey, n_name, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), '8' FROM nation
+"""
+
+
+# --- landed feed snapshots from documents -------------------------------------
+# A snapshot holds the documents of one source with the same doc_id div 8
+# (at most 8 items).  By that bucket mod 5: 0 Atom, 1 RSS 1.0/RDF, 4 cut in
+# half (malformed), else RSS 2.0.  Item: title, item URL, the source as
+# author (dc:creator for even ids), a date 2026-03-16 minus doc_id mod 365
+# days at 10:00 (French texts carry an unreadable date), the text as
+# description; Atom entries carry a self link first, summary or content by
+# parity, and Spanish ones a video id.
+
+SNAPSHOT_BUCKET = 8
+
+
+def _esc(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def feed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    it = items(spark, sf_dir).select("doc_id", "title", "url")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    d = docs.join(it, "doc_id")
+    bucket = F.floor(F.col("doc_id") / SNAPSHOT_BUCKET).cast("bigint")
+    day = F.date_sub(F.lit(ITEM_DATE_BASE).cast("date"), (F.col("doc_id") % 365).cast("int"))
+    rss_date = F.when(F.col("lang") == "fr", F.lit("recently")).otherwise(
+        F.concat(F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" 10:00:00 GMT")))
+    iso_date = F.when(F.col("lang") == "fr", F.lit("recently")).otherwise(
+        F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:00:00Z")))
+    text = _esc(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\r]", ""))
+    even = F.col("doc_id") % 2 == 0
+    who = F.when(even, F.lit("dc:creator")).otherwise(F.lit("author"))
+    rss_item = F.concat(
+        F.lit("<item><title>"), _esc(F.col("title")), F.lit("</title><link>"), _esc(F.col("url")),
+        F.lit("</link><"), who, F.lit(">"), F.col("source"), F.lit("</"), who, F.lit("><pubDate>"),
+        rss_date, F.lit("</pubDate><description>"), text, F.lit("</description></item>"))
+    when_tag = F.when(even, F.lit("published")).otherwise(F.lit("updated"))
+    body_tag = F.when(even, F.lit("summary")).otherwise(F.lit("content"))
+    atom_entry = F.concat(
+        F.lit("<entry><title>"), _esc(F.col("title")),
+        F.lit("</title><link rel=\"self\" href=\"https://feeds.example/self/"), F.col("doc_id").cast("string"),
+        F.lit("\"/><link href=\""), F.replace(_esc(F.col("url")), F.lit("\""), F.lit("&quot;")),
+        F.lit("\"/><author><name>"), F.col("source"), F.lit("</name></author><"), when_tag, F.lit(">"),
+        iso_date, F.lit("</"), when_tag, F.lit("><"), body_tag, F.lit(">"), text, F.lit("</"), body_tag, F.lit(">"),
+        F.when(F.col("lang") == "es", F.concat(F.lit("<yt:videoId>v"), F.col("doc_id").cast("string"),
+                                                F.lit("</yt:videoId>"))).otherwise(F.lit("")),
+        F.lit("</entry>"))
+    fmt = F.when(bucket % 5 == 0, F.lit("atom")).when(bucket % 5 == 1, F.lit("rdf")) \
+           .when(bucket % 5 == 4, F.lit("bad")).otherwise(F.lit("rss"))
+    g = (d.select("source", bucket.alias("snapshot_ord"), fmt.alias("kind"),
+                  F.struct("doc_id", F.when(fmt == "atom", atom_entry).otherwise(rss_item).alias("x")).alias("e"))
+          .groupBy("source", "snapshot_ord", "kind")
+          .agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), "").alias("inner")))
+    full = (F.when(F.col("kind") == "atom", F.concat(
+                F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:yt="http://www.youtube.com/xml/schemas/2015">'),
+                F.col("inner"), F.lit("</feed>")))
+             .when(F.col("kind") == "rdf", F.concat(
+                F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/">'),
+                F.col("inner"), F.lit("</rdf:RDF>")))
+             .otherwise(F.concat(
+                F.lit('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>feed</title>'),
+                F.col("inner"), F.lit("</channel></rss>"))))
+    body = F.when(F.col("kind") == "bad", F.substring(full, 1, (F.length(full) / 2).cast("int"))).otherwise(full)
+    return g.select(F.concat(F.lit("https://feeds.example/"), F.col("source"), F.lit(".xml")).alias("feed_url"),
+                    "snapshot_ord", body.alias("body"))
+
+
+# expected items of the snapshots, straight from the documents
+FEED_ITEMS_SQL = f"""
+SELECT 'https://feeds.example/' || d.source || '.xml' AS feed_url, d.doc_id // 8 AS snapshot_ord,
+       CASE (d.doc_id // 8) % 5 WHEN 0 THEN 'atom' WHEN 1 THEN 'rdf' WHEN 4 THEN 'bad' ELSE 'rss' END AS format,
+       CAST(row_number() OVER (PARTITION BY d.source, d.doc_id // 8 ORDER BY d.doc_id) - 1 AS INTEGER) AS item_pos,
+       d.doc_id, d.lang, d.source, trim(i.title) AS title, i.url,
+       CASE WHEN d.lang = 'fr' THEN 'recently'
+            WHEN (d.doc_id // 8) % 5 = 0 THEN strftime(DATE '2026-03-16' - CAST(d.doc_id % 365 AS INTEGER), '%Y-%m-%d') || 'T10:00:00Z'
+            ELSE strftime(DATE '2026-03-16' - CAST(d.doc_id % 365 AS INTEGER), '%a, %d %b %Y') || ' 10:00:00 GMT' END AS date,
+       DATE '2026-03-16' - CAST(d.doc_id % 365 AS INTEGER) AS day,
+       trim(regexp_replace(d.text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r]', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS clean_text
+FROM documents d JOIN ({ITEMS_SQL}) i ON i.doc_id = d.doc_id
+"""
+
+
+# --- date texts and timeframes from events -------------------------------------
+# The event time written in one of ten styles by event_id mod 10: RFC 2822
+# with GMT, with +0900 (local time shifted), with -0000; ISO with Z, with
+# +09:00, with milliseconds; 'yyyy-MM-dd HH:mm:ss'; date only; '2024'; 'junk'.
+# Timeframe texts by event type: view 'Nd', click 'Nh', purchase 'N weeks',
+# error '1 Month' / ' 2 years ', signup 'soon' (N from the user id).
+
+EVENTS_NOW = "2024-01-31 00:00:00"
+
+
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts")
+    ts = F.col("ts")
+    plus9 = ts + F.expr("INTERVAL 9 HOURS")
+    k = F.col("event_id") % 10
+    txt = (F.when(k == 0, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+            .when(k == 1, F.concat(F.date_format(plus9, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0900")))
+            .when(k == 2, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" -0000")))
+            .when(k == 3, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+            .when(k == 4, F.date_format(plus9, "yyyy-MM-dd'T'HH:mm:ss'+09:00'"))
+            .when(k == 5, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+            .when(k == 6, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+            .when(k == 7, F.date_format(ts, "yyyy-MM-dd"))
+            .when(k == 8, F.date_format(ts, "yyyy"))
+            .otherwise(F.lit("junk")))
+    return ev.select("event_id", txt.alias("date_text"))
+
+
+def timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    u, et = F.col("user_id"), F.col("event_type")
+    tf = (F.when(et == "view", F.concat((u % 10 + 1).cast("string"), F.lit("d")))
+           .when(et == "click", F.concat((u % 48 + 1).cast("string"), F.lit("h")))
+           .when(et == "purchase", F.concat((u % 3 + 1).cast("string"), F.lit(" weeks")))
+           .when(et == "error", F.when(u % 2 == 0, F.lit("1 Month")).otherwise(F.lit(" 2 years ")))
+           .otherwise(F.lit("soon")))
+    return ev.select("event_id", "ts", tf.alias("timeframe"))
