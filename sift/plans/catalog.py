@@ -10,7 +10,8 @@ from sift.plans import archive_plans as arc
 from sift.plans import coverage_plans as cov
 from sift.plans import curation
 from sift.plans import intake_plans as intake
-from sift.plans import oracle_archive, oracle_coverage, oracle_curation, oracle_intake
+from sift.plans import json_plans as jsonq
+from sift.plans import oracle_archive, oracle_coverage, oracle_curation, oracle_intake, oracle_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_items": curation.q_score_items,
@@ -41,7 +42,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feed_health": intake.q_feed_health,
     "feed_health_counts": intake.q_feed_health_counts,
     "summary_truncation": intake.q_summary_truncation,
+    "json_recovery": jsonq.q_json_recovery,
+    "json_strict_items": jsonq.q_json_strict_items,
+    "json_recovery_stats": jsonq.q_json_recovery_stats,
+    "envelope_settings": jsonq.q_envelope_settings,
 }
 
 ORACLE: dict[str, str] = {**oracle_curation.ORACLE, **oracle_coverage.ORACLE, **oracle_archive.ORACLE,
-                         **oracle_intake.ORACLE}
+                         **oracle_intake.ORACLE, **oracle_json.ORACLE}
