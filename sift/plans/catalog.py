@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sift.plans import archive_plans as arc
+from sift.plans import caption_plans as capq
 from sift.plans import coverage_plans as cov
 from sift.plans import curation
 from sift.plans import intake_plans as intake
 from sift.plans import json_plans as jsonq
-from sift.plans import oracle_archive, oracle_coverage, oracle_curation, oracle_intake, oracle_json
+from sift.plans import oracle_archive, oracle_captions, oracle_coverage, oracle_curation, oracle_intake, oracle_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_items": curation.q_score_items,
@@ -46,7 +47,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_strict_items": jsonq.q_json_strict_items,
     "json_recovery_stats": jsonq.q_json_recovery_stats,
     "envelope_settings": jsonq.q_envelope_settings,
+    "caption_lines_kept": capq.q_caption_lines_kept,
+    "caption_transcripts": capq.q_caption_transcripts,
+    "preferred_caption_file": capq.q_preferred_caption_file,
+    "audio_segments": capq.q_audio_segments,
+    "assembled_transcripts": capq.q_assembled_transcripts,
+    "transcript_choice": capq.q_transcript_choice,
+    "caption_outcomes": capq.q_caption_outcomes,
+    "media_metadata": capq.q_media_metadata,
+    "strip_tags": capq.q_strip_tags,
 }
 
 ORACLE: dict[str, str] = {**oracle_curation.ORACLE, **oracle_coverage.ORACLE, **oracle_archive.ORACLE,
-                         **oracle_intake.ORACLE, **oracle_json.ORACLE}
+                         **oracle_intake.ORACLE, **oracle_json.ORACLE,
+                         **oracle_captions.ORACLE}

@@ -404,3 +404,92 @@ SELECT event_id // 5 AS msg_id, (event_id // 5) % 8 AS kind, CAST(event_id % 5 A
        CASE WHEN (event_id // 5) % 8 = 6 AND event_id % 2 = 1 THEN NULL ELSE 'user ' || user_id END AS source_name
 FROM events
 """
+
+
+# --- caption files from conversations ------------------------------------------
+# Each conversation is a video (media_id = conv_id).  Its caption file: a
+# WEBVTT header, then per turn a cue number, a cue time, the text lines
+# (assistant lines wrapped in a voice tag; turn 2 opens with a line starting
+# 'NOTE', which mutes the rest of that turn), after turn 1 its first line once
+# more and a two-line NOTE block closed by a blank, then a blank.
+# Videos with conv_id mod 3 = 0 have no caption file; with mod 7 = 0 the file
+# holds no speech.  Caption fetches fail for conv_id mod 11 = 0.
+
+def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    cv = cv.where(F.col("conv_id") % 3 != 0)
+    t = F.col("turn")
+    raw = F.split(F.col("text"), "\n")
+    raw = F.when(t == 2, F.concat(F.array(F.concat(F.lit("NOTE that "), F.element_at(raw, 1))),
+                                  F.slice(raw, 2, 1 << 20))).otherwise(raw)
+    spoken = F.when(F.col("role") == "assistant",
+                    F.transform(raw, lambda x: F.concat(F.lit("<v Assistant>"), x, F.lit("</v>")))).otherwise(raw)
+    spoken = F.when(F.col("conv_id") % 7 == 0, F.array().cast("array<string>")).otherwise(spoken)
+    repeat = F.when(t == 1, F.slice(spoken, 1, 1)).otherwise(F.array().cast("array<string>"))
+    note = F.when(t == 1, F.array(F.lit("NOTE generated by the fixture"), F.lit("second note line"), F.lit(""))) \
+            .otherwise(F.array().cast("array<string>"))
+    cue = F.array((t + 1).cast("string"),
+                  F.concat(F.lit("00:"), F.lpad(t.cast("string"), 2, "0"), F.lit(":00.000 --> 00:"),
+                           F.lpad((t + 1).cast("string"), 2, "0"), F.lit(":00.000")))
+    block = F.concat(cue, spoken, repeat, note, F.array(F.lit("")))
+    body = cv.select(F.col("conv_id").alias("media_id"), t, F.posexplode(block).alias("pos", "line")) \
+             .select("media_id", (t * 1000 + F.col("pos")).cast("bigint").alias("line_no"), "line")
+    header = cv.where(t == 0).select(F.col("conv_id").alias("media_id"), F.lit(-1).cast("bigint").alias("line_no"),
+                                     F.lit("WEBVTT").alias("line"))
+    return header.unionByName(body)
+
+
+CAPTION_LINES_SQL = """
+WITH cv AS (SELECT * FROM conversations WHERE conv_id % 3 <> 0),
+b AS (
+  SELECT conv_id, turn,
+    [CAST(turn + 1 AS VARCHAR), '00:' || lpad(CAST(turn AS VARCHAR), 2, '0') || ':00.000 --> 00:' || lpad(CAST(turn + 1 AS VARCHAR), 2, '0') || ':00.000']
+    || CASE WHEN conv_id % 7 = 0 THEN []::VARCHAR[] ELSE sp END
+    || CASE WHEN turn = 1 AND conv_id % 7 <> 0 THEN sp[1:1] ELSE []::VARCHAR[] END
+    || CASE WHEN turn = 1 THEN ['NOTE generated by the fixture', 'second note line', ''] ELSE []::VARCHAR[] END
+    || [''] AS block
+  FROM (SELECT *, CASE WHEN role = 'assistant' THEN list_transform(rw, lambda x: '<v Assistant>' || x || '</v>') ELSE rw END AS sp
+        FROM (SELECT *, CASE WHEN turn = 2 THEN ['NOTE that ' || string_split(text, chr(10))[1]] || string_split(text, chr(10))[2:]
+                             ELSE string_split(text, chr(10)) END AS rw FROM cv) r) s)
+SELECT conv_id AS media_id, CAST(-1 AS BIGINT) AS line_no, 'WEBVTT' AS line FROM cv WHERE turn = 0
+UNION ALL
+SELECT conv_id, CAST(turn * 1000 + generate_subscripts(block, 1) - 1 AS BIGINT), unnest(block) FROM b
+"""
+
+
+def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files left by a caption download: one per turn, extension by (conv + turn) mod 7."""
+    cv = read_table(spark, sf_dir, "conversations", "conv_id", "turn")
+    exts = (".en.vtt", ".en-orig.vtt", ".vtt", ".en.srt", ".srt", ".txt", ".en.vtt.part")
+    ext = F.element_at(F.array(*[F.lit(e) for e in exts]), ((F.col("conv_id") + F.col("turn")) % 7 + 1).cast("int"))
+    return cv.select(F.col("conv_id").alias("media_id"),
+                     F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_t"),
+                              F.col("turn").cast("string"), ext).alias("file_name"))
+
+
+CAPTION_FILES_SQL = """
+SELECT conv_id AS media_id,
+       'c' || conv_id || '_t' || turn || ['.en.vtt', '.en-orig.vtt', '.vtt', '.en.srt', '.srt', '.txt', '.en.vtt.part'][CAST((conv_id + turn) % 7 AS INTEGER) + 1] AS file_name
+FROM conversations
+"""
+
+
+def media_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two metadata export shapes per video: a search export (url, uploader or
+    only channel, description) and a caption-tool export (webpage_url)."""
+    cv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    first = cv.where(F.col("turn") == 0)
+    cid = F.col("conv_id").cast("string")
+    search = first.where(F.col("conv_id") % 2 == 0).select(
+        F.col("conv_id").alias("media_id"), F.concat(F.lit("Talk "), cid).alias("title"),
+        F.when(F.col("conv_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("https://video.example/w/"), cid)).alias("url"),
+        F.when(F.col("conv_id") % 6 == 0, F.lit(None)).otherwise(F.concat(F.lit("host "), cid)).alias("uploader"),
+        F.concat(F.lit("channel "), cid).alias("channel"),
+        F.lit("20240101").alias("upload_date"), (F.length("text") * 0.5).alias("duration"),
+        (F.col("conv_id") * 10).alias("view_count"), F.col("text").alias("description"))
+    tool = first.where(F.col("conv_id") % 2 == 1).select(
+        F.col("conv_id").alias("media_id"), F.concat(F.lit("Talk "), cid).alias("title"),
+        F.concat(F.lit("https://video.example/w/"), cid).alias("webpage_url"),
+        F.concat(F.lit("host "), cid).alias("uploader"),
+        F.lit("20240102").alias("upload_date"), (F.length("text") * 0.5).alias("duration"))
+    return search.unionByName(tool, allowMissingColumns=True)
