@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sift.session import ensure_checkpoint_dir
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's behaviour.
 BATCH_TRIGGER = 50     # up to this many items → one batch
@@ -42,6 +44,7 @@ def dense_order(df: DataFrame, order_col: str, out_col: str = "ord",
     partition, computed with plain column arithmetic.  Returns the frame
     and the total row count.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
     ranged = df.repartitionByRange(n, F.col(order_col)).sortWithinPartitions(order_col)
     ranged = ranged.checkpoint(eager=True)

@@ -12,7 +12,9 @@ from sift.plans import coverage_plans as cov
 from sift.plans import curation
 from sift.plans import intake_plans as intake
 from sift.plans import json_plans as jsonq
+from sift.plans import rule_plans as ruleq
 from sift.plans import oracle_archive, oracle_captions, oracle_coverage, oracle_curation, oracle_intake, oracle_json
+from sift.plans import oracle_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_items": curation.q_score_items,
@@ -56,8 +58,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "caption_outcomes": capq.q_caption_outcomes,
     "media_metadata": capq.q_media_metadata,
     "strip_tags": capq.q_strip_tags,
+    "url_specificity": ruleq.q_url_specificity,
+    "max_age": ruleq.q_max_age,
+    "style_flags": ruleq.q_style_flags,
+    "cross_source_boost": ruleq.q_cross_source_boost,
+    "scan_funnel": ruleq.q_scan_funnel,
+    "batches": ruleq.q_batches,
 }
 
 ORACLE: dict[str, str] = {**oracle_curation.ORACLE, **oracle_coverage.ORACLE, **oracle_archive.ORACLE,
                          **oracle_intake.ORACLE, **oracle_json.ORACLE,
-                         **oracle_captions.ORACLE}
+                         **oracle_captions.ORACLE, **oracle_rules.ORACLE}
