@@ -13,8 +13,9 @@ from sift.plans import curation
 from sift.plans import intake_plans as intake
 from sift.plans import json_plans as jsonq
 from sift.plans import rule_plans as ruleq
+from sift.plans import story_plans as storyq
 from sift.plans import oracle_archive, oracle_captions, oracle_coverage, oracle_curation, oracle_intake, oracle_json
-from sift.plans import oracle_rules
+from sift.plans import oracle_rules, oracle_stories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_items": curation.q_score_items,
@@ -64,8 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cross_source_boost": ruleq.q_cross_source_boost,
     "scan_funnel": ruleq.q_scan_funnel,
     "batches": ruleq.q_batches,
+    "story_groups": storyq.q_story_groups,
+    "best_per_story": storyq.q_best_per_story,
 }
 
 ORACLE: dict[str, str] = {**oracle_curation.ORACLE, **oracle_coverage.ORACLE, **oracle_archive.ORACLE,
                          **oracle_intake.ORACLE, **oracle_json.ORACLE,
-                         **oracle_captions.ORACLE, **oracle_rules.ORACLE}
+                         **oracle_captions.ORACLE, **oracle_rules.ORACLE,
+                         **oracle_stories.ORACLE}
