@@ -14,8 +14,9 @@ from sift.plans import intake_plans as intake
 from sift.plans import json_plans as jsonq
 from sift.plans import rule_plans as ruleq
 from sift.plans import story_plans as storyq
+from sift.plans import stream_plans as streamq
 from sift.plans import oracle_archive, oracle_captions, oracle_coverage, oracle_curation, oracle_intake, oracle_json
-from sift.plans import oracle_rules, oracle_stories
+from sift.plans import oracle_rules, oracle_stories, oracle_streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_items": curation.q_score_items,
@@ -67,9 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batches": ruleq.q_batches,
     "story_groups": storyq.q_story_groups,
     "best_per_story": storyq.q_best_per_story,
+    "stream_intake": streamq.q_stream_intake,
+    "stream_window_counts": streamq.q_stream_window_counts,
+    "stream_latest_status": streamq.q_stream_latest_status,
 }
 
 ORACLE: dict[str, str] = {**oracle_curation.ORACLE, **oracle_coverage.ORACLE, **oracle_archive.ORACLE,
                          **oracle_intake.ORACLE, **oracle_json.ORACLE,
                          **oracle_captions.ORACLE, **oracle_rules.ORACLE,
-                         **oracle_stories.ORACLE}
+                         **oracle_stories.ORACLE, **oracle_streams.ORACLE}

@@ -114,6 +114,11 @@ SEEN_SQL = "SELECT url FROM pages WHERE starts_with(url, 'https://')"
 
 def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
+    return manifest_entries_from(ev)
+
+
+def manifest_entries_from(ev: DataFrame) -> DataFrame:
+    """The manifest rule over an events frame (batch or stream)."""
     et = F.col("event_type")
     status = (F.when(et == "view", "ok").when(et == "click", "empty")
                .when(et == "purchase", "timeout").when(et == "error", "error"))
@@ -123,7 +128,8 @@ def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("scanner_"), F.lpad(F.hour("ts").cast("string"), 2, "0")).alias("scanner"),
         F.concat(F.lit("source_"), F.col("user_id").cast("string")).alias("source_name"),
         status.alias("status"),
-        F.when(et == "error", F.col("props")).alias("error"))
+        F.when(et == "error", F.col("props")).alias("error"),
+        F.col("ts").cast("timestamp").alias("event_ts"))
 
 
 MANIFEST_ENTRIES_SQL = """

@@ -17,3 +17,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """File stream over one table file.
+
+    A file stream watches a folder or a glob; ``name[s]``-style brackets make
+    a glob that matches exactly this one file, with its folder as base path.
+    On a cluster the stream would watch a landing folder instead.
+    """
+    base = sf_dir.rstrip("/")
+    schema = read_table(spark, sf_dir, name).schema
+    return (spark.readStream.schema(schema).option("basePath", base)
+                 .parquet(f"{base}/{name[:-1]}[{name[-1]}].parquet"))
