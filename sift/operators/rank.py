@@ -14,17 +14,24 @@ BATCH_SIZE = 20        # otherwise batches of 20 in input order
 # ---------------------------------------------------------------------------
 
 
-def top_n(items: DataFrame, n: int, order_col: str = "input_ord") -> DataFrame:
+def top_n(items: DataFrame, n: int, order_col: str = "input_ord", materialize: bool = False) -> DataFrame:
     """G1: best ``n`` by weighted (missing = 0), ties in input order.
 
     ``n <= 0`` returns the input untouched and unsorted.  The plan is a
     TakeOrderedAndProject: each task keeps its own top ``n`` and only
-    ``n × tasks`` rows meet in the final merge.
+    ``n × tasks`` rows meet in the final merge.  With ``materialize`` the
+    ``n`` rows are checkpointed once, so a caller that reads them twice does
+    not get a second plan (used under an aggregate, Spark would otherwise
+    range-sort every row before the limit).
     """
     if n <= 0:
         return items
-    return (items.orderBy(F.coalesce(F.col("weighted"), F.lit(0.0)).desc(), F.col(order_col).asc())
-                 .limit(n))
+    top = (items.orderBy(F.coalesce(F.col("weighted"), F.lit(0.0)).desc(), F.col(order_col).asc())
+                .limit(n))
+    if materialize:
+        ensure_checkpoint_dir(items.sparkSession)
+        top = top.checkpoint(eager=True)
+    return top
 
 
 def top_n_ranked(items: DataFrame, n: int, order_col: str = "input_ord") -> DataFrame:

@@ -58,7 +58,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest(spark: SparkSession, sf_dir: str, cap: int, coverage: DataFrame | None = None,
            sweep_num: int | None = None) -> DataFrame:
-    kept = top_n(kept_items(spark, sf_dir), cap)
+    kept = top_n(kept_items(spark, sf_dir), cap, materialize=True)
     return dg.render(kept, DIGEST_DATE, scanned=_scanned(spark, sf_dir), coverage=coverage,
                      sweep_num=sweep_num, generated_at=GENERATED_AT)
 

@@ -39,12 +39,13 @@ _KEY = "struct_pack(p := coalesce(is_primary, false), w := coalesce(weighted, 0.
 
 BEST = f"""
 WITH RECURSIVE {_ctes()},
-it AS (SELECT s.*, g.story_id, reg.tier IN ('1', '2', '3') AS is_primary
+it AS (SELECT s.*, g.story_id, coalesce(reg.tier IN ('1', '2', '3'), false) AS is_primary
        FROM ({SCORED}) s JOIN grp g ON g.id = s.doc_id
        LEFT JOIN ({REGISTRY_SQL}) reg ON reg.slug = s.source_name)
-SELECT story_id, arg_max(doc_id, {_KEY}) AS doc_id, arg_max(weighted, {_KEY}) AS weighted,
-       arg_max(is_primary, {_KEY}) AS is_primary, count(*) AS n_items
-FROM it GROUP BY story_id
+SELECT story_id, b.d AS doc_id, b.w AS weighted, b.p AS is_primary, n_items FROM (
+  SELECT story_id, arg_max(struct_pack(d := doc_id, w := weighted, p := is_primary), {_KEY}) AS b,
+         count(*) AS n_items
+  FROM it GROUP BY story_id) t
 """
 
 ORACLE = {

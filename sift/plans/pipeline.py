@@ -19,9 +19,10 @@ from sift.sources import archive as ar
 
 def _archive_lines(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.text(path)
+        lines = spark.read.text(path)
     except Exception:  # noqa: BLE001 - no archive yet
         return None
+    return lines if "digest_date" in lines.columns else None   # an empty folder is no archive
 
 
 def latest_seen(spark: SparkSession, archive_path: str, keys: list[str]) -> DataFrame | None:
@@ -52,7 +53,7 @@ def run_pipeline(spark: SparkSession, items: DataFrame, archive_path: str, date_
     if max_items > 0:
         if keys:
             raise ValueError("a per-key cap is a top-k per group; pass one digest at a time")
-        kept = top_n(kept, max_items)
+        kept = top_n(kept, max_items, materialize=True)
     lines = dg.render(kept, date_str, keys=keys, scanned=scanned,
                       coverage=coverage, sweep_num=sweep_num, generated_at=generated_at)
     wanted = (lines.select(*keys).distinct() if keys else spark.range(1).select())

@@ -30,6 +30,7 @@ def q_best_per_story(spark, sf_dir):
     reg = fixtures.registry(spark, sf_dir).select(F.col("slug").alias("source_name"),
                                                  F.col("tier").isin(*PRIMARY_TIERS).alias("is_primary"))
     st = stories.story_groups(story_texts(spark, sf_dir), "id", "text").withColumnRenamed("id", "doc_id")
-    j = it.join(reg, "source_name", "left").join(st, "doc_id")
+    j = (it.join(reg, "source_name", "left").join(st, "doc_id")
+           .withColumn("is_primary", F.coalesce("is_primary", F.lit(False))))    # unknown source: commentary
     best = stories.best_per_story(j.select("story_id", "doc_id", "input_ord", "weighted", "is_primary"))
     return best.select("story_id", "doc_id", "weighted", "is_primary", "n_items")

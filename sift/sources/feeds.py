@@ -64,9 +64,9 @@ def _rss_fields(it: Column) -> Column:
 def choose_link(links: Column) -> Column:
     """First link with rel alternate (no rel = alternate), else the first one's href."""
     alt = F.filter(links, lambda l: F.coalesce(l["_rel"], F.lit(DEFAULT_LINK_REL)) == DEFAULT_LINK_REL)
-    return F.coalesce(F.element_at(alt, 1)["_href"],
-                      F.element_at(F.filter(links, lambda l: F.coalesce(l["_href"], F.lit("")) != ""), 1)["_href"],
-                      F.lit(""))
+    first_alt = F.try_element_at(alt, F.lit(1))
+    first_any = F.try_element_at(F.filter(links, lambda l: F.coalesce(l["_href"], F.lit("")) != ""), F.lit(1))
+    return F.coalesce(first_alt["_href"], first_any["_href"], F.lit(""))
 
 
 def _atom_fields(e: Column) -> Column:
