@@ -91,8 +91,15 @@ _PARSED_TYPE = f"struct<kind:string,items:{ITEMS_TYPE},meta:{META_TYPE}>"
 
 
 def is_json(text: Column) -> Column:
-    """Strict whole-text JSON validity (``try_parse_json``)."""
-    return F.try_parse_json(text).isNotNull()
+    """Whole-text JSON validity.
+
+    ``try_parse_json`` stops after the first complete value and ignores
+    what follows, so the text must also parse as the element of an array
+    and as the value of an object: trailing data, or a bracket closing the
+    wrapper early, breaks one of the two.
+    """
+    return (F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+            & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull())
 
 
 def _extract(df: DataFrame, text_col: str, out: str = "_p") -> DataFrame:

@@ -48,3 +48,17 @@ def test_stats_and_unwrap(spark):
     assert st["failed"] == (1, 0, 0) and st["quotes"] == (1, 1, 0)
     u = {r.msg_id: r for r in jf.unwrap(rec, scanned=None, sweep_num=7).collect()}
     assert u[1].scanned == 5 and u[1].sweep_num == 7 and u[0].scanned == 0
+
+
+def test_trailing_text_is_not_clean(spark):
+    texts = ['[{"title":"a"}] and more', '[{"title":"a"}]  ', '{"items": []} }', '[1] [2]', '1] x [2', '  {"a": 1}\n']
+    df = spark.createDataFrame(list(enumerate(texts)), "msg_id int, raw string")
+    got = [r[0] for r in df.select(jf.is_json(df.raw)).orderBy("msg_id").collect()]
+    expected = []
+    for t in texts:
+        try:
+            json.loads(t)
+            expected.append(True)
+        except ValueError:
+            expected.append(False)
+    assert got == expected == [False, True, False, False, False, True]
