@@ -35,8 +35,10 @@ URL_SPLIT = r"(?s)^([a-z][a-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
 def _decode(c: Column) -> Column:
-    # form decoding: '+' is a space; a bad escape leaves the text as it is
-    return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    # form decoding: '+' is a space; a '%' that starts no valid escape stays
+    # a literal '%' while the valid escapes around it are still decoded
+    lenient = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(lenient), F.replace(c, F.lit("+"), F.lit(" ")))
 
 
 def _encode(c: Column) -> Column:
@@ -45,23 +47,36 @@ def _encode(c: Column) -> Column:
                      F.lit("*"), F.lit("%2A"))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element
+    ``transform`` binds it to a lambda variable).  CASE branches are outside
+    subexpression elimination, so without this each use re-runs the regexes."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean_query(query: Column) -> Column:
     """Query text without '?' → cleaned query text.
 
     Drops pieces without '=' or with an empty value and tracking keys;
     repeated keys are grouped at the place of their first occurrence.
+    An empty query skips the array work.
     """
     pieces = F.filter(F.split(query, "&"),
                       lambda p: (F.instr(p, "=") > 0) & (F.length(p) > F.instr(p, "=")))
     kv = F.transform(pieces, lambda p: F.struct(
         _decode(F.substring_index(p, "=", 1)).alias("k"),
         _decode(F.substring(p, F.instr(p, "=") + 1, F.lit(1 << 30))).alias("v")))
-    kv = F.filter(kv, lambda x: ~F.array_contains(F.array(*[F.lit(t) for t in TRACKING_PARAMS]), x["k"]))
-    names = F.array_distinct(F.transform(kv, lambda x: x["k"]))
-    grouped = F.flatten(F.transform(names, lambda n: F.transform(
-        F.filter(kv, lambda x: x["k"] == n),
-        lambda x: F.concat(_encode(x["k"]), F.lit("="), _encode(x["v"])))))
-    return F.array_join(grouped, "&")
+    tracking = F.array(*[F.lit(t) for t in TRACKING_PARAMS])
+    kv = F.filter(kv, lambda x: ~F.array_contains(tracking, x["k"]))
+
+    def group(pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
+        grouped = F.flatten(F.transform(names, lambda n: F.transform(
+            F.filter(pairs, lambda x: x["k"] == n),
+            lambda x: F.concat(_encode(x["k"]), F.lit("="), _encode(x["v"])))))
+        return F.array_join(grouped, "&")
+
+    return F.when(query == "", F.lit("")).otherwise(_let(kv, group))
 
 
 def canonical_url(url: Column) -> Column:
@@ -76,19 +91,24 @@ def canonical_url(url: Column) -> Column:
     u = F.regexp_replace(u, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
     u = F.lower(F.regexp_replace(u, "/+$", ""))
     u = F.regexp_replace(u, r"[\t\r\n]", "")
-    scheme = F.regexp_extract(u, URL_SPLIT, 1)
-    auth = F.regexp_extract(u, URL_SPLIT, 2)
-    path = F.regexp_extract(u, URL_SPLIT, 3)
-    query = F.regexp_extract(u, URL_SPLIT, 4)
-    host = F.regexp_replace(F.substring(auth, 3, 1 << 30), r"^www\.", "")
-    path = F.regexp_replace(path, r"/index\.html(;[^/]*)?$", "$1")
-    path = F.when((auth != "") & path.startswith(";"), F.concat(F.lit("/"), path)).otherwise(path)
-    q = clean_query(F.substring(query, 2, 1 << 30))
-    prefix = (F.when(auth != "", F.concat(F.lit("//"), host))
-              .when(F.substring_index(scheme, ":", 1).isin(*NETLOC_SCHEMES)
-                    & ((path == "") | path.startswith("/")), F.lit("//"))
-              .otherwise(F.lit("")))
-    return F.concat(scheme, prefix, path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+
+    def split(s: Column) -> Column:
+        path = F.regexp_replace(F.regexp_extract(s, URL_SPLIT, 3), r"/index\.html(;[^/]*)?$", "$1")
+        return F.struct(F.regexp_extract(s, URL_SPLIT, 1).alias("scheme"),
+                        F.regexp_extract(s, URL_SPLIT, 2).alias("auth"), path.alias("path"),
+                        clean_query(F.substring(F.regexp_extract(s, URL_SPLIT, 4), 2, 1 << 30)).alias("q"))
+
+    def build(p: Column) -> Column:
+        scheme, auth, q = p["scheme"], p["auth"], p["q"]
+        path = F.when((auth != "") & p["path"].startswith(";"), F.concat(F.lit("/"), p["path"])).otherwise(p["path"])
+        host = F.regexp_replace(F.substring(auth, 3, 1 << 30), r"^www\.", "")
+        prefix = (F.when(auth != "", F.concat(F.lit("//"), host))
+                  .when(F.substring_index(scheme, ":", 1).isin(*NETLOC_SCHEMES)
+                        & ((p["path"] == "") | p["path"].startswith("/")), F.lit("//"))
+                  .otherwise(F.lit("")))
+        return F.concat(scheme, prefix, path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+
+    return _let(_let(u, split), build)
 
 
 # the text pattern with '\s' spelled out as Python's whitespace set

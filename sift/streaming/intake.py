@@ -46,8 +46,14 @@ def seen_writer(spark: SparkSession, seen_path: str, out_path: str):
         if seen is not None:
             fresh = fresh.join(seen.distinct(), "canonical_url", "left_anti")
         fresh = fresh.dropDuplicates(["canonical_url"])
-        fresh.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        fresh.select("canonical_url").write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+        # the batch feeds two writes: compute it once (the stateful part must
+        # not run twice), then release it
+        fresh = fresh.persist()
+        try:
+            fresh.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            fresh.select("canonical_url").write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+        finally:
+            fresh.unpersist()
 
     return write
 
