@@ -36,13 +36,25 @@ def parse_date(c: Column) -> Column:
 
     The weekday prefix is cut first (an ``EEE`` pattern raises even inside
     ``try_to_timestamp``); zone names need ``z``, offsets ``xx``.  There is
-    no fallback to a plain cast, which would accept ``2026``.
+    no fallback to a plain cast, which would accept ``2026``.  Each pattern
+    is tried only when a cheap shape test says it could match: a failed
+    parse costs an exception, so this only skips attempts bound to fail.
     """
     s = F.regexp_replace(c, r"^\s+|\s+$", "")
     rfc = F.regexp_replace(s, r"^[A-Za-z]{3},\s*", "")
     rfc = F.regexp_replace(rfc, r"\s+(UT|Z)$", " GMT")
-    tries = [F.try_to_timestamp(rfc, F.lit(p)) for p in _RFC2822]
-    tries += [F.try_to_timestamp(s, F.lit(p)) for p in _ISO]
+    rfc_shape = rfc.rlike(r"^\d{1,2}\s+[A-Za-z]{3}\s+\d{4}\s+\d")
+    iso_t = s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T")
+    frac = s.contains(".")
+    guards = {
+        "yyyy-MM-dd'T'HH:mm:ssXXX": iso_t & ~frac, "yyyy-MM-dd'T'HH:mm:ssxx": iso_t & ~frac,
+        "yyyy-MM-dd'T'HH:mm:ss'Z'": iso_t & ~frac, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX": iso_t & frac,
+        "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxx": iso_t & frac, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'": iso_t & frac,
+        "yyyy-MM-dd HH:mm:ss": s.rlike(r"^\d{4}-\d{1,2}-\d{1,2} "),
+        "yyyy-MM-dd": s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    }
+    tries = [F.when(rfc_shape, F.try_to_timestamp(rfc, F.lit(p))) for p in _RFC2822]
+    tries += [F.when(guards[p], F.try_to_timestamp(s, F.lit(p))) for p in _ISO]
     return F.when(F.length(s) > 0, F.coalesce(*tries))
 
 
