@@ -215,13 +215,11 @@ FROM supplier
 def registry_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second copy of the registry that drifted: by supplier key, 3 → gone,
     5 → renamed, 7 → other tier; plus every nation as a new source."""
-    s = read_table(spark, sf_dir, "supplier", "s_suppkey")
     reg = registry(spark, sf_dir).withColumn("k", F.regexp_extract("slug", r"\d+", 0).cast("bigint") % 10)
     reg = (reg.where(F.col("k") != 3)
               .withColumn("name", F.when(F.col("k") == 5, F.concat(F.col("name"), F.lit(" Labs"))).otherwise(F.col("name")))
               .withColumn("tier", F.when(F.col("k") == 7, F.lit("3b")).otherwise(F.col("tier")))
               .drop("k"))
-    del s
     n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     extra = n.select(F.concat(F.lit("nat"), F.col("n_nationkey").cast("string")).alias("slug"),
                      F.col("n_name").alias("name"), F.lit(None).cast("string").alias("site_url"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sift.plans.fixtures import ITEMS_SQL, REGISTRY_SQL, SEEN_SQL
+from sift.plans.fixtures import REGISTRY_SQL, SEEN_SQL
 from sift.plans.oracle_curation import SCORED
 from sift.plans.sqltext import with_canonical
 
@@ -86,4 +86,3 @@ ORACLE = {
     "scan_funnel": FUNNEL,
     "batches": BATCHES,
 }
-_ = ITEMS_SQL

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from sift.plans.fixtures import MANIFEST_ENTRIES_SQL
 from sift.plans.oracle_coverage import MERGED
 
 STREAM_INTAKE = """
@@ -27,4 +26,3 @@ ORACLE = {
     "stream_window_counts": WINDOW_COUNTS,
     "stream_latest_status": LATEST,
 }
-_ = MANIFEST_ENTRIES_SQL
