@@ -19,8 +19,8 @@ ALIVE_MIN_BYTES = 100          # a body of more bytes counts as alive
 STATUS_ALIVE, STATUS_DEAD, STATUS_NO_FEED = "alive", "dead", "no_feed"
 # ---------------------------------------------------------------------------
 
-REGISTRY_SCHEMA = ("struct<sources:array<struct<slug:string,name:string,site_url:string,"
-                   "feed_url:string,tier:string>>>")
+REGISTRY_SCHEMA = ("sources array<struct<slug:string,name:string,site_url:string,"
+                   "feed_url:string,tier:string>>")
 
 
 def read_registry_json(spark: SparkSession, path: str) -> DataFrame:
