@@ -22,3 +22,16 @@ def test_publish_twice(spark):
     rendered_second = set(re.findall(r"https?://[^\s)\]>\"]+", second))
     assert r2.passed < r1.passed
     assert not (rendered_first & rendered_second)
+
+
+def test_publish_many_digests_in_one_job(spark):
+    from pyspark.sql import functions as F
+    arch = tempfile.mkdtemp(prefix="sift-arch-", dir=spark.sparkContext.getCheckpointDir().replace("file:", "")) + "/archive"
+    items = fixtures.items(spark, SF_SMALL).withColumn("desk", F.col("author"))
+    r1 = {r.desk: r for r in pipeline.run_pipeline(spark, items, arch, "2026-03-17", keys=["desk"]).collect()}
+    assert len(r1) > 1 and all(r.file_name == "2026-03-17.md" for r in r1.values())
+    r2 = {r.desk: r for r in pipeline.run_pipeline(spark, items, arch, "2026-03-17", keys=["desk"]).collect()}
+    assert all(r.file_name == "2026-03-17-2.md" for r in r2.values())
+    assert all(r2[d].passed <= r1[d].passed for d in r2)
+    heads = spark.read.text(arch).where(F.col("value").startswith("# Research Digest")).count()
+    assert heads == len(r1) + len(r2)                 # one title line per published digest
