@@ -46,3 +46,12 @@ def test_json_fast_path_has_no_python(spark):
     plan = _plan(json_plans.recovered(spark, SF_SMALL))
     clean_branch = plan.split("Union")[1].split("+-")[1] if "Union" in plan else plan
     assert "ArrowEvalPython" not in clean_branch
+
+
+def test_registry_join_broadcast_at_runtime(spark):
+    """No hint in the code: AQE measures the registry side and broadcasts it."""
+    df = intake_plans.q_source_enrichment(spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in final
+    assert "BroadcastHashJoin" in final
