@@ -60,8 +60,8 @@ r AS (SELECT source, round(weight / all_weight * (all_size / size), 9) AS rate F
 p AS (SELECT source, rate, greatest(ceil(rate / 64), 1)::INT AS parts FROM r),
 q AS (SELECT *, rate / parts AS part FROM p),
 cdf AS (SELECT q.*, list_transform(range(0, (ceil(part + 10 * sqrt(part) + 20) + 1)::INT),
-                                   k -> list_sum(list_transform(range(0, k + 1), j -> exp(j * ln(part) - part - lgamma(j + 1))))) AS cdf FROM q),
-n AS (SELECT d.*, list_sum(list_transform(range(1, parts + 1), part -> len(list_filter(cdf, c -> c <=
+                                   lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(part) - part - lgamma(j + 1))))) AS cdf FROM q),
+n AS (SELECT d.*, list_sum(list_transform(range(1, parts + 1), lambda part: len(list_filter(cdf, lambda c: c <=
              ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || part), 1, 13))::BIGINT / 4503599627370496.0)))) AS copies
       FROM documents d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(0, copies::BIGINT))::INT AS copy FROM n
