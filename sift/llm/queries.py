@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sift.llm import bpe, chat, exact_dedup, mixing, sql, url_rules
+from sift.llm import bpe, chat, exact_dedup, licenses, mixing, quality, sql, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
 
+def op1_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     tokens = bpe.encode_decode(documents, public_tokenizers.path("byte_bpe_50k.json"))
@@ -23,6 +27,10 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
     return mixing.mix(documents)
@@ -53,7 +61,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repetition_rules": op1_repetition_rules,
     "op2_bpe_automaton": op2_bpe_automaton,
+    "op3_license_scan": op3_license_scan,
     "op4_source_mixing": op4_source_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_url_rules": op9_url_rules,
