@@ -21,7 +21,7 @@ strings) of the arcs.
 
 Words are pre-split as the byte-level tokenizer files ask: special tokens
 first, then letters, digits, other characters and white space.  Character
-classes come from the ``regex`` module's Unicode tables.
+classes are asked of the tokenizers library, so both follow one Unicode version.
 
 Defined cases: a null text is encoded as an empty one; special tokens inside a
 text become their ids, as in the file's default; very long words are walked
@@ -38,9 +38,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 from sift.llm.arrow import blocks
 
@@ -60,11 +61,18 @@ def byte_alphabet() -> dict[str, int]:
     return letters
 
 
-def _class(pattern: str, limit: int) -> str:
+@lru_cache(maxsize=8)
+def _runs(pattern: str) -> tuple[str, ...]:
+    """The runs of code points that match, by the tokenizers library's own regular expressions (its Unicode version)."""
+    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    cut = Split(Regex(pattern + "+"), "removed", invert=True)
+    return tuple(run for run, _ in cut.pre_tokenize_str(everything))
+
+
+def char_class(pattern: str, limit: int = 0x110000) -> str:
     """The inside of a character class with the code points below ``limit`` that have a Unicode property."""
-    everything = "".join(chr(c) for c in range(limit) if not 0xD800 <= c < 0xE000)
-    runs = (m.group() for m in regex.finditer(pattern + "+", everything))
-    return "".join(f"\\U{ord(r[0]):08x}-\\U{ord(r[-1]):08x}" for r in runs)
+    ends = ((ord(run[0]), min(ord(run[-1]), limit - 1)) for run in _runs(pattern))
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ends if a < limit)
 
 
 @lru_cache(maxsize=3)
@@ -73,8 +81,7 @@ def word_pattern(limit: int = 0x110000) -> re.Pattern:
 
     For texts with no code point from ``limit`` on; ``re`` tests small classes through a bitmap and long ones range by range.
     """
-    letter, digit = _class(r"\p{L}", limit), _class(r"\p{N}", limit)
-    space = _class(r"\p{White_Space}", limit)
+    letter, digit, space = (char_class(p, limit) for p in (r"\p{L}", r"\p{N}", r"\s"))
     return re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+"
                       f"|[{space}]+(?![^{space}])|[{space}]+")
 

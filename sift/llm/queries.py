@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sift.llm import bpe, chat, exact_dedup, licenses, mixing, quality, sql, url_rules
+from sift.llm import bpe, chat, exact_dedup, grammar, licenses, mixing, quality, sql, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_grammar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_source_mixing": op4_source_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_grammar_files": op8_grammar_files,
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
 }
