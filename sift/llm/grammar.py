@@ -59,6 +59,11 @@ MAGIC = b"RPR1"
 FILE = "part int, shard int, doc_ids array<long>, n_ids long, grammar binary"
 
 
+def _limit(text: str) -> int:
+    """The first plane's end if all code points lie below it, else the end of all."""
+    return 0x10000 if len(text.encode("utf-16-le")) == 2 * len(text) else 0x110000
+
+
 class WordTokenizer:
     """A tokenizer file whose normaliser is NFC, one space for white space and lower case.
 
@@ -96,10 +101,9 @@ class WordTokenizer:
             return self._pattern(0x80).findall(text.lower())
         # the library lower-cases character by character, so a final sigma is an ordinary one
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        limit = 0x10000 if len(text.encode("utf-16-le")) == 2 * len(text) else 0x110000
-        if self._unknown(limit).search(text) or not unicodedata.is_normalized("NFC", low):
+        if self._unknown(_limit(text)).search(text) or not unicodedata.is_normalized("NFC", low):
             return None
-        return self._pattern(limit).findall(low)
+        return self._pattern(_limit(low)).findall(low)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._cut(t) for t in texts]
