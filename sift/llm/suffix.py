@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from sift.llm.anchors import words_at
+
 
 class Suffixes:
     """``array``: suffix positions in sorted order; ``levels``: (h, rank) after each round.
@@ -35,12 +37,14 @@ class Suffixes:
         return length
 
 
-def suffix_sort(keys: np.ndarray, end: np.ndarray, start_depth: int = 1, depth: int | None = None) -> Suffixes:
+def suffix_sort(keys: np.ndarray, end: np.ndarray, start_depth: int = 1, depth: int | None = None,
+                keep_levels: bool = True) -> Suffixes:
     """Sort the suffixes of texts laid end to end.
 
     ``keys[p]``: integer that orders suffixes by their first ``start_depth``
     symbols (unlike for suffixes that have fewer left); ``end[p]``: where the
     text of p ends.  With ``depth``, rounds stop once that many symbols decide.
+    Without ``keep_levels`` only the last ranks are kept.
     """
     n = len(keys)
     array = np.argsort(keys, kind="stable")
@@ -64,7 +68,7 @@ def suffix_sort(keys: np.ndarray, end: np.ndarray, start_depth: int = 1, depth:
         fresh[1:] = key[1:] != key[:-1]
         rank[at] = active[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
         h *= 2
-        levels.append((h, rank.copy()))
+        levels = [*levels, (h, rank.copy())] if keep_levels else [(h, rank)]
         active = _members(active, fresh)
     return Suffixes(array, levels, end)
 
@@ -76,6 +80,46 @@ def _members(slots: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     return slots[~alone]
 
 
+def kasai(suffixes: Suffixes, data: np.ndarray, start: np.ndarray, limit: int) -> np.ndarray:
+    """Common prefix of each suffix with the one before it in the array, by slot, up to ``limit``.
+
+    Kasai's scan goes through a text from left to right and keeps the length it
+    has reached less one.  Here all texts (beginning at ``start``) are scanned in
+    step, eight bytes at a time.
+    """
+    n = len(data)
+    end, array = suffixes.end, suffixes.array
+    slot = np.empty(n, np.int64)
+    slot[array] = np.arange(n)
+    words = words_at(data)
+    common = np.zeros(n, np.int64)
+    at, stop = start.copy(), end[start]
+    have = np.zeros(len(start), np.int64)
+    while len(at):
+        other = array[np.maximum(slot[at] - 1, 0)]
+        room = np.minimum(np.minimum(stop - at, end[other] - other), limit)
+        have = np.minimum(np.maximum(have - 1, 0), room)
+        have[slot[at] == 0] = 0
+        going = np.flatnonzero((have < room) & (slot[at] > 0))
+        while len(going):
+            here = have[going]
+            differ = words[at[going] + here] ^ words[other[going] + here]
+            # equal leading bytes of the two words: how often the difference can be halved to nothing, by byte
+            equal = np.where(differ == 0, 8, _LEADING - np.searchsorted(_BYTE_STEPS, differ, side="right"))
+            have[going] = np.minimum(here + equal, room[going])
+            going = going[(equal == 8) & (have[going] < room[going])]
+        common[slot[at]] = have
+        at = at + 1
+        alive = at < stop
+        at, stop, have = at[alive], stop[alive], have[alive]
+    return common
+
+
+#: Smallest values of a word whose highest set byte is the k-th from below.
+_BYTE_STEPS = np.array([1 << (8 * k) for k in range(8)], np.uint64)
+_LEADING = 8
+
+
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Which of n positions lie in the union of the spans."""
     change = np.zeros(n + 1, np.int64)
