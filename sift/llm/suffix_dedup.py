@@ -38,6 +38,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,35 +94,58 @@ class _Marks:
                                                  names=["mark", "key"])
 
 
+def _pieces_of(texts: list[bytes], wanted: list[list[dict]]) -> Iterator[tuple[int, int, bytes, dict]]:
+    """(text, start, piece, entry) of every piece whose mark is among the text's wanted entries."""
+    for block in _segments(texts):
+        data, first, last, mark, segment, begin = _block_anchors(block)
+        raw = data.tobytes()
+        cuts = np.searchsorted(segment, np.arange(len(block) + 1)).tolist()
+        for k, (number, offset, _) in enumerate(block):
+            entries = {entry["mark"]: entry for entry in wanted[number]}
+            own = slice(cuts[k], cuts[k + 1])
+            for m, a, b in zip(mark[own].tolist(), first[own].tolist(), last[own].tolist()):
+                entry = entries.get(m)
+                if entry is not None:
+                    yield number, a - int(begin[k]) + offset, raw[a:b + WINDOW], entry
+
+
+def _piece_hash(piece: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(piece) - (1 << 63)
+
+
+class _Rows:
+    """(key, doc_id, text, wanted) to (mark, split, splits, piece_hash, key, doc_id, at), a row for each piece."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches):
+            rows = []
+            for number, at, piece, entry in _pieces_of(texts, batch.column(3).to_pylist()):
+                print_ = _piece_hash(piece)
+                rows.append((entry["mark"], print_ % entry["splits"], entry["splits"], print_, number, at))
+            mark, split, splits, print_, number, at = zip(*rows) if rows else [()] * 6
+            number = pa.array(number, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mark, pa.int64()), pa.array(split, pa.int32()), pa.array(splits, pa.int32()), pa.array(print_, pa.int64()),
+                 batch.column(0).take(number), batch.column(1).take(number), pa.array(at, pa.int64())],
+                names=["mark", "split", "splits", "piece_hash", "key", "doc_id", "at"])
+
+
 class _Pieces:
-    """(key, doc_id, text, marks) to (mark, piece, key, doc_id, at) for the anchors among the text's marks."""
+    """(key, doc_id, text, wanted) to (mark, split, splits, piece_hash, weight, piece), each wanted piece once."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
-            lists = batch.column(batch.schema.get_field_index("marks"))
-            wanted, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            for block in _segments(texts):
-                data, first, last, mark, segment, begin = _block_anchors(block)
-                if not len(mark):
-                    continue
-                number = np.array([n for n, _, _ in block], np.int64)
-                offset = np.array([at for _, at, _ in block], np.int64)
-                take = np.zeros(len(mark), bool)
-                cuts = np.searchsorted(segment, np.arange(len(block) + 1))
-                for k in range(len(block)):
-                    own = slice(cuts[k], cuts[k + 1])
-                    take[own] = np.isin(mark[own], wanted[bounds[number[k]]:bounds[number[k] + 1]])
-                first, last, mark, segment = first[take], last[take], mark[take], segment[take]
-                size = last - first + WINDOW
-                # the pieces' bytes, gathered in one go
-                ends = np.cumsum(size)
-                source = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-                piece = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(
-                    np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(data[source].tobytes())])
-                rows = pa.array(number[segment])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mark), piece, batch.column(0).take(rows), batch.column(1).take(rows),
-                     pa.array(first - begin[segment] + offset[segment])], names=["mark", "piece", "key", "doc_id", "at"])
+            lists = batch.column(3).to_pylist()
+            pieces = [{(e["mark"], e["piece_hash"]): e for e in entries} for entries in lists]
+            rows = []
+            for number, _, piece, entry in _pieces_of(texts, lists):
+                chosen = pieces[number].pop((entry["mark"], _piece_hash(piece)), None)
+                if chosen is not None:
+                    rows.append((chosen["mark"], chosen["split"], chosen["splits"], chosen["piece_hash"], chosen["weight"], piece))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            columns = zip(*rows) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                             names=["mark", "split", "splits", "piece_hash", "weight", "piece"])
 
 
 def repeated_windows(pieces: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +159,14 @@ def repeated_windows(pieces: list[bytes], weights: np.ndarray) -> tuple[np.ndarr
     data = np.frombuffer(b"".join(pieces), np.uint8)
     end = np.repeat(stop, size)
     owner = np.repeat(np.arange(len(pieces)), size)
-    suffixes = suffix_sort(words_at(data), end, start_depth=8, depth=WINDOW, keep_levels=False)
+    # seven bytes and how many of them there are: a suffix that ends sorts before those that go on
+    left = end - np.arange(len(data))
+    short = np.flatnonzero(left < 7)
+    head = words_at(data) & ~np.uint64(0xFF)
+    head[short] &= ~((np.uint64(1) << (8 * (8 - left[short])).astype(np.uint64)) - np.uint64(1))
+    keys = head | np.minimum(left, 7).astype(np.uint64)
+    # sorted to the pieces' ends, equal suffixes by position: the order that Kasai's scan relies on
+    suffixes = suffix_sort(keys, end, start_depth=7, depth=int(size.max()), keep_levels=False)
     common = kasai(suffixes, data, begin, WINDOW)
     whole = np.arange(len(data)) + WINDOW <= end
     # suffixes that share a window stand next to each other; the array without the other suffixes keeps that
@@ -160,11 +192,11 @@ def _runs(flags: np.ndarray) -> list[int]:
 
 
 class _Shard:
-    """Pieces sorted by (mark, split) to (mark, piece_hash, split, runs, solo).
+    """Pieces sorted by (mark, split) to (mark, slice, split, piece_hash, runs, at, open, high, low).
 
-    ``runs``: repeated windows of the piece, as start and end.  For an anchor that is split over
-    shards, ``solo`` has, for one window of each class, its start, whether it was not
-    repeated, and the two halves of its fingerprint.
+    One row per piece has ``runs``, its repeated windows as start and end.  For an anchor that
+    is split over shards, more rows have the fingerprints of its windows: ``at``, whether the
+    window is not repeated so far, and two halves of the fingerprint.
     """
 
     def __init__(self, shard_bytes: int):
@@ -175,60 +207,81 @@ class _Shard:
         size, key = 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (row[0], row[1]) != key and size >= self.shard_bytes:
+                if row[:2] != key and size >= self.shard_bytes:
                     yield self._sort(held)
                     held, size = [], 0
-                key = (row[0], row[1])
+                key = row[:2]
                 held.append(row)
-                size += len(row[3])
+                size += len(row[5])
         if held:
             yield self._sort(held)
 
     @staticmethod
     def _sort(rows: list[tuple]) -> pa.RecordBatch:
-        mark, split, piece_hash, pieces, weight, splits = zip(*rows)
-        repeated, window_class, first = repeated_windows(list(pieces), np.array(weight, np.float64))
-        runs, solo, announced = [], [], set()
-        for k, piece in enumerate(pieces):
+        pieces = [row[5] for row in rows]
+        repeated, window_class, first = repeated_windows(pieces, np.array([row[4] for row in rows], np.float64))
+        out, announced = [], set()
+        for k, (mark, split, splits, piece_hash, _, piece) in enumerate(rows):
             flags = repeated[first[k]:first[k + 1]]
-            runs.append(_runs(flags))
-            own: list[dict] = []
-            if splits[k] > 1:
-                kinds = window_class[first[k]:first[k + 1]].tolist()
-                for at, kind in enumerate(kinds):
+            out.append((mark, 0, split, piece_hash, _runs(flags), None, None, None, None))
+            if splits > 1:
+                for at, kind in enumerate(window_class[first[k]:first[k + 1]].tolist()):
                     # a class is announced once, but each window that is not repeated yet must be found again
                     if kind not in announced or not flags[at]:
                         announced.add(kind)
                         print_ = hashlib.blake2b(piece[at:at + WINDOW], digest_size=16).digest()
-                        own.append({"at": at, "open": not flags[at], "high": int.from_bytes(print_[:8], "big", signed=True),
-                                    "low": int.from_bytes(print_[8:], "big", signed=True)})
-            solo.append(own)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(mark, pa.int64()), pa.array(piece_hash, pa.int64()), pa.array(split, pa.int32()),
-             pa.array(runs, pa.list_(pa.int32())), pa.array(solo, _SOLO)], names=["mark", "piece_hash", "split", "runs", "solo"])
+                        high = int.from_bytes(print_[:8], "big", signed=True)
+                        out.append((mark, 1 + high % SLICES, split, piece_hash, None, at, not flags[at], high,
+                                    int.from_bytes(print_[8:], "big", signed=True)))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _WINDOWS)], schema=_WINDOWS)
 
 
-_SOLO = pa.list_(pa.struct([("at", pa.int32()), ("open", pa.bool_()), ("high", pa.int64()), ("low", pa.int64())]))
+#: Ranges of fingerprints that a split anchor's runs are merged by.
+SLICES = 64
+_WINDOWS = pa.schema([("mark", pa.int64()), ("slice", pa.int32()), ("split", pa.int32()), ("piece_hash", pa.int64()),
+                      ("runs", pa.list_(pa.int32())), ("at", pa.int32()), ("open", pa.bool_()), ("high", pa.int64()),
+                      ("low", pa.int64())])
 
 
 def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of one range, from all runs: the open windows whose print another run has too.
+    """Rows sorted by (mark, slice): runs pass; the prints of a slice are merged over its shards.
 
-    Every run is sorted; a print is looked up in the merged runs by binary search, and the number
-    of entries found tells how many runs have it.
+    Each shard's prints are a sorted run.  A print is looked up in the merged runs by binary search;
+    the entries found tell how many shards have it, and in two its open windows are repeated.
     """
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    columns = {n: table.column(n).to_numpy() for n in ("mark", "piece_hash", "split", "at", "open", "high", "low")}
-    prints = np.rec.fromarrays([columns["mark"], columns["high"], columns["low"]], names="mark,high,low")
-    runs = [np.unique(prints[columns["split"] == s]) for s in np.unique(columns["split"])]
+    names = ["mark", "piece_hash", "runs"]
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        passed = batch.filter(pc.equal(batch.column(1), 0))
+        yield passed.select(names)
+        prints = batch.filter(pc.not_equal(batch.column(1), 0))
+        if prints.num_rows:
+            held.append(prints)
+        if len(held) > 1 and not _same_slice(held):
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = np.rec.fromarrays([table.column(n).to_numpy() for n in ("mark", "slice")])
+            last = int(np.flatnonzero(key != key[-1])[-1]) + 1
+            yield _repeated_again(table.slice(0, last))
+            held = table.slice(last).to_batches()
+    if held:
+        yield _repeated_again(pa.Table.from_batches(held))
+
+
+def _same_slice(held: list[pa.RecordBatch]) -> bool:
+    first, last = held[0], held[-1]
+    return all(first.column(n)[0] == last.column(n)[last.num_rows - 1] for n in (0, 1))
+
+
+def _repeated_again(prints: pa.Table) -> pa.RecordBatch:
+    column = {n: prints.column(n).to_numpy() for n in ("mark", "piece_hash", "split", "at", "open", "high", "low")}
+    key = np.rec.fromarrays([column["mark"], column["high"], column["low"]])
+    runs = [np.unique(key[column["split"] == s]) for s in np.unique(column["split"])]
     merged = np.sort(np.concatenate(runs), kind="stable")
-    found = np.searchsorted(merged, prints, side="right") - np.searchsorted(merged, prints, side="left")
-    again = columns["open"].astype(bool) & (found >= 2)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(columns[n][again]) for n in ("mark", "piece_hash")]
-        + [pa.array([[int(a), int(a)] for a in columns["at"][again]], pa.list_(pa.int32()))], names=["mark", "piece_hash", "runs"])
+    found = np.searchsorted(merged, key, side="right") - np.searchsorted(merged, key, side="left")
+    again = column["open"].astype(bool) & (found >= 2)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(column["mark"][again]), pa.array(column["piece_hash"][again]),
+         pa.array([[a, a] for a in column["at"][again].tolist()], pa.list_(pa.int32()))], names=["mark", "piece_hash", "runs"])
 
 
 class _Cut:
@@ -269,36 +322,32 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # anchors found twice or more, back to their texts
     marks = texts.select("key", "text").mapInArrow(_Marks(), "mark long, key long")
-    repeated = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    wanted = marks.join(repeated, "mark").groupBy("key").agg(F.collect_set("mark").alias("marks"))
-    # both joins with the texts use one exchange of them
-    found = stage(texts.join(wanted, "key").select("key", "doc_id", "text", "marks")
-                       .mapInArrow(_Pieces(), f"mark long, piece binary, key long, doc_id {kind}, at long")
-                       .withColumn("piece_hash", F.xxhash64("piece")), "anchored-pieces")
-
-    # different pieces, to shards; an anchor with many goes to several
-    pieces = found.groupBy("mark", "piece_hash", "piece").agg(F.count(F.lit(1)).alias("weight"))
-    counted = found.groupBy("mark", "piece_hash").agg(F.count(F.lit(1)).alias("rows")).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
-    crowded = counted.where(F.col("n") > pieces_a_shard).select("mark", F.ceil(F.col("n") / pieces_a_shard).cast("int").alias("splits"))
-    dealt = (pieces.join(crowded, "mark", "left")
-                   .withColumn("splits", F.coalesce("splits", F.lit(1)))
-                   .withColumn("split", F.pmod("piece_hash", "splits").cast("int")))
-    sorted_pieces = (dealt.select("mark", "split", "piece_hash", "piece", "weight", "splits")
-                          .repartition("mark", "split").sortWithinPartitions("mark", "split")
-                          .mapInArrow(_Shard(shard_bytes), "mark long, piece_hash long, split int, runs array<int>, "
-                                                           "solo array<struct<at:int,open:boolean,high:long,low:long>>"))
-    decided = stage(sorted_pieces, "sorted-pieces")
-    prints = (decided.where(F.size("solo") > 0).select("mark", "piece_hash", "split", F.explode("solo").alias("w"))
-                     .select("mark", "piece_hash", "split", "w.at", "w.open", "w.high", "w.low"))
-    merged = (prints.repartition("mark", "high").sortWithinPartitions("split", "mark", "high", "low")
-                    .mapInArrow(_merge_runs, "mark long, piece_hash long, runs array<int>"))
-    windows = decided.select("mark", "piece_hash", "runs").where(F.size("runs") > 0).unionByName(merged)
+    repeated = (marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                     .select("mark", F.ceil(F.col("n") / pieces_a_shard).cast("int").alias("splits")))
+    wanted = stage(marks.join(repeated, "mark").groupBy(F.col("key").alias("want_key"))
+                        .agg(F.collect_set(F.struct("mark", "splits")).alias("wanted")), "repeated-anchors")
+
+    # from here on one plan: the three joins with the texts share one exchange of them
+    rows = (texts.join(wanted, F.col("key") == F.col("want_key")).select("key", "doc_id", "text", "wanted")
+                 .mapInArrow(_Rows(), f"mark long, split int, splits int, piece_hash long, key long, doc_id {kind}, at long"))
+    chosen = (rows.groupBy("mark", "split", "splits", "piece_hash")
+                  .agg(F.min("key").alias("want_key"), F.count(F.lit(1)).alias("weight"))
+                  .groupBy("want_key").agg(F.collect_list(F.struct("mark", "split", "splits", "piece_hash", "weight")).alias("wanted")))
+    # rows that repeat one key are one text; a piece is fetched from one of them
+    fetched = (texts.join(chosen, F.col("key") == F.col("want_key")).select("key", "doc_id", "text", "wanted")
+                    .mapInArrow(_Pieces(), "mark long, split int, splits int, piece_hash long, weight long, piece binary"))
+    windows = (fetched.repartition("mark", "split").sortWithinPartitions("mark", "split", "piece_hash")
+                      .mapInArrow(_Shard(shard_bytes), "mark long, slice int, split int, piece_hash long, runs array<int>, "
+                                                       "at int, open boolean, high long, low long")
+                      .repartition("mark", "slice").sortWithinPartitions("mark", "slice")
+                      .mapInArrow(_merge_runs, "mark long, piece_hash long, runs array<int>")
+                      .where(F.size("runs") > 0).withColumnsRenamed({"mark": "window_mark", "piece_hash": "window_hash"}))
 
     # back to the texts
-    placed = (found.select("mark", "piece_hash", "key", "doc_id", "at").join(windows, ["mark", "piece_hash"])
-                   .select("key", "doc_id", F.transform("runs", lambda r: r + F.col("at")).alias("runs")))
-    spans = placed.groupBy(F.col("key"), F.col("doc_id").alias("span_doc")).agg(F.flatten(F.collect_list("runs")).alias("spans"))
-    cut = (texts.join(spans.withColumnRenamed("key", "span_key"),
-                      (F.col("key") == F.col("span_key")) & F.col("doc_id").eqNullSafe(F.col("span_doc")), "left")
+    placed = (rows.join(windows, (F.col("mark") == F.col("window_mark")) & (F.col("piece_hash") == F.col("window_hash")))
+                  .select(F.col("key").alias("span_key"), F.col("doc_id").alias("span_doc"),
+                          F.transform("runs", lambda r: r + F.col("at")).alias("runs")))
+    spans = placed.groupBy("span_key", "span_doc").agg(F.flatten(F.collect_list("runs")).alias("spans"))
+    cut = (texts.join(spans, (F.col("key") == F.col("span_key")) & F.col("doc_id").eqNullSafe(F.col("span_doc")), "left")
                 .select("doc_id", "text", "spans"))
     return cut.mapInArrow(_Cut(with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
