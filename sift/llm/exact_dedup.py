@@ -127,7 +127,7 @@ def tree_merge(runs: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
     return runs
 
 
-def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of ``documents``: doc_id, row, keep_id, group_size, kept, text_sha256, n_bytes.
 
     ``row`` numbers the rows in scan order and tells rows of equal id apart.
@@ -141,7 +141,7 @@ def exact_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.max(F.struct(F.col("keep_id"), (-F.col("keep_row")).alias("back"))).alias("best"), F.sum("size").alias("size"))
         .selectExpr("run", "digest", "proof", "n_bytes", "best.keep_id", "-best.back AS keep_row", "size"), "digest-runs")
     n_runs = (leaf_entries.agg(F.max("run")).first()[0] or 0) + 1
-    root = tree_merge(leaf_entries, n_runs).select("digest", "proof", "n_bytes", "keep_id", "keep_row", F.col("size").alias("group_size"))
+    root = tree_merge(leaf_entries, n_runs, fan_in).select("digest", "proof", "n_bytes", "keep_id", "keep_row", F.col("size").alias("group_size"))
     decided = leaf_entries.select("run", "digest", "proof", "n_bytes").join(root, ["digest", "proof", "n_bytes"])
     return (leaves.join(decided, ["run", "digest", "proof", "n_bytes"])
                   .select("doc_id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),

@@ -55,8 +55,8 @@ def source_rates(documents: DataFrame, weights: dict[str, float] | None = None,
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "key string, weight double")
         weighed = (sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("key")), "left")
                         .withColumn("weight", F.coalesce("weight", F.lit(0.0))))
-    # rounding makes the sums, and so the rates, independent of the order of addition
-    whole = weighed.agg(F.round(F.sum("weight"), 6).alias("all_weight"), F.sum("size").alias("all_size"))
+    # rounding the rate makes it independent of the order in which weights were added
+    whole = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"))
     rate = F.when(F.col("all_weight") > 0, F.round(F.lit(float(repeats)) * (F.col("weight") / F.col("all_weight"))
                                                   * (F.col("all_size") / F.col("size")), 9)).otherwise(0.0)
     rated = (weighed.crossJoin(F.broadcast(whole))  # one row of totals

@@ -55,7 +55,7 @@ FROM e GROUP BY conv_id
 MIXING = f"""
 WITH size AS (SELECT source, sum(greatest(coalesce(length(text), 0), 1)) AS size FROM documents GROUP BY 1),
 w AS (SELECT *, pow(size::DOUBLE, 0.5) AS weight FROM size),
-t AS (SELECT round(sum(weight), 6) AS all_weight, sum(size) AS all_size FROM w),
+t AS (SELECT sum(weight) AS all_weight, sum(size) AS all_size FROM w),
 r AS (SELECT source, round(weight / all_weight * (all_size / size), 9) AS rate FROM w, t),
 p AS (SELECT source, rate, greatest(ceil(rate / 64), 1)::INT AS parts FROM r),
 q AS (SELECT *, rate / parts AS part FROM p),
