@@ -65,7 +65,7 @@ def clean_query(query: Column) -> Column:
                       lambda p: (F.instr(p, "=") > 0) & (F.length(p) > F.instr(p, "=")))
     kv = F.transform(pieces, lambda p: F.struct(
         _decode(F.substring_index(p, "=", 1)).alias("k"),
-        _decode(F.substring(p, F.instr(p, "=") + 1, F.lit(1 << 30))).alias("v")))
+        _decode(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v")))
     tracking = F.array(*[F.lit(t) for t in TRACKING_PARAMS])
     kv = F.filter(kv, lambda x: ~F.array_contains(tracking, x["k"]))
 
@@ -96,12 +96,12 @@ def canonical_url(url: Column) -> Column:
         path = F.regexp_replace(F.regexp_extract(s, URL_SPLIT, 3), r"/index\.html(;[^/]*)?$", "$1")
         return F.struct(F.regexp_extract(s, URL_SPLIT, 1).alias("scheme"),
                         F.regexp_extract(s, URL_SPLIT, 2).alias("auth"), path.alias("path"),
-                        clean_query(F.substring(F.regexp_extract(s, URL_SPLIT, 4), 2, 1 << 30)).alias("q"))
+                        clean_query(F.regexp_replace(F.regexp_extract(s, URL_SPLIT, 4), r"^\?", "")).alias("q"))
 
     def build(p: Column) -> Column:
         scheme, auth, q = p["scheme"], p["auth"], p["q"]
         path = F.when((auth != "") & p["path"].startswith(";"), F.concat(F.lit("/"), p["path"])).otherwise(p["path"])
-        host = F.regexp_replace(F.substring(auth, 3, 1 << 30), r"^www\.", "")
+        host = F.regexp_replace(auth, r"^//(www\.)?", "")
         prefix = (F.when(auth != "", F.concat(F.lit("//"), host))
                   .when(F.substring_index(scheme, ":", 1).isin(*NETLOC_SCHEMES)
                         & ((p["path"] == "") | p["path"].startswith("/")), F.lit("//"))

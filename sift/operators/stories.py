@@ -1,14 +1,20 @@
 """Story grouping (F6) and one item per story.
 
-F6 defines "near copy" deterministically: texts are cut into 3-word
-shingles; a MinHash signature of ``BANDS × ROWS`` values (one md5 per
-shingle, then universal hashing) is computed per row with higher-order
-array functions — no shuffle; texts sharing any band key are linked, and
-stories are the connected components, found by min-label propagation over
-the text↔band-key graph.  Only aggregations and equi-joins run per round:
-no pair of documents is ever materialised, so a key shared by a third of
-all texts costs one partial aggregate, and exact copies are collapsed to
-one representative before any of it.
+F6: two texts are near copies when the Jaccard similarity of their sets of
+five-word shingles is at least ``PERCENT`` / 100; stories are the connected
+components of that relation.  The join is exact:
+
+* exact copies are one text from the start (a map-side aggregate on a hash);
+* shingles are ordered by how many texts hold them; two sets that similar share
+  one of their first ``n - ceil(PERCENT n / 100) + 1`` shingles in that order.
+  Shingles of a single text come first and are only counted, never shuffled
+  back, and common ones come last, so groups by a prefix shingle are small;
+* members of a group of at most ``SMALL`` are paired if their sizes allow a
+  link; of equal groups one is enough;
+* in a larger group the smallest id is compared with all others, then leaves;
+  a group whose members are in one component is done.  Every round takes a
+  number of pairs linear in the group, and rounds go on until no group is left;
+* pairs are checked on their whole sets before they link anything.
 """
 
 from __future__ import annotations
@@ -16,24 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sift.operators.components import components
 from sift.session import ensure_checkpoint_dir
 
-SHINGLE_WORDS = 3
-BANDS = 8
-ROWS = 4
-PRIME = 2147483647          # 2^31 - 1; products of two values below it fit in a bigint
-MAX_ROUNDS = 50
-
-
-def hash_coefficients(n: int = BANDS * ROWS, seed: int = 20260316) -> list[tuple[int, int]]:
-    """(a, b) pairs of the universal hash family, from a fixed linear congruential rule."""
-    out, x = [], seed
-    for _ in range(n):
-        x = (1103515245 * x + 12345) % (1 << 31)
-        a = 1 + x % (PRIME - 1)
-        x = (1103515245 * x + 12345) % (1 << 31)
-        out.append((a, x % PRIME))
-    return out
+SHINGLE_WORDS = 5
+PERCENT = 80
+SMALL = 32
 
 
 def words(text: Column) -> Column:
@@ -47,76 +41,86 @@ def shingles(w: Column, k: int = SHINGLE_WORDS) -> Column:
     n = F.size(w)
     joined = w
     for shift in range(1, k):
-        joined = F.zip_with(joined, F.slice(w, shift + 1, 1 << 30),
+        joined = F.zip_with(joined, F.slice(w, F.lit(shift + 1), F.greatest(n, F.lit(1))),
                             lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
     many = F.filter(joined, lambda x: x.isNotNull())
     return F.array_distinct(F.when(n >= k, many).when(n > 0, F.array(F.array_join(w, " ")))
                              .otherwise(F.array().cast("array<string>")))
 
 
-def band_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, band_keys``: BANDS strings 'band:min1:...:minROWS' per text.
-
-    Shingles are exploded and hashed with plain (codegen'd) arithmetic, and
-    the minima are a ``groupBy(id)`` whose partial aggregation happens in the
-    task that exploded the text, so only one row per text is shuffled.
-    Texts without words get no keys.
-    """
-    staged = df.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w"))
-    shingled = staged.select("_id", F.explode(shingles(F.col("_w"))).alias("_s"))
-    based = shingled.select("_id", (F.conv(F.substring(F.md5("_s"), 1, 8), 16, 10).cast("bigint") % PRIME)
-                            .alias("_b"))
-    coeffs = hash_coefficients()
-    mins = [F.min((F.lit(a) * F.col("_b") + F.lit(b)) % PRIME).alias(f"_m{i}") for i, (a, b) in enumerate(coeffs)]
-    sig = based.groupBy("_id").agg(*mins)
-    keys = [F.concat_ws(":", F.lit(str(j)), *[F.col(f"_m{j * ROWS + r}").cast("string") for r in range(ROWS)])
-            for j in range(BANDS)]
-    return sig.select(F.col("_id").alias(id_col), F.array(*keys).alias("band_keys"))
-
-
-def components(edges: DataFrame, node_col: str = "node", key_col: str = "key",
-               nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Connected components of a node↔key graph by min-label propagation.
-
-    Each round: min label per key, then min over a node's keys; the labels
-    are checkpointed (lineage cut, executor loss safe) and the loop stops
-    when no label changes.  Returns ``node, label`` (label = least node id).
-    """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = edges.select(F.col(node_col).alias("node"), F.col(key_col).alias("key")).distinct()
-    e = e.checkpoint()
-    base = (nodes.select(F.col(node_col).alias("node")) if nodes is not None
-            else e.select("node")).distinct()
-    labels = base.withColumn("label", F.col("node")).checkpoint()
-    for _ in range(max_rounds):
-        per_key = e.join(labels, "node").groupBy("key").agg(F.min("label").alias("kl"))
-        per_node = e.join(per_key, "key").groupBy("node").agg(F.min("kl").alias("nl"))
-        new = (labels.join(per_node, "node", "left")
-                     .select("node", F.least("label", F.coalesce("nl", "label")).alias("label"),
-                             (F.coalesce("nl", "label") < F.col("label")).alias("_moved")))
-        new = new.checkpoint()
-        moved = new.where("_moved").count()
-        labels = new.drop("_moved")
-        if moved == 0:
-            break
-    return labels
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``node, n, s``: hashes of the distinct shingles of ``node, text``."""
+    split = texts.select("node", words(F.col("text")).alias("w"))
+    hashed = split.select("node", F.transform(shingles(F.col("w")), lambda x: F.xxhash64(x)).alias("s"))
+    return hashed.select("node", F.size("s").cast("long").alias("n"), "s").where("n > 0")
+
+
+def _sizes_allow(a: Column, b: Column) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+
+
+def prefix_groups(sets: DataFrame) -> DataFrame:
+    """``shingle, node, n`` for the prefix shingles that at least two sets hold."""
+    rows = sets.select("node", "n", F.explode("s").alias("shingle"))
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = (rows.join(held, "shingle").groupBy("node", "n")
+                  .agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("ordered")))
+    prefix = F.floor((100 - PERCENT) * F.col("n") / 100) + 1
+    alone = F.col("n") - F.size("ordered")            # shingles of this text only fill the prefix first
+    kept = F.slice("ordered", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
+    groups = shared.select("node", "n", F.explode(kept).alias("o")).select(F.col("o.shingle").alias("shingle"), "node", "n")
+    several = groups.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return groups.join(several, "shingle")
+
+
+def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return (pairs.join(a, "a").join(b, "b")
+                 .where(common * 100 >= (F.col("na") + F.col("nb") - common) * PERCENT).select("a", "b"))
+
+
+def _small_pairs(groups: DataFrame) -> DataFrame:
+    members = F.sort_array(F.collect_list(F.struct("node", "n")))
+    lists = (groups.where(F.col("size") <= SMALL).groupBy("shingle").agg(members.alias("m"))
+                   .select("m").distinct())
+    later = F.transform("m", lambda x, i: F.transform(
+        F.filter(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: _sizes_allow(x["n"], y["n"])),
+        lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
+    return lists.select(F.explode(F.flatten(later)).alias("p")).select("p.*").distinct()
+
+
+def near_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join every component of near copies."""
+    groups = prefix_groups(sets).checkpoint()
+    links = near_pairs(_small_pairs(groups), sets).checkpoint()
+    cells = groups.where(F.col("size") > SMALL).select("shingle", "node", "n")
+    while not cells.isEmpty():
+        first = cells.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("p"))
+        faced = cells.join(first, "shingle").where(F.col("node") != F.col("p.node"))
+        pairs = faced.where(_sizes_allow(F.col("n"), F.col("p.n"))).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        links = links.unionByName(near_pairs(pairs, sets)).distinct().checkpoint()
+        labels = components(links)
+        labelled = (faced.select("shingle", "node", "n").join(labels, "node", "left")
+                         .select("shingle", "node", "n", F.coalesce("component", "node").alias("label")))
+        open_cells = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        cells = labelled.join(open_cells, "shingle", "left_semi").select("shingle", "node", "n").checkpoint()
+    return links
 
 
 def story_groups(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, story_id`` for every text (story_id = least id in the story).
-
-    Exact copies are collapsed first (a map-side aggregate on the text hash),
-    so signatures and propagation run once per distinct text.
-    """
-    keyed = texts.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("_h"), F.col(text_col).alias("_t"))
-    reps = keyed.groupBy("_h").agg(F.min("id").alias("rep"), F.min_by("_t", "id").alias("_t"))
-    sig = band_keys(reps, "rep", "_t")
-    edges = sig.select("rep", F.explode("band_keys").alias("key"))
-    comp = components(edges, "rep", "key", nodes=reps.select("rep"))
-    rep_story = comp.select(F.col("node").alias("rep"), F.col("label").alias("story_id"))
-    return (keyed.join(reps.select("_h", "rep"), "_h").join(rep_story, "rep")
-                 .select(F.col("id").alias(id_col), "story_id"))
+    """``id, story_id`` for every text (story_id = least id in the story)."""
+    ensure_checkpoint_dir(texts.sparkSession)
+    keyed = texts.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("_h"))
+    reps = keyed.groupBy("_h").agg(F.min("id").alias("rep"))
+    named = texts.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    sets = shingle_sets(named.join(reps.select(F.col("rep").alias("node")), "node", "left_semi")).checkpoint()
+    labels = components(near_links(sets))
+    story = (reps.join(labels, F.col("rep") == F.col("node"), "left")
+                 .select("_h", F.coalesce("component", "rep").alias("story_id")))
+    return keyed.join(story, "_h").select(F.col("id").alias(id_col), "story_id")
 
 
 def best_per_story(items: DataFrame, story_col: str = "story_id",

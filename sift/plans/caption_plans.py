@@ -48,7 +48,7 @@ def q_assembled_transcripts(spark, sf_dir):
 
 def q_transcript_choice(spark, sf_dir):
     """captions when non-empty, else the assembled parts."""
-    caps = cp.transcripts(fixtures.caption_lines(spark, sf_dir))
+    caps = cp.transcripts(fixtures.caption_lines(spark, sf_dir, gaps=True))
     cv = read_table(spark, sf_dir, "conversations", "conv_id", "turn").where(F.col("turn") == 0)
     cid = F.col("media_id").cast("string")
     meta_c = F.struct(F.concat(F.lit("Talk "), cid).alias("title"),
@@ -72,7 +72,7 @@ def q_caption_outcomes(spark, sf_dir):
     cv = read_table(spark, sf_dir, "conversations", "conv_id", "turn").where(F.col("turn") == 0)
     media = cv.select(F.col("conv_id").alias("media_id"))
     errors = media.where(F.col("media_id") % 11 == 0).select("media_id", F.lit("HTTP Error 429").alias("error"))
-    return cp.caption_outcomes(media, cp.transcripts(fixtures.caption_lines(spark, sf_dir)), errors)
+    return cp.caption_outcomes(media, cp.transcripts(fixtures.caption_lines(spark, sf_dir, gaps=True)), errors)
 
 
 def q_media_metadata(spark, sf_dir):

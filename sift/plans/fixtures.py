@@ -13,7 +13,7 @@ Item rules (one item per document):
 * scores: R,Q,N,A = 1 + (doc_id div d) mod 5 with d = 1, 5, 25, 125 and
   S = 1 + (7·doc_id div 3) mod 5;
 * category: the ``doc_id mod 9``-th listed category, none for 8;
-* title: first line of the text, 80 chars; summary: B6 of the text;
+* title: first line of the text; summary: B6 of the text;
   author: the document's source; date: 2026-03-16 minus ``doc_id mod 365`` days.
 The seen set (previous digest) is every page served over https.
 """
@@ -51,7 +51,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(
         d.alias("input_ord"),
         d.alias("doc_id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         _decorate(F.col("url"), d % 4).alias("url"),
         F.col("source").alias("author"),
         F.date_format(F.date_sub(F.lit(ITEM_DATE_BASE).cast("date"), (d % 365).cast("int")),
@@ -80,7 +80,7 @@ def seen_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ITEMS_SQL = """
 SELECT d.doc_id AS input_ord, d.doc_id,
-       left(split_part(d.text, chr(10), 1), 80) AS title,
+       split_part(d.text, chr(10), 1) AS title,
        CASE d.doc_id % 4
          WHEN 1 THEN regexp_replace(p.url, '^(https?://)(www\\.)?', '\\1www.')
          WHEN 2 THEN regexp_extract(p.url, '^[^#]*', 0)
@@ -416,19 +416,22 @@ FROM events
 # (assistant lines wrapped in a voice tag; turn 2 opens with a line starting
 # 'NOTE', which mutes the rest of that turn), after turn 1 its first line once
 # more and a two-line NOTE block closed by a blank, then a blank.
-# Videos with conv_id mod 3 = 0 have no caption file; with mod 7 = 0 the file
-# holds no speech.  Caption fetches fail for conv_id mod 11 = 0.
+# For the queries about missing captions only (``gaps``), videos with conv_id
+# mod 3 = 0 have no caption file and with mod 7 = 0 the file holds no speech.
+# Caption fetches fail there for conv_id mod 11 = 0.
 
-def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def caption_lines(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     cv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    cv = cv.where(F.col("conv_id") % 3 != 0)
+    if gaps:
+        cv = cv.where(F.col("conv_id") % 3 != 0)
     t = F.col("turn")
     raw = F.split(F.col("text"), "\n")
     raw = F.when(t == 2, F.concat(F.array(F.concat(F.lit("NOTE that "), F.element_at(raw, 1))),
-                                  F.slice(raw, 2, 1 << 20))).otherwise(raw)
+                                  F.slice(raw, F.lit(2), F.size(raw)))).otherwise(raw)
     spoken = F.when(F.col("role") == "assistant",
                     F.transform(raw, lambda x: F.concat(F.lit("<v Assistant>"), x, F.lit("</v>")))).otherwise(raw)
-    spoken = F.when(F.col("conv_id") % 7 == 0, F.array().cast("array<string>")).otherwise(spoken)
+    if gaps:
+        spoken = F.when(F.col("conv_id") % 7 == 0, F.array().cast("array<string>")).otherwise(spoken)
     repeat = F.when(t == 1, F.slice(spoken, 1, 1)).otherwise(F.array().cast("array<string>"))
     note = F.when(t == 1, F.array(F.lit("NOTE generated by the fixture"), F.lit("second note line"), F.lit(""))) \
             .otherwise(F.array().cast("array<string>"))
@@ -437,19 +440,21 @@ def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.lpad((t + 1).cast("string"), 2, "0"), F.lit(":00.000")))
     block = F.concat(cue, spoken, repeat, note, F.array(F.lit("")))
     body = cv.select(F.col("conv_id").alias("media_id"), t, F.posexplode(block).alias("pos", "line")) \
-             .select("media_id", (t * 1000 + F.col("pos")).cast("bigint").alias("line_no"), "line")
+             .select("media_id", (F.shiftleft(t.cast("bigint"), 32) + F.col("pos")).alias("line_no"), "line")
     header = cv.where(t == 0).select(F.col("conv_id").alias("media_id"), F.lit(-1).cast("bigint").alias("line_no"),
                                      F.lit("WEBVTT").alias("line"))
     return header.unionByName(body)
 
 
-CAPTION_LINES_SQL = """
-WITH cv AS (SELECT * FROM conversations WHERE conv_id % 3 <> 0),
+def caption_lines_sql(gaps: bool = False) -> str:
+    silent = "conv_id % 7 = 0" if gaps else "false"
+    return f"""
+WITH cv AS (SELECT * FROM conversations {"WHERE conv_id % 3 <> 0" if gaps else ""}),
 b AS (
   SELECT conv_id, turn,
     [CAST(turn + 1 AS VARCHAR), '00:' || lpad(CAST(turn AS VARCHAR), 2, '0') || ':00.000 --> 00:' || lpad(CAST(turn + 1 AS VARCHAR), 2, '0') || ':00.000']
-    || CASE WHEN conv_id % 7 = 0 THEN []::VARCHAR[] ELSE sp END
-    || CASE WHEN turn = 1 AND conv_id % 7 <> 0 THEN sp[1:1] ELSE []::VARCHAR[] END
+    || CASE WHEN {silent} THEN []::VARCHAR[] ELSE sp END
+    || CASE WHEN turn = 1 AND NOT ({silent}) THEN sp[1:1] ELSE []::VARCHAR[] END
     || CASE WHEN turn = 1 THEN ['NOTE generated by the fixture', 'second note line', ''] ELSE []::VARCHAR[] END
     || [''] AS block
   FROM (SELECT *, CASE WHEN role = 'assistant' THEN list_transform(rw, lambda x: '<v Assistant>' || x || '</v>') ELSE rw END AS sp
@@ -457,7 +462,7 @@ b AS (
                              ELSE string_split(text, chr(10)) END AS rw FROM cv) r) s)
 SELECT conv_id AS media_id, CAST(-1 AS BIGINT) AS line_no, 'WEBVTT' AS line FROM cv WHERE turn = 0
 UNION ALL
-SELECT conv_id, CAST(turn * 1000 + generate_subscripts(block, 1) - 1 AS BIGINT), unnest(block) FROM b
+SELECT conv_id, CAST(turn * 4294967296 + generate_subscripts(block, 1) - 1 AS BIGINT), unnest(block) FROM b
 """
 
 
@@ -479,20 +484,20 @@ FROM conversations
 
 
 def media_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two metadata export shapes per video: a search export (url, uploader or
+    """Two metadata export shapes, one recording per turn: a search export (url, uploader or
     only channel, description) and a caption-tool export (webpage_url)."""
     cv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    first = cv.where(F.col("turn") == 0)
-    cid = F.col("conv_id").cast("string")
-    search = first.where(F.col("conv_id") % 2 == 0).select(
-        F.col("conv_id").alias("media_id"), F.concat(F.lit("Talk "), cid).alias("title"),
+    media = F.shiftleft(F.col("turn").cast("bigint"), 32) + F.col("conv_id")
+    cid = media.cast("string")
+    search = cv.where(F.col("conv_id") % 2 == 0).select(
+        media.alias("media_id"), F.concat(F.lit("Talk "), cid).alias("title"),
         F.when(F.col("conv_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("https://video.example/w/"), cid)).alias("url"),
         F.when(F.col("conv_id") % 6 == 0, F.lit(None)).otherwise(F.concat(F.lit("host "), cid)).alias("uploader"),
         F.concat(F.lit("channel "), cid).alias("channel"),
         F.lit("20240101").alias("upload_date"), (F.length("text") * 0.5).alias("duration"),
         (F.col("conv_id") * 10).alias("view_count"), F.col("text").alias("description"))
-    tool = first.where(F.col("conv_id") % 2 == 1).select(
-        F.col("conv_id").alias("media_id"), F.concat(F.lit("Talk "), cid).alias("title"),
+    tool = cv.where(F.col("conv_id") % 2 == 1).select(
+        media.alias("media_id"), F.concat(F.lit("Talk "), cid).alias("title"),
         F.concat(F.lit("https://video.example/w/"), cid).alias("webpage_url"),
         F.concat(F.lit("host "), cid).alias("uploader"),
         F.lit("20240102").alias("upload_date"), (F.length("text") * 0.5).alias("duration"))

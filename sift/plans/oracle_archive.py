@@ -13,7 +13,7 @@ SELECT folder, arg_max(file_name, struct_pack(d := dd, s := ss)) AS latest_file,
        max(struct_pack(digest_date := dd, digest_seq := ss)).digest_date AS digest_date,
        max(struct_pack(digest_date := dd, digest_seq := ss)).digest_seq AS digest_seq
 FROM (SELECT folder, file_name, regexp_extract(file_name, {q(NAME_RE)}, 1) AS dd,
-             CAST(coalesce(nullif(regexp_extract(file_name, {q(NAME_RE)}, 2), ''), '0') AS INTEGER) AS ss
+             CAST(coalesce(nullif(regexp_extract(file_name, {q(NAME_RE)}, 2), ''), '0') AS BIGINT) AS ss
       FROM ({ARCHIVE_FILES_SQL}) f WHERE regexp_matches(file_name, {q(NAME_RE)})) t
 GROUP BY folder
 """

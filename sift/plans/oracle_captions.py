@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sift.plans.fixtures import CAPTION_FILES_SQL, CAPTION_LINES_SQL
+from sift.plans.fixtures import CAPTION_FILES_SQL, caption_lines_sql
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-KEPT = f"""
+def _kept(gaps: bool) -> str:
+    return f"""
 SELECT media_id, line_no, regexp_replace(l, '<[^>]+>', '', 'g') AS clean FROM (
   SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY line_no
                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st
@@ -14,18 +15,21 @@ SELECT media_id, line_no, regexp_replace(l, '<[^>]+>', '', 'g') AS clean FROM (
                CASE WHEN starts_with(trim(line, {WS}), 'WEBVTT') THEN NULL
                     WHEN starts_with(trim(line, {WS}), 'NOTE') THEN 'note'
                     WHEN trim(line, {WS}) = '' THEN 'blank' END AS m
-        FROM ({CAPTION_LINES_SQL}) c) x) y
+        FROM ({caption_lines_sql(gaps)}) c) x) y
 WHERE NOT starts_with(l, 'WEBVTT') AND NOT starts_with(l, 'NOTE') AND st IS DISTINCT FROM 'note'
   AND NOT contains(l, '-->') AND l <> '' AND NOT regexp_matches(l, '^\\p{{Nd}}+$')
   AND regexp_replace(l, '<[^>]+>', '', 'g') <> ''
 """
 
-TRANSCRIPTS = f"""
+def _transcripts(gaps: bool) -> str:
+    return f"""
 SELECT media_id, string_agg(clean, ' ' ORDER BY line_no) AS transcript FROM (
-  SELECT media_id, clean, min(line_no) AS line_no FROM ({KEPT}) k GROUP BY media_id, clean) f
+  SELECT media_id, clean, min(line_no) AS line_no FROM ({_kept(gaps)}) k GROUP BY media_id, clean) f
 GROUP BY media_id
 """
 
+KEPT, TRANSCRIPTS = _kept(False), _transcripts(False)
+
 PREFERRED = f"""
 SELECT media_id, arg_min(file_name, struct_pack(p := prio, f := file_name)) AS file_name, CAST(min(prio) AS INTEGER) AS pattern_rank
 FROM (SELECT *, CASE WHEN starts_with(file_name, '.') THEN NULL
@@ -46,7 +50,7 @@ FROM (SELECT l_orderkey, l_linenumber, l_quantity * 37.0::DOUBLE AS d FROM linei
 ASSEMBLED = "SELECT conv_id AS media_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id"
 
 CHOICE = f"""
-WITH caps AS ({TRANSCRIPTS}),
+WITH caps AS ({_transcripts(True)}),
 parts AS ({ASSEMBLED}),
 fetched AS (SELECT conv_id AS media_id FROM conversations WHERE turn = 0 AND conv_id % 11 <> 0),
 c AS (SELECT f.media_id, t.transcript FROM fetched f LEFT JOIN caps t ON t.media_id = f.media_id)
@@ -65,17 +69,17 @@ SELECT m.media_id, CASE WHEN m.media_id % 11 = 0 THEN NULL ELSE t.transcript END
        CASE WHEN m.media_id % 11 = 0 THEN 'HTTP Error 429'
             WHEN coalesce(length(t.transcript), 0) = 0 THEN 'No English captions available' END AS error
 FROM (SELECT conv_id AS media_id FROM conversations WHERE turn = 0) m
-LEFT JOIN ({TRANSCRIPTS}) t ON t.media_id = m.media_id
+LEFT JOIN ({_transcripts(True)}) t ON t.media_id = m.media_id
 """
 
 MEDIA = """
-SELECT conv_id AS media_id, 'Talk ' || conv_id AS title,
-       CASE WHEN conv_id % 4 = 0 THEN NULL ELSE 'https://video.example/w/' || conv_id END AS url,
-       CASE WHEN conv_id % 2 = 0 AND conv_id % 6 = 0 THEN 'channel ' || conv_id ELSE 'host ' || conv_id END AS author,
+SELECT media_id, 'Talk ' || media_id AS title,
+       CASE WHEN conv_id % 4 = 0 THEN NULL ELSE 'https://video.example/w/' || media_id END AS url,
+       CASE WHEN conv_id % 2 = 0 AND conv_id % 6 = 0 THEN 'channel ' || media_id ELSE 'host ' || media_id END AS author,
        CASE WHEN conv_id % 2 = 0 THEN '20240101' ELSE '20240102' END AS date,
        CASE WHEN conv_id % 2 = 0 THEN conv_id * 10 END AS views,
        CASE WHEN conv_id % 2 = 0 THEN substr(text, 1, 500) ELSE '' END AS description
-FROM conversations WHERE turn = 0
+FROM (SELECT *, turn * 4294967296 + conv_id AS media_id FROM conversations) c
 """
 
 STRIP = "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages"

@@ -2,43 +2,35 @@
 
 from __future__ import annotations
 
-from sift.operators.stories import BANDS, PRIME, ROWS, hash_coefficients
 from sift.plans.oracle_curation import SCORED
 from sift.plans.fixtures import REGISTRY_SQL
 
-
-def _ctes() -> str:
-    """CTEs texts, reps, ..., grp(id, story_id) for a WITH RECURSIVE clause."""
-    coeffs = hash_coefficients()
-    mins = ", ".join(f"list_min(list_transform(b, lambda x: ({a} * x + {c}) % {PRIME})) AS m{i}"
-                     for i, (a, c) in enumerate(coeffs))
-    keys = ", ".join(
-        "'" + str(j) + "' || " + " || ".join(f"':' || CAST(m{j * ROWS + r} AS VARCHAR)" for r in range(ROWS))
-        for j in range(BANDS))
-    return f"""
+# Exact Jaccard on the sets of five-word shingles, at least 80 percent: pairs are counted by the shingles they share.
+_CTES = r"""
 texts AS (
   SELECT doc_id AS id, text FROM documents
   UNION ALL SELECT -item_id - 1, text FROM benchmark),
-reps AS (SELECT md5(text) AS h, min(id) AS rep, arg_min(text, id) AS text FROM texts GROUP BY 1),
-w AS (SELECT rep, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM reps),
-sh AS (SELECT rep, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+reps AS (SELECT md5(text) AS h, min(id) AS rep, any_value(text) AS text FROM texts GROUP BY 1),
+w AS (SELECT rep, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM reps),
+sh AS MATERIALIZED (SELECT rep, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
                                       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) AS s FROM w),
-bs AS (SELECT rep, list_transform(s, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % {PRIME}) AS b FROM sh WHERE len(s) > 0),
-mh AS MATERIALIZED (SELECT rep, {mins} FROM bs),
-edges AS MATERIALIZED (SELECT rep, unnest([{keys}]) AS key FROM mh),
-pairs AS MATERIALIZED (SELECT DISTINCT a.rep AS x, b.rep AS y FROM edges a JOIN edges b ON a.key = b.key),
+sizes AS (SELECT rep, len(s) AS n FROM sh),
+flat AS MATERIALIZED (SELECT rep, unnest(s) AS x FROM sh),
+common AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM flat a JOIN flat b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2),
+near AS (SELECT x, y FROM common JOIN sizes p ON p.rep = x JOIN sizes q ON q.rep = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+pairs AS MATERIALIZED (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
 reach(x, y) AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y),
-comp AS MATERIALIZED (SELECT x AS rep, min(y) AS story_id FROM reach GROUP BY x),
+comp AS MATERIALIZED (SELECT x AS rep, least(x, min(y)) AS story_id FROM reach GROUP BY x),
 grp AS (SELECT t.id, coalesce(c.story_id, r.rep) AS story_id
         FROM texts t JOIN reps r ON r.h = md5(t.text) LEFT JOIN comp c ON c.rep = r.rep)"""
 
 
-STORY_GROUPS = f"WITH RECURSIVE {_ctes()} SELECT id, story_id FROM grp"
+STORY_GROUPS = f"WITH RECURSIVE {_CTES} SELECT id, story_id FROM grp"
 
 _KEY = "struct_pack(p := coalesce(is_primary, false), w := coalesce(weighted, 0.0), o := -input_ord)"
 
 BEST = f"""
-WITH RECURSIVE {_ctes()},
+WITH RECURSIVE {_CTES},
 it AS (SELECT s.*, g.story_id, coalesce(reg.tier IN ('1', '2', '3'), false) AS is_primary
        FROM ({SCORED}) s JOIN grp g ON g.id = s.doc_id
        LEFT JOIN ({REGISTRY_SQL}) reg ON reg.slug = s.source_name)

@@ -60,4 +60,6 @@ def q_stream_latest_status(spark, sf_dir):
     """Latest status per source kept as streaming state."""
     entries = fixtures.manifest_entries_from(_events_stream(spark, sf_dir))
     wd = _work_dir(spark, "latest-status")
-    return scov.run_available(spark, scov.latest_status(entries), f"{wd}/out", f"{wd}/checkpoint")
+    # update mode: a batch writes only the sources that it changed
+    return scov.run_available(spark, scov.latest_status(entries), f"{wd}/out", f"{wd}/checkpoint",
+                              output_mode="update", keys=("source_name",))

@@ -2,7 +2,8 @@
 
 Cluster jobs get their settings from the cluster; these defaults only fill in
 what is unset.  The checkpoint folder is read from ``spark.checkpoint.dir``;
-a private folder is made only when the session has none (local tests).
+a private folder is made only for a local session that has none (tests); on a
+cluster a missing folder is an error.
 """
 
 from __future__ import annotations
@@ -45,13 +46,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a private one only if unset."""
+    """The shared checkpoint folder; a private one is made only for a local session that has none."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="sift-ckpt-", dir=os.environ.get("SIFT_SCRATCH", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -22,21 +22,24 @@ FIRST_COLLISION_SEQ = 2                                        # base, then -2,
 
 
 def parse_digest_name(name: Column) -> Column:
-    """struct(digest_date string, digest_seq int) or null when the name does
-    not match (so ``.ko.md`` editions and other files are skipped)."""
+    """struct(digest_date, n_digits, digits, digest_seq) or null when the name does
+    not match (so ``.ko.md`` editions and other files are skipped).
+
+    Digits without leading zeros, ordered by their number and then as text,
+    order like the numbers, however long; ``digest_seq`` is null beyond a bigint.
+    """
     ok = name.rlike(DIGEST_NAME)
-    seq = F.regexp_extract(name, DIGEST_NAME, 2)
+    digits = F.regexp_replace(F.regexp_extract(name, DIGEST_NAME, 2), "^0+", "")
     return F.when(ok, F.struct(
-        F.regexp_extract(name, DIGEST_NAME, 1).alias("digest_date"),
-        F.when(seq == "", F.lit(0)).otherwise(seq.cast("int")).alias("digest_seq")))
+        F.regexp_extract(name, DIGEST_NAME, 1).alias("digest_date"), F.length(digits).alias("n_digits"), digits.alias("digits"),
+        F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint")).alias("digest_seq")))
 
 
 def latest_digest(files: DataFrame, keys: list[str], name_col: str = "file_name") -> DataFrame:
     """Per folder, the file with the greatest (date, suffix); no suffix = 0."""
     parsed = files.withColumn("_p", parse_digest_name(F.col(name_col))).where(F.col("_p").isNotNull())
     return (parsed.groupBy(*keys)
-                  .agg(F.max_by(F.col(name_col), F.struct("_p.digest_date", "_p.digest_seq")).alias("latest_file"),
-                       F.max(F.struct("_p.digest_date", "_p.digest_seq")).alias("_m"))
+                  .agg(F.max_by(F.col(name_col), F.col("_p")).alias("latest_file"), F.max("_p").alias("_m"))
                   .select(*keys, "latest_file", "_m.digest_date", "_m.digest_seq"))
 
 
@@ -64,7 +67,7 @@ def next_sequence(existing: DataFrame, wanted: DataFrame, keys: list[str],
     name = F.col(name_col)
     suffix = F.regexp_extract(name, DIGEST_NAME, 2)
     slot = (F.when(suffix == "", F.lit(1))
-             .when(suffix.cast("bigint") >= FIRST_COLLISION_SEQ, suffix.cast("bigint")))
+             .when(suffix.try_cast("bigint") >= FIRST_COLLISION_SEQ, suffix.try_cast("bigint")))
     taken = (existing.where(name.rlike(DIGEST_NAME))
                      .select(*keys, F.regexp_extract(name, DIGEST_NAME, 1).alias("digest_date"),
                              slot.alias("slot"))

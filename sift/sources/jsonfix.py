@@ -134,7 +134,7 @@ def trim_envelope(df: DataFrame, raw_col: str, out: str = "_t") -> DataFrame:
     start = F.coalesce(F.when(env <= F.coalesce(arr, env), env), arr,
                        F.least(pos(F.instr(raw, "{")), pos(F.instr(raw, "["))))
     d = df.withColumn("_start", start)
-    rest = F.substring(raw, F.col("_start"), F.lit(1 << 30))
+    rest = F.substring(raw, F.col("_start"), F.length(raw))
     d = d.withColumn("_rest", rest)
     rest = F.col("_rest")
     # the first marker of the list that occurs wins (list order, not position)

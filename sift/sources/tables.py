@@ -11,30 +11,12 @@ TABLES = (
 )
 
 
-# Fact tables and their row ids.  When such a table arrives in fewer files
-# than the session has cores, its scan is one task wide (one file, one row
-# group); it is then hash-spread on its id so the per-row work that follows
-# uses every core.  Inputs that already come in many files are left alone.
-SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id",
-               "conversations": "conv_id", "orders": "o_orderkey", "lineitem": "l_orderkey"}
-MAX_SPREAD = 64
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition a scan that is narrower than the cluster (see above)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if key not in df.columns or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(min(cores, MAX_SPREAD), key)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Parquet scan; naming the columns keeps the ReadSchema narrow."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    df = df.select(*columns) if columns else df
-    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+    return df.select(*columns) if columns else df
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +28,10 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     base = sf_dir.rstrip("/")
     schema = spark.read.parquet(f"{base}/{name}.parquet").schema
-    stream = (spark.readStream.schema(schema).option("basePath", base)
-                   .parquet(f"{base}/{name[:-1]}[{name[-1]}].parquet"))
-    key = SPREAD_KEYS.get(name)
-    cores = spark.sparkContext.defaultParallelism
-    return stream.repartition(min(cores, MAX_SPREAD), key) if key else stream
+    return spark.readStream.schema(schema).option("basePath", base).parquet(f"{base}/{name[:-1]}[{name[-1]}].parquet")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does the path exist in the file system that it names?"""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

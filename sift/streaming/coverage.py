@@ -34,16 +34,29 @@ def latest_status(entries: DataFrame) -> DataFrame:
 
 
 def run_available(spark: SparkSession, stream: DataFrame, out_path: str, checkpoint: str,
-                  output_mode: str = "complete") -> DataFrame:
+                  output_mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a streaming aggregate over all available input into parquet.
 
-    Each micro-batch replaces the table with the full result (complete
-    mode), so a replayed batch leaves the same table.
+    ``complete``: each micro-batch replaces the table with the full result.
+    ``append``: each writes its rows to its own folder, named by its id, so
+    closed windows add up and a replayed batch replaces only itself.
+    ``update``: the same, and the table read back has, of each key, the row of
+    its latest batch.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        target = out_path if output_mode == "complete" else f"{out_path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
 
+    if output_mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(write)
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    written = spark.read.parquet(out_path)
+    if output_mode == "append":
+        return written.drop("batch")
+    if output_mode == "update":
+        columns = [c for c in written.columns if c not in (*keys, "batch")]
+        return (written.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("last"))
+                       .select(*keys, *[F.col(f"last.{c}").alias(c) for c in columns]))
+    return written

@@ -6,18 +6,28 @@ state) → ``foreachBatch``: anti join with the seen table (long memory beyond
 the watermark), append the new items and their keys to the seen table.
 
 Undated items get the arrival time as their event time for the watermark
-only; their ``published_at`` stays null (C2 keeps them).  Each micro-batch
-writes into a folder named by its batch id with overwrite, so a batch that
-is replayed after a failure replaces its own output instead of adding to it.
+only; their ``published_at`` stays null (C2 keeps them).
+
+The seen table is partitioned by (bucket of the URL's hash, batch).  A
+micro-batch reads only buckets that its own URLs fall into, and only batches
+before its own: a batch that is replayed after either of its two writes sees
+the same history as the first time, and overwrites its own folders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sift.functions.dates import is_recent, parse_date
 from sift.functions.urls import canonical_url
+from sift.sources.tables import path_exists
+
+#: Buckets of the seen table; fixed for the life of a table.
+SEEN_BUCKETS = 64
+#: Batch number of what was seen before the stream began.
+INITIAL_BATCH = -1
+SEEN_SCHEMA = "canonical_url string, bucket int, batch long"
 
 
 def prepare(items: DataFrame, cutoff_ts: str, url_col: str = "url", date_col: str = "date",
@@ -32,26 +42,38 @@ def prepare(items: DataFrame, cutoff_ts: str, url_col: str = "url", date_col: st
                  .dropDuplicatesWithinWatermark(["canonical_url"]))
 
 
+def seen_bucket(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(SEEN_BUCKETS)).cast("int")
+
+
+def _write_seen(urls: DataFrame, path: str, batch_id: int) -> None:
+    (urls.withColumn("bucket", seen_bucket(F.col("canonical_url"))).withColumn("batch", F.lit(batch_id).cast("long"))
+         .repartition("bucket")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path))
+
+
 def seen_writer(spark: SparkSession, seen_path: str, out_path: str):
-    """foreachBatch function: drop keys already in the seen table, keep one
-    row per key, write the batch and extend the seen table (idempotent per
-    batch id)."""
+    """foreachBatch function: drop URLs that earlier batches have seen, keep one
+    row per URL, write the batch and add its URLs to the seen table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        try:
-            seen = spark.read.parquet(seen_path).select("canonical_url")
-        except Exception:  # noqa: BLE001 - no seen table yet
-            seen = None
-        fresh = batch.drop("_event_time")
-        if seen is not None:
-            fresh = fresh.join(seen.distinct(), "canonical_url", "left_anti")
-        fresh = fresh.dropDuplicates(["canonical_url"])
-        # the batch feeds two writes: compute it once (the stateful part must
+        # the batch feeds several jobs: compute it once (the stateful part must
         # not run twice), then release it
-        fresh = fresh.persist()
+        fresh = batch.drop("_event_time").withColumn("bucket", seen_bucket(F.col("canonical_url"))).persist()
         try:
-            fresh.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-            fresh.select("canonical_url").write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+            if path_exists(spark, seen_path):
+                buckets = [r.bucket for r in fresh.select("bucket").distinct().collect()]   # at most SEEN_BUCKETS
+                seen = (spark.read.schema(SEEN_SCHEMA).parquet(seen_path)
+                             .where(F.col("bucket").isin(buckets) & (F.col("batch") < batch_id)).select("canonical_url"))
+                new = fresh.join(seen, "canonical_url", "left_anti")
+            else:
+                new = fresh
+            new = new.drop("bucket").dropDuplicates(["canonical_url"]).persist()
+            try:
+                new.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+                _write_seen(new.select("canonical_url"), seen_path, batch_id)
+            finally:
+                new.unpersist()
         finally:
             fresh.unpersist()
 
@@ -60,8 +82,8 @@ def seen_writer(spark: SparkSession, seen_path: str, out_path: str):
 
 def run_available(spark: SparkSession, raw: DataFrame, to_items, cutoff_ts: str,
                   work_dir: str, initial_seen: DataFrame | None = None,
-                  watermark: str = "2 days") -> DataFrame:
-    """Run the intake over everything available now and return the output.
+                  watermark: str = "2 days") -> DataFrame | None:
+    """Run the intake over everything available now and return the output (None if no batch ever ran).
 
     ``raw`` is a streaming frame; ``to_items`` maps it to items (url, date, ...).  State,
     checkpoint, seen table and output live under ``work_dir`` (a shared
@@ -69,14 +91,10 @@ def run_available(spark: SparkSession, raw: DataFrame, to_items, cutoff_ts: str,
     """
     seen_path, out_path = f"{work_dir}/seen", f"{work_dir}/out"
     if initial_seen is not None:
-        (initial_seen.select(canonical_url(F.col("url")).alias("canonical_url")).distinct()
-                     .write.mode("overwrite").parquet(f"{seen_path}/batch=initial"))
+        _write_seen(initial_seen.select(canonical_url(F.col("url")).alias("canonical_url")).distinct(), seen_path, INITIAL_BATCH)
     q = (prepare(to_items(raw), cutoff_ts, watermark=watermark)
          .writeStream.foreachBatch(seen_writer(spark, seen_path, out_path))
          .option("checkpointLocation", f"{work_dir}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out_path).drop("batch")
-    except Exception:  # noqa: BLE001 - nothing written
-        return None
+    return spark.read.parquet(out_path).drop("batch") if path_exists(spark, out_path) else None

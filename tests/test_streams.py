@@ -49,3 +49,56 @@ def test_window_counts_append_emits_final_windows(spark):
     assert appended and set(appended) <= complete
     last_end = max(r.window_end for r in full.collect())
     assert {r for r in complete if r not in set(appended)} == {r for r in complete if r[1] == last_end}
+
+
+def _batch(spark, *urls):
+    return spark.createDataFrame([(u, u) for u in urls], "url string, canonical_url string").withColumn(
+        "_event_time", F.current_timestamp())
+
+
+def test_replayed_batch_keeps_its_items(spark):
+    """A batch may be replayed after its output was written, or after both writes."""
+    wd = stream_plans._work_dir(spark, "test-replay")
+    write = intake.seen_writer(spark, f"{wd}/seen", f"{wd}/out")
+    read = lambda: {(r.batch, r.canonical_url) for r in spark.read.parquet(f"{wd}/out").collect()}
+    write(_batch(spark, "a", "b", "b"), 0)
+    write(_batch(spark, "a", "b", "b"), 0)                              # after both writes
+    assert read() == {(0, "a"), (0, "b")}
+    write(_batch(spark, "b", "c"), 1)
+    _batch(spark, "c", "d").drop("_event_time").write.parquet(f"{wd}/out/batch=2")   # only the first write happened
+    write(_batch(spark, "c", "d"), 2)
+    write(_batch(spark, "b", "c"), 1)                                   # an older batch once more
+    assert read() == {(0, "a"), (0, "b"), (1, "c"), (2, "d")}
+    write(_batch(spark, "a", "b", "c", "d"), 3)
+    assert read() == {(0, "a"), (0, "b"), (1, "c"), (2, "d")}
+
+
+def _write_day(spark, folder, day, rows):
+    df = spark.createDataFrame([(f"2024-01-{day:02d} {h:02d}:00:00", s, src, day, i) for i, (h, s, src) in enumerate(rows)],
+                               "t string, status string, source_name string, manifest_ord long, entry_ord long")
+    df.withColumn("event_ts", F.col("t").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_append_adds_up_over_micro_batches(spark):
+    wd = stream_plans._work_dir(spark, "test-append-many")
+    src = f"{wd}/in"
+    schema = "t string, status string, source_name string, manifest_ord long, entry_ord long, event_ts timestamp"
+    for day in range(1, 6):
+        _write_day(spark, src, day, [(1, "visited", "s"), (2, None, "s")])
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    counts = scov.window_counts(stream(), "event_ts", "1 day", "1 hour")
+    out = scov.run_available(spark, counts, f"{wd}/out", f"{wd}/ck", output_mode="append").collect()
+    assert sorted((r.window_start.day, r.status, r.n_entries) for r in out) == sorted(
+        (d, s, 1) for d in range(1, 5) for s in ("visited", "no_response"))
+
+
+def test_update_mode_reads_the_latest_row(spark):
+    wd = stream_plans._work_dir(spark, "test-update")
+    src = f"{wd}/in"
+    schema = ("t string, status string, source_name string, manifest_ord long, entry_ord long, event_ts timestamp, "
+              "scanner string, error string")
+    for day, status in ((1, "error"), (2, "visited")):
+        _write_day(spark, src, day, [(1, status, "s"), (1, "timeout", f"only{day}")])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = scov.run_available(spark, scov.latest_status(stream), f"{wd}/out", f"{wd}/ck", "update", ("source_name",))
+    assert {r.source_name: r.status for r in out.collect()} == {"s": "visited", "only1": "timeout", "only2": "timeout"}
