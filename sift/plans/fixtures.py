@@ -358,11 +358,13 @@ def timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- scanner output texts from events -------------------------------------------
 # A message holds the five events with the same event_id div 5, one item per
-# event (title, url, tier by user, source name).  By message id mod 8:
+# event (title, url, tier by user, source name).  By message id mod 12:
 # 0 clean array, 1 clean envelope with meta, 2 prose before the array,
 # 3 stray quotes in the titles, 4 array cut inside the 4th item with
 # '... [TRUNCATED', 5 envelope cut the same way with '…[TRUNCATED',
-# 6 source_name missing on odd events, 7 no JSON at all.
+# 6 source_name missing on odd events, 7 no JSON at all, 8 an array that ends
+# with a string and a number, 9 every title given twice (the last one counts),
+# 10 a NaN in every item, 11 an envelope whose meta numbers are text.
 
 MSG_SIZE = 5
 
@@ -370,14 +372,15 @@ MSG_SIZE = 5
 def scanner_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
     msg = F.floor(F.col("event_id") / MSG_SIZE).cast("bigint")
-    kind = msg % 8
+    kind = msg % 12
     eid = F.col("event_id").cast("string")
     title = F.when(kind == 3, F.concat(F.lit("Event "), eid, F.lit(' "'), F.col("event_type"), F.lit('" seen'))) \
              .otherwise(F.concat(F.lit("Event "), eid, F.lit(" "), F.col("event_type")))
     tier = F.element_at(F.array(*[F.lit(t) for t in TIERS]), (F.col("user_id") % 9 + 1).cast("int"))
     name = F.when((kind == 6) & (F.col("event_id") % 2 == 1), F.lit("")).otherwise(
         F.concat(F.lit(', "source_name": "user '), F.col("user_id").cast("string"), F.lit('"')))
-    item = F.concat(F.lit('{"title": "'), title, F.lit('", "url": "https://ev.example/e/'), eid,
+    before = F.when(kind == 9, F.lit('"title": "old", ')).when(kind == 10, F.lit('"score": NaN, ')).otherwise(F.lit(""))
+    item = F.concat(F.lit("{"), before, F.lit('"title": "'), title, F.lit('", "url": "https://ev.example/e/'), eid,
                     F.lit('", "source_tier": "'), tier, F.lit('"'), name, F.lit("}"))
     pos = (F.col("event_id") % MSG_SIZE + 1)
     g = (ev.select(msg.alias("msg_id"), kind.alias("kind"), F.struct(pos.alias("pos"), item.alias("x")).alias("e"))
@@ -394,19 +397,25 @@ def scanner_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k == 4, F.concat(F.lit("["), head3, F.lit(", "), part4, F.lit("... [TRUNCATED 99 chars]")))
             .when(k == 5, F.concat(F.lit('{"items": ['), head3, F.lit(", "), part4, F.lit("…[TRUNCATED")))
             .when(k == 7, F.lit("scanner failed: timeout after 300 s"))
+            .when(k == 8, F.concat(F.lit("["), allj, F.lit(', "see above", 7]')))
+            .when(k == 11, F.concat(F.lit('{"items": ['), allj, F.lit('], "meta": {"scanned": "'),
+                                    (F.col("msg_id") * 10).cast("string"), F.lit('", "sweep_num": "3"}}')))
             .otherwise(F.concat(F.lit("["), allj, F.lit("]"))))
     return g.select("msg_id", raw.alias("raw"))
 
 
 # the items each message should yield, from the events themselves
 SCANNER_ITEMS_SQL = """
-SELECT event_id // 5 AS msg_id, (event_id // 5) % 8 AS kind, CAST(event_id % 5 AS INTEGER) AS item_pos,
-       CASE WHEN (event_id // 5) % 8 = 3 THEN 'Event ' || event_id || ' "' || event_type || '" seen'
+SELECT event_id // 5 AS msg_id, (event_id // 5) % 12 AS kind, CAST(event_id % 5 AS INTEGER) AS item_pos,
+       CASE WHEN (event_id // 5) % 12 = 3 THEN 'Event ' || event_id || ' "' || event_type || '" seen'
             ELSE 'Event ' || event_id || ' ' || event_type END AS title,
        'https://ev.example/e/' || event_id AS url,
        ['1','2','3','3b','4','5','6','7','8'][CAST(user_id % 9 AS INTEGER) + 1] AS source_tier,
-       CASE WHEN (event_id // 5) % 8 = 6 AND event_id % 2 = 1 THEN NULL ELSE 'user ' || user_id END AS source_name
+       CASE WHEN (event_id // 5) % 12 = 6 AND event_id % 2 = 1 THEN NULL ELSE 'user ' || user_id END AS source_name
 FROM events
+UNION ALL
+SELECT msg_id, 8, CAST(n + i AS INTEGER), NULL, NULL, NULL, NULL
+FROM (SELECT event_id // 5 AS msg_id, max(event_id % 5) + 1 AS n FROM events WHERE (event_id // 5) % 12 = 8 GROUP BY 1) m, range(2) r(i)
 """
 
 

@@ -25,9 +25,9 @@ LEFT JOIN (SELECT outcome, count(*) AS n_items, count(*) FILTER (WHERE source_na
 
 SETTINGS = f"""
 SELECT msg_id, {OUTCOME} AS outcome,
-       CASE WHEN kind = 7 THEN 'none' WHEN kind IN (1, 5) THEN 'envelope' ELSE 'array' END AS kind,
-       CAST(CASE WHEN kind = 1 THEN coalesce(nullif(msg_id * 10, 0), 0) ELSE 0 END AS BIGINT) AS scanned,
-       CAST(CASE WHEN kind = 1 THEN nullif(msg_id % 5, 0) END AS BIGINT) AS sweep_num
+       CASE WHEN kind = 7 THEN 'none' WHEN kind IN (1, 5, 11) THEN 'envelope' ELSE 'array' END AS kind,
+       CAST(CASE WHEN kind IN (1, 11) THEN coalesce(nullif(msg_id * 10, 0), 0) ELSE 0 END AS BIGINT) AS scanned,
+       CAST(CASE kind WHEN 1 THEN nullif(msg_id % 5, 0) WHEN 11 THEN 3 END AS BIGINT) AS sweep_num
 FROM (SELECT DISTINCT msg_id, kind FROM ({SCANNER_ITEMS_SQL}) s) m
 """
 

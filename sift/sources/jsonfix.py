@@ -1,15 +1,21 @@
 """Malformed scanner JSON as a bulk job.
 
-Per text row:
-1. fast path: ``from_json`` of the whole text (array or ``{items, meta}``);
-2. rows that fail: native trimming — start of the JSON inside prose, cut at
-   a truncation marker, back to the last complete object, re-close;
-3. rows that still fail: one Arrow-batched ``pandas_udf`` escapes stray
-   quotes inside strings (the only Python on the path);
-4. rows that still fail go to quarantine with a reason.
-
-Items are parsed as ``map<string,string>`` so that the strict filter can
-test key *presence* (a present null counts as present) before typing.
+One pass over the texts, routed by CASE expressions:
+1. valid texts are read as they are;
+2. the others are trimmed natively: start of the JSON inside prose, cut at a
+   truncation marker, back to the last complete object, re-close;
+3. those still not valid go through one Arrow-batched ``pandas_udf`` that
+   escapes stray quotes inside strings (the only Python; other rows are nulls);
+4. what is still not valid is ``failed``, with a reason.
+
+An array is read as strings first and its elements one by one, so an element
+that is no object costs only itself (it stays in its place as a null item).
+Objects are read as ``map<string,string>``, so that the strict filter can test
+key *presence* (a present null counts as present) before typing; of a key given
+twice the last value counts, and ``NaN`` and ``Infinity`` are values.  A string
+element whose content is itself a JSON object cannot be told from that object.
+A single string of more than 20 million characters is beyond the engine's JSON
+reader; such a text fails with the reason ``unreadable``.
 """
 
 from __future__ import annotations
@@ -33,8 +39,10 @@ STRUCTURAL_AFTER_QUOTE = ":,}]"       # a quote followed by one of these closes
 # ---------------------------------------------------------------------------
 
 ITEMS_TYPE = "array<map<string,string>>"
-META_TYPE = "struct<scanned:int,state_of_world:string,action_items:string,sweep_num:int>"
-ENVELOPE_TYPE = f"struct<items:{ITEMS_TYPE},meta:{META_TYPE}>"
+ENVELOPE_TYPE = "struct<items:string,meta:string>"
+#: JSON as the reference's parser accepts it.
+JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
+NO_JSON, UNREADABLE = "no_json", "unreadable"
 
 _INNER = re.compile(r'["\\]')
 _SPACE = re.compile(r"[ \t\n\r]*")
@@ -87,39 +95,56 @@ def _repair_batch(texts: pd.Series) -> pd.Series:
 _repair_quotes = F.pandas_udf(_repair_batch, T.StringType()).asNondeterministic()
 
 
-_PARSED_TYPE = f"struct<kind:string,items:{ITEMS_TYPE},meta:{META_TYPE}>"
-
-
 def is_json(text: Column) -> Column:
     """Whole-text JSON validity.
 
-    ``try_parse_json`` stops after the first complete value and ignores
-    what follows, so the text must also parse as the element of an array
-    and as the value of an object: trailing data, or a bracket closing the
-    wrapper early, breaks one of the two.
+    The reader stops after the first complete value and ignores what follows,
+    so the text must also read as the one element of an array and as the value
+    of an object: trailing data, or a bracket closing the wrapper early, breaks
+    one of the two.
     """
-    return (F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-            & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull())
+    element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", JSON_OPTIONS)
+    value = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>", JSON_OPTIONS)
+    return F.coalesce((F.size(element) == 1) & F.map_contains_key(value, F.lit("v")) & (F.size(value) == 1), F.lit(False))
+
+
+def _last_wins(item: Column) -> Column:
+    """The map with one entry per key, the last one given."""
+    entries = F.map_entries(item)
+    latest = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+    repeated = F.size(F.array_distinct(F.map_keys(item))) < F.size(item)
+    return F.when(repeated, F.map_from_entries(latest)).otherwise(item)
+
+
+def _objects(array_text: Column) -> Column:
+    """The elements of a JSON array text as maps, null for those that are no object."""
+    elements = F.from_json(array_text, "array<string>", JSON_OPTIONS)
+    maps = F.transform(elements, lambda e: F.when(F.ltrim(e).startswith("{"), F.from_json(e, "map<string,string>", JSON_OPTIONS)))
+    return F.transform(maps, _last_wins)
 
 
 def _extract(df: DataFrame, text_col: str, out: str = "_p") -> DataFrame:
     """Adds ``out`` = struct(kind, items, meta) for texts known to be valid JSON.
 
-    Items are read as maps by ``from_json``; valid JSON that is neither an
-    array nor an object yields no items, as in the reference.
+    Valid JSON that is neither an array nor an object yields no items, as in
+    the reference.
     """
     text = F.col(text_col)
     no_items = F.array().cast(ITEMS_TYPE)
     staged = df.withColumn("_first", F.regexp_extract(text, r"^[ \t\n\r]*(.)", 1))
     first = F.col("_first")
-    staged = (staged.withColumn("_arr", F.when(first == "[", F.coalesce(F.from_json(text, ITEMS_TYPE), no_items)))
-                    .withColumn("_env", F.when(first == "{", F.from_json(text, ENVELOPE_TYPE))))
+    staged = staged.withColumn("_env", F.when(first == "{", F.from_json(text, ENVELOPE_TYPE, JSON_OPTIONS)))
+    staged = staged.withColumn("_list", F.when(first == "[", text).otherwise(F.col("_env.items")))
+    staged = staged.withColumn("_meta", F.from_json(F.col("_env.meta"), "map<string,string>", JSON_OPTIONS))
+    meta = F.col("_meta")
+    number = lambda key: meta[key].try_cast("int")  # noqa: E731  - a number may come as text
     return staged.withColumn(out, F.struct(
-        F.when(first == "[", F.lit("array")).when(first == "{", F.lit("envelope"))
-         .otherwise(F.lit("scalar")).alias("kind"),
-        F.when(first == "[", F.col("_arr")).when(first == "{", F.coalesce(F.col("_env.items"), no_items))
-         .otherwise(no_items).alias("items"),
-        F.col("_env.meta").alias("meta"))).drop("_first", "_arr", "_env")
+        F.when(first == "[", F.lit("array")).when(first == "{", F.lit("envelope")).otherwise(F.lit("scalar")).alias("kind"),
+        F.coalesce(_objects(F.col("_list")), no_items).alias("items"),
+        F.when(meta.isNotNull(), F.struct(
+            number("scanned").alias("scanned"), meta["state_of_world"].alias("state_of_world"),
+            meta["action_items"].alias("action_items"), number("sweep_num").alias("sweep_num"))).alias("meta"),
+    )).drop("_first", "_env", "_list", "_meta")
 
 
 def trim_envelope(df: DataFrame, raw_col: str, out: str = "_t") -> DataFrame:
@@ -150,39 +175,34 @@ def trim_envelope(df: DataFrame, raw_col: str, out: str = "_t") -> DataFrame:
     return d.drop("_start", "_rest", "_cut", "_head")
 
 
-def recover(texts: DataFrame, id_col: str = "msg_id", raw_col: str = "raw",
-            num_partitions: int | None = None) -> DataFrame:
+def recover(texts: DataFrame, id_col: str = "msg_id", raw_col: str = "raw") -> DataFrame:
     """Parse every text; adds ``outcome`` (clean / trimmed / quotes / failed),
-    ``kind``, ``items`` and ``meta``.
-
-    One cheap validity test on the raw text splits the rows.  The failures
-    (a small share) get the native trim and are then routed with CASE
-    expressions rather than filters, so the optimizer has nothing to push
-    into the scan; the quote repair receives only the rows that still fail
-    (others pass as nulls).  ``num_partitions`` spreads the failures before
-    Python sees them.
+    ``reason`` (of a failure), ``kind``, ``items`` and ``meta``.
+
+    Each step works on the rows that need it and sees nulls for the others, so
+    there is one scan and the optimizer has no filter to push a parse into.
     """
     raw = F.col(raw_col)
-    clean = _extract(texts.where(is_json(raw)), raw_col).withColumn("outcome", F.lit("clean"))
-    bad = texts.where(~is_json(raw))
-    if num_partitions:
-        bad = bad.repartition(num_partitions, F.xxhash64(id_col))
-    bad = trim_envelope(bad, raw_col)
-    t = F.col("_t")
-    bad = bad.withColumn("_route", F.when(t.isNull(), F.lit(0)).when(is_json(t), F.lit(1)).otherwise(F.lit(2)))
-    bad = bad.withColumn("_q", _repair_quotes(F.when(F.col("_route") == 2, t)))
-    bad = bad.withColumn("_route", F.when((F.col("_route") == 2) & ~is_json(F.col("_q")), F.lit(0))
-                                    .otherwise(F.col("_route")))
-    route = F.col("_route")
-    bad = bad.withColumn("_src", F.when(route == 1, t).when(route == 2, F.col("_q")))
-    fixed = _extract(bad, "_src")
-    fixed = (fixed.withColumn("_p", F.when(route > 0, F.col("_p")))
-                  .withColumn("outcome", F.element_at(F.array(F.lit("failed"), F.lit("trimmed"), F.lit("quotes")),
-                                                      route + 1))
-                  .drop("_t", "_q", "_route", "_src"))
-    allr = clean.unionByName(fixed)
-    return allr.select("*", F.col("_p.kind").alias("kind"), F.col("_p.items").alias("items"),
-                       F.col("_p.meta").alias("meta")).drop("_p")
+    df = texts.withColumn("_ok", is_json(raw))
+    df = df.withColumn("_bad", F.when(~F.col("_ok"), raw))
+    df = trim_envelope(df, "_bad").withColumn("_t_ok", is_json(F.col("_t")))
+    df = df.withColumn("_q", _repair_quotes(F.when(~F.col("_t_ok"), F.col("_t"))))
+    df = df.withColumn("outcome", F.when(F.col("_ok"), F.lit("clean")).when(F.col("_t_ok"), F.lit("trimmed"))
+                                   .when(is_json(F.col("_q")), F.lit("quotes")).otherwise(F.lit("failed")))
+    outcome = F.col("outcome")
+    df = (df.withColumn("reason", F.when((outcome == "failed") & F.col("_t").isNull(), F.lit(NO_JSON))
+                                   .when(outcome == "failed", F.lit(UNREADABLE)))
+            .withColumn("_src", F.when(outcome == "clean", raw).when(outcome == "trimmed", F.col("_t"))
+                                 .when(outcome == "quotes", F.col("_q"))))
+    df = _extract(df, "_src").withColumn("_p", F.when(outcome != "failed", F.col("_p")))
+    return df.drop("_ok", "_bad", "_t", "_t_ok", "_q", "_src").select(
+        "*", F.col("_p.kind").alias("kind"), F.col("_p.items").alias("items"), F.col("_p.meta").alias("meta")).drop("_p")
+
+
+def _complete(item: Column) -> Column:
+    """Has the item every required key?  What is no object has none."""
+    has = [F.map_contains_key(item, F.lit(k)) for k in REQUIRED_FIELDS]
+    return F.coalesce(has[0] & has[1] & has[2] & has[3], F.lit(False))
 
 
 def items_of(recovered: DataFrame, id_col: str = "msg_id", strict: bool = False) -> DataFrame:
@@ -192,23 +212,17 @@ def items_of(recovered: DataFrame, id_col: str = "msg_id", strict: bool = False)
     # filter and re-running the JSON parse inside the scan filter
     out = (recovered.select(id_col, "outcome", F.posexplode_outer("items").alias("item_pos", "item"))
                     .where(F.col("item_pos").isNotNull()))
-    complete = None
-    for k in REQUIRED_FIELDS:
-        c = F.map_contains_key(F.col("item"), k)
-        complete = c if complete is None else complete & c
-    out = out.withColumn("complete", complete)
+    out = out.withColumn("complete", _complete(F.col("item")))
     return out.where(F.col("complete")) if strict else out
 
 
 def recovery_stats(recovered: DataFrame, id_col: str = "msg_id") -> DataFrame:
-    """Per outcome, texts, items extracted and items a strict run drops."""
-    it = items_of(recovered, id_col)
-    per_outcome_items = it.groupBy("outcome").agg(
-        F.count(F.lit(1)).alias("n_items"), F.count_if(~F.col("complete")).alias("n_dropped"))
-    texts = recovered.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_texts"))
-    return (texts.join(per_outcome_items, "outcome", "left")
-                 .select("outcome", "n_texts", F.coalesce("n_items", F.lit(0)).alias("n_items"),
-                         F.coalesce("n_dropped", F.lit(0)).alias("n_dropped")))
+    """Per outcome, texts, items extracted and items a strict run drops; one aggregate over the texts."""
+    n_items = F.coalesce(F.size("items"), F.lit(0)).cast("long")
+    n_dropped = F.coalesce(F.size(F.filter("items", lambda i: ~_complete(i))), F.lit(0)).cast("long")
+    return (recovered.select("outcome", F.when(F.col("items").isNull(), 0).otherwise(n_items).alias("n"),
+                             F.when(F.col("items").isNull(), 0).otherwise(n_dropped).alias("d"))
+                     .groupBy("outcome").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_items"), F.sum("d").alias("n_dropped")))
 
 
 def unwrap(recovered: DataFrame, scanned: int | None = None, state_of_world: str | None = None,

@@ -62,3 +62,34 @@ def test_trailing_text_is_not_clean(spark):
         except ValueError:
             expected.append(False)
     assert got == expected == [False, True, False, False, False, True]
+
+
+def test_texts_that_the_standard_parser_accepts(spark):
+    texts = ['[{"title":"a"}, "x", 3, null, [1]]', '[{"title":"a","title":"b"}]', '[{"score":NaN,"title":"c"},{"v":-Infinity}]',
+             '{"items":[{"title":"d"}],"meta":{"scanned":"12","sweep_num":"3"}}', '{"items":[{"title":"e"}],"meta":{"scanned":"many"}}',
+             "['a']", '{"items":{"a":1}}', '{"items":[],"meta":7}']
+    df = spark.createDataFrame(list(enumerate(texts)), "msg_id int, raw string")
+    rec = {r.msg_id: r for r in jf.recover(df).collect()}
+    assert [rec[i].outcome for i in range(8)] == ["clean"] * 5 + ["failed"] + ["clean"] * 2
+    assert [i and i["title"] for i in rec[0]["items"]] == ["a", None, None, None, None] and len(rec[0]["items"]) == 5
+    assert rec[1]["items"] == [{"title": "b"}]
+    title = jf.items_of(jf.recover(df)).where("msg_id = 1").selectExpr("item['title'] AS t", "size(item) AS n").first()
+    assert tuple(title) == ("b", 1)
+    assert [i.get("title") for i in rec[2]["items"]] == ["c", None]
+    assert (rec[3].meta.scanned, rec[3].meta.sweep_num, rec[4].meta.scanned) == (12, 3, None)
+    assert (rec[5].reason, rec[6]["items"], rec[7].meta) == ("unreadable", [], None)
+    kept = jf.items_of(jf.recover(df)).where("msg_id = 0").orderBy("item_pos").collect()
+    assert [r.item_pos for r in kept] == [0, 1, 2, 3, 4] and not any(r.complete for r in kept)
+
+
+def test_a_large_valid_array_is_whole(spark):
+    """Many small items, more text than a VARIANT holds."""
+    df = spark.range(1).selectExpr("0 AS msg_id", """concat('[', array_join(transform(sequence(1, 1300000),
+        i -> concat('{"title":"item ', i, '","url":"https://a.test/', i, '","source_tier":"1","source_name":"some source ', i, '"}')), ','), ']') AS raw""")
+    row = jf.recover(df).selectExpr("outcome", "length(raw) AS n", "size(items) AS items").first()
+    assert (row.outcome, row["items"]) == ("clean", 1300000) and row.n > 100_000_000
+
+
+def test_reasons(spark):
+    df = spark.createDataFrame([(0, "no json"), (1, "{'a': 1}"), (2, None), (3, "")], "msg_id int, raw string")
+    assert {r.msg_id: r.reason for r in jf.recover(df).collect()} == {0: "no_json", 1: "unreadable", 2: "no_json", 3: "no_json"}
