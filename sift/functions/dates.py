@@ -11,39 +11,69 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's behaviour.
-# Accepted forms, tried in order: RFC 2822 (weekday optional, zone as name or
-# offset), then these ISO-like forms (Python strptime spelling):
-#   %Y-%m-%dT%H:%M:%S%z, %Y-%m-%dT%H:%M:%SZ, %Y-%m-%dT%H:%M:%S.%f%z,
-#   %Y-%m-%dT%H:%M:%S.%fZ, %Y-%m-%d %H:%M:%S, %Y-%m-%d
-# Values without a zone are UTC.
+# Accepted: mail dates (weekday optional; day, month name, year with 2 or 4
+# digits, in that order or month first, or with hyphens; or the C library's
+# order with the year last; zone as name or offset), then ISO-like forms: date
+# and time with T and a zone, with or without a fraction; date and time with a
+# blank; date alone.  Values without a zone, and with an unknown one, are UTC.
+ZONE_HOURS = {"ut": 0, "utc": 0, "gmt": 0, "z": 0, "est": -5, "edt": -4, "cst": -6, "cdt": -5,
+              "mst": -7, "mdt": -6, "pst": -8, "pdt": -7, "ast": -4, "adt": -3}
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september",
+          "october", "november", "december")
+CENTURY_PIVOT = 68           # two-digit years up to this are 20xx
 # Timeframe units in hours; a month is 30 days, a year 365 days; anything
 # unreadable means 7 days.
 UNIT_HOURS = {"hour": 1, "day": 24, "week": 24 * 7, "month": 24 * 30, "year": 24 * 365}
 DEFAULT_TIMEFRAME_HOURS = 24 * 7
-MAX_AGE_MONTHS = 12          # C5: older items need the landmark flag
 # ---------------------------------------------------------------------------
 
-# Same forms in Java DateTimeFormatter spelling (fractions take 1-6 digits).
-_RFC2822 = ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss xx", "d MMM yyyy HH:mm z",
-            "d MMM yyyy HH:mm xx", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm")
+# The ISO-like forms in DateTimeFormatter spelling (fractions take 1-6 digits).
 _ISO = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssxx", "yyyy-MM-dd'T'HH:mm:ss'Z'",
         "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxx",
         "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 
 
+_CLOCK = r"(\d{1,2}:\d{1,2}(?::\d{1,2})?)"
+_NAME = r"([A-Za-z]{3,9})"
+# what is left of a mail date without its weekday, and which group has day, month, year, clock, zone
+_MAIL_FORMS = (
+    (rf"^(\d{{1,2}})[\s-]+{_NAME}[\s-]+(\d{{2}}|\d{{4}})\s+{_CLOCK}(?:\s+(\S+).*)?$", (1, 2, 3, 4, 5)),
+    (rf"^{_NAME}\s+(\d{{1,2}})\s+(\d{{2}}|\d{{4}})\s+{_CLOCK}(?:\s+(\S+).*)?$", (2, 1, 3, 4, 5)),
+    (rf"^{_NAME}\s+(\d{{1,2}})\s+{_CLOCK}\s+(\d{{4}})()$", (2, 1, 4, 3, 5)),
+)
+
+
+def _mail_date(text: Column) -> Column:
+    """A mail date as a timestamp or null; the names are mapped here because zone
+    names read as regions would follow the season."""
+    rest = F.regexp_replace(text, r"^[A-Za-z]+\.?,\s*|^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\s+", "")
+    months = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for name in dict.fromkeys((m, m[:3])) for x in (F.lit(name), F.lit(i))])
+    hours = F.create_map(*[x for z, h in ZONE_HOURS.items() for x in (F.lit(z), F.lit(h))])
+    found = []
+    for form, places in _MAIL_FORMS:
+        day, month, year, clock, zone = (F.regexp_extract(rest, form, g) for g in places)
+        year = F.when(F.length(year) == 2, F.when(year.try_cast("int") <= CENTURY_PIVOT, F.lit("20")).otherwise(F.lit("19"))) \
+                .otherwise(F.lit(""))
+        digits = F.regexp_extract(rest, form, places[2])
+        stamp = F.concat(year, digits, F.lit("-"), months[F.lower(month)].cast("string"), F.lit("-"), day, F.lit(" "), clock)
+        local = F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyy-M-d H:m:s")), F.try_to_timestamp(stamp, F.lit("yyyy-M-d H:m")))
+        offset = r"^([+-])(\d{2})(\d{2})$"
+        sign = F.when(F.regexp_extract(zone, offset, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+        minutes = F.coalesce(
+            sign * (F.regexp_extract(zone, offset, 2).try_cast("int") * 60 + F.regexp_extract(zone, offset, 3).try_cast("int")),
+            hours[F.lower(zone)] * 60, F.lit(0))
+        found.append(F.when(rest.rlike(form), F.timestamp_micros(F.unix_micros(local) - minutes.cast("long") * 60_000_000)))
+    return F.coalesce(*found)
+
+
 def parse_date(c: Column) -> Column:
     """B2: text → timestamp (UTC) or null; never fails the job.
 
-    The weekday prefix is cut first (an ``EEE`` pattern raises even inside
-    ``try_to_timestamp``); zone names need ``z``, offsets ``xx``.  There is
-    no fallback to a plain cast, which would accept ``2026``.  Each pattern
-    is tried only when a cheap shape test says it could match: a failed
-    parse costs an exception, so this only skips attempts bound to fail.
+    There is no fallback to a plain cast, which would accept ``2026``.  Each
+    ISO-like pattern is tried only when a cheap shape test says it could match:
+    a failed parse costs an exception, so this only skips attempts bound to fail.
     """
     s = F.regexp_replace(c, r"^\s+|\s+$", "")
-    rfc = F.regexp_replace(s, r"^[A-Za-z]{3},\s*", "")
-    rfc = F.regexp_replace(rfc, r"\s+(UT|Z)$", " GMT")
-    rfc_shape = rfc.rlike(r"^\d{1,2}\s+[A-Za-z]{3}\s+\d{4}\s+\d")
     iso_t = s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T")
     frac = s.contains(".")
     guards = {
@@ -53,7 +83,7 @@ def parse_date(c: Column) -> Column:
         "yyyy-MM-dd HH:mm:ss": s.rlike(r"^\d{4}-\d{1,2}-\d{1,2} "),
         "yyyy-MM-dd": s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"),
     }
-    tries = [F.when(rfc_shape, F.try_to_timestamp(rfc, F.lit(p))) for p in _RFC2822]
+    tries = [F.when(s.rlike(r"[A-Za-z]{3}.*\d:\d"), _mail_date(s))]
     tries += [F.when(guards[p], F.try_to_timestamp(s, F.lit(p))) for p in _ISO]
     return F.when(F.length(s) > 0, F.coalesce(*tries))
 
@@ -82,9 +112,3 @@ def cutoff(tf: Column, now: Column) -> Column:
 def is_recent(published_at: Column, cut: Column) -> Column:
     """Only a parsed date older than the cutoff drops an item."""
     return published_at.isNull() | (published_at >= cut)
-
-
-def within_max_age(published_at: Column, now: Column, landmark: Column) -> Column:
-    """At most 12 months old unless a landmark; undated items stay."""
-    return (published_at.isNull() | (published_at >= F.add_months(now, -MAX_AGE_MONTHS))
-            | F.coalesce(landmark, F.lit(False)))

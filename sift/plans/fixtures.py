@@ -318,9 +318,11 @@ FROM documents d JOIN ({ITEMS_SQL}) i ON i.doc_id = d.doc_id
 
 
 # --- date texts and timeframes from events -------------------------------------
-# The event time written in one of ten styles by event_id mod 10: RFC 2822
+# The event time written in one of fifteen styles by event_id mod 15: RFC 2822
 # with GMT, with +0900 (local time shifted), with -0000; ISO with Z, with
-# +09:00, with milliseconds; 'yyyy-MM-dd HH:mm:ss'; date only; '2024'; 'junk'.
+# +09:00, with milliseconds; 'yyyy-MM-dd HH:mm:ss'; date only; '2024'; 'junk';
+# then mail dates with PDT (local time shifted), with a two-digit year and full
+# weekday, with a full month name and EST, in the C library's order, with hyphens.
 # Timeframe texts by event type: view 'Nd', click 'Nh', purchase 'N weeks',
 # error '1 Month' / ' 2 years ', signup 'soon' (N from the user id).
 
@@ -331,7 +333,8 @@ def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", "event_id", "ts")
     ts = F.col("ts")
     plus9 = ts + F.expr("INTERVAL 9 HOURS")
-    k = F.col("event_id") % 10
+    k = F.col("event_id") % 15
+    minus = lambda h: ts - F.expr(f"INTERVAL {h} HOURS")
     txt = (F.when(k == 0, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
             .when(k == 1, F.concat(F.date_format(plus9, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0900")))
             .when(k == 2, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" -0000")))
@@ -341,6 +344,11 @@ def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k == 6, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
             .when(k == 7, F.date_format(ts, "yyyy-MM-dd"))
             .when(k == 8, F.date_format(ts, "yyyy"))
+            .when(k == 10, F.concat(F.date_format(minus(7), "EEE, d MMM yyyy HH:mm:ss"), F.lit(" PDT")))
+            .when(k == 11, F.concat(F.date_format(ts, "EEEE, dd MMM yy HH:mm:ss"), F.lit(" GMT")))
+            .when(k == 12, F.concat(F.date_format(minus(5), "dd MMMM yyyy HH:mm:ss"), F.lit(" EST")))
+            .when(k == 13, F.date_format(ts, "EEE MMM dd HH:mm:ss yyyy"))
+            .when(k == 14, F.concat(F.date_format(ts, "dd-MMM-yyyy HH:mm:ss"), F.lit(" UT")))
             .otherwise(F.lit("junk")))
     return ev.select("event_id", txt.alias("date_text"))
 

@@ -6,7 +6,7 @@ from sift.plans.fixtures import FEED_ITEMS_SQL, REGISTRY_COPY_SQL, REGISTRY_SQL
 
 PARSE_DATES = """
 SELECT event_id,
-  CASE event_id % 10
+  CASE event_id % 15
     WHEN 0 THEN strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' GMT'
     WHEN 1 THEN strftime(ts + INTERVAL 9 HOUR, '%a, %d %b %Y %H:%M:%S') || ' +0900'
     WHEN 2 THEN strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' -0000'
@@ -16,10 +16,15 @@ SELECT event_id,
     WHEN 6 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
     WHEN 7 THEN strftime(ts, '%Y-%m-%d')
     WHEN 8 THEN strftime(ts, '%Y')
+    WHEN 10 THEN strftime(ts - INTERVAL 7 HOUR, '%a, %-d %b %Y %H:%M:%S') || ' PDT'
+    WHEN 11 THEN strftime(ts, '%A, %d %b %y %H:%M:%S') || ' GMT'
+    WHEN 12 THEN strftime(ts - INTERVAL 5 HOUR, '%d %B %Y %H:%M:%S') || ' EST'
+    WHEN 13 THEN strftime(ts, '%a %b %d %H:%M:%S %Y')
+    WHEN 14 THEN strftime(ts, '%d-%b-%Y %H:%M:%S') || ' UT'
     ELSE 'junk' END AS date_text,
-  CASE WHEN event_id % 10 IN (0, 1, 2, 3, 4, 6) THEN epoch_us(date_trunc('second', ts))
-       WHEN event_id % 10 = 5 THEN epoch_us(date_trunc('millisecond', ts))
-       WHEN event_id % 10 = 7 THEN epoch_us(date_trunc('day', ts)) END AS parsed_us
+  CASE WHEN event_id % 15 IN (0, 1, 2, 3, 4, 6, 10, 11, 12, 13, 14) THEN epoch_us(date_trunc('second', ts))
+       WHEN event_id % 15 = 5 THEN epoch_us(date_trunc('millisecond', ts))
+       WHEN event_id % 15 = 7 THEN epoch_us(date_trunc('day', ts)) END AS parsed_us
 FROM events
 """
 

@@ -23,10 +23,13 @@ VIDEO_URL = "https://www.youtube.com/watch?v="
 DEFAULT_LINK_REL = "alternate"
 # ---------------------------------------------------------------------------
 
-_RSS_ITEM = ("struct<title:string,link:string,`dc:creator`:string,author:string,"
+ATOM_NAMESPACE = "http://www.w3.org/2005/Atom"
+
+# Elements that a feed may repeat are arrays, of which the first counts; Spark keeps the last of a plain field.
+_RSS_ITEM = ("struct<title:string,link:string,`dc:creator`:array<string>,author:array<string>,"
              "pubDate:string,description:string>")
 _ATOM_ENTRY = ("struct<title:string,link:array<struct<_rel:string,_href:string>>,"
-               "author:struct<name:string>,published:string,updated:string,summary:string,"
+               "author:array<struct<name:string>>,published:string,updated:string,summary:string,"
                "content:string,`yt:videoId`:string>")
 FEED_SCHEMA = (f"struct<channel:struct<item:array<{_RSS_ITEM}>>,item:array<{_RSS_ITEM}>,"
                f"entry:array<{_ATOM_ENTRY}>,_corrupt:string>")
@@ -39,9 +42,20 @@ def _s(c: Column) -> Column:
     return F.coalesce(trimmed(c), F.lit(""))
 
 
+def unprefixed_atom(body: Column) -> Column:
+    """A feed whose Atom elements carry a prefix, without that prefix."""
+    root = r"^\s*(?:<\?[^>]*>\s*|<!--(?s:.*?)-->\s*)*<([A-Za-z_][\w.-]*):feed\b[^>]*" + ATOM_NAMESPACE
+    prefix = F.regexp_extract(body, root, 1)
+    return F.when(prefix != "", F.regexp_replace(body, F.concat(F.lit("(</?)"), prefix, F.lit(":")), F.lit("$1"))).otherwise(body)
+
+
+def _first(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(1))
+
+
 def parse_snapshots(snapshots: DataFrame, body_col: str = "body") -> DataFrame:
     """A5: add ``feed`` (parsed) and ``format`` ∈ atom / rss / rdf / bad / empty."""
-    parsed = snapshots.withColumn("feed", F.from_xml(F.col(body_col), FEED_SCHEMA, XML_OPTIONS))
+    parsed = snapshots.withColumn("feed", F.from_xml(unprefixed_atom(F.col(body_col)), FEED_SCHEMA, XML_OPTIONS))
     f = F.col("feed")
     fmt = (F.when(f["entry"].isNotNull(), F.lit("atom"))
             .when(f["channel"]["item"].isNotNull(), F.lit("rss"))
@@ -56,7 +70,7 @@ def _rss_fields(it: Column) -> Column:
     return F.struct(
         _s(it["title"]).alias("title"),
         _s(it["link"]).alias("url"),
-        F.coalesce(trimmed(first_nonempty(it["dc:creator"], it["author"])), F.lit("")).alias("author"),
+        F.coalesce(trimmed(first_nonempty(_first(it["dc:creator"]), _first(it["author"]))), F.lit("")).alias("author"),
         _s(it["pubDate"]).alias("date"),
         truncate_summary(_s(it["description"])).alias("summary"))
 
@@ -77,7 +91,7 @@ def _atom_fields(e: Column) -> Column:
     return F.struct(
         _s(e["title"]).alias("title"),
         link.alias("url"),
-        _s(e["author"]["name"]).alias("author"),
+        _s(_first(e["author"])["name"]).alias("author"),
         F.coalesce(trimmed(first_nonempty(e["published"], e["updated"])), F.lit("")).alias("date"),
         truncate_summary(F.coalesce(trimmed(first_nonempty(e["summary"], e["content"])), F.lit(""))).alias("summary"))
 
@@ -101,15 +115,16 @@ def ingest(snapshots: DataFrame, registry: DataFrame, timeframe: str, now: str,
            tiers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Snapshots ⋈ registry(feed_url) → parse → cutoff (C2) → tier/name.
 
-    Returns (items, quarantine) where quarantine holds malformed snapshots.
+    Returns (items, quarantine): quarantine holds malformed snapshots and those
+    that look like a feed but gave no item, with the reason.
     """
     reg = registry.where(has_feed())
     if tiers:
         reg = reg.where(F.col("tier").isin(*tiers))
     joined = snapshots.join(reg.select("feed_url", "slug"), "feed_url")
     parsed = parse_snapshots(joined)
-    quarantine = parsed.where(F.col("format") == "bad").select("feed_url", "snapshot_ord",
-                                                               F.col("feed._corrupt").alias("body"))
+    quarantine = parsed.where(F.col("format").isin("bad", "empty")).select(
+        "feed_url", "snapshot_ord", F.col("format").alias("reason"), "body")
     items = snapshot_items(parsed, ["feed_url", "slug", "snapshot_ord"])
     now_ts = F.lit(now).cast("timestamp")
     items = items.withColumn("published_at", parse_date(F.col("date")))

@@ -1,8 +1,11 @@
 """B2 date parsing and B3 timeframe cutoffs (C2 recency)."""
 
-from datetime import datetime
+from datetime import datetime, timezone
+from email.utils import parsedate_to_datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sift.functions.dates import cutoff, is_recent, parse_date
@@ -46,3 +49,32 @@ def test_recency_keeps_undated(spark):
     c = F.lit("2026-03-10 00:00:00").cast("timestamp")
     kept = [r.d for r in df.where(is_recent(parse_date(F.col("d")), c)).collect()]
     assert kept == ["2026-03-16", "whenever"]
+
+
+@st.composite
+def mail_dates(draw):
+    when = datetime(draw(st.integers(1970, 2060)), draw(st.integers(1, 12)), draw(st.integers(1, 28)),
+                    draw(st.integers(0, 23)), draw(st.integers(0, 59)), draw(st.integers(0, 59)))
+    weekday = draw(st.sampled_from(["", "%a, ", "%A, ", "%a "]))
+    day = draw(st.sampled_from(["%d %b %Y", "%d %B %Y", "%d %b %y", "%d-%b-%Y", "%d-%b-%y", "%b %d %Y"]))
+    clock = draw(st.sampled_from(["%H:%M:%S", "%H:%M"]))
+    zone = draw(st.sampled_from([" GMT", " UT", " EST", " EDT", " PDT", " PST", " MST", " CDT", " +0900", " -0330", " -0000", " XYZ", ""]))
+    if draw(st.booleans()) and draw(st.booleans()):
+        return when.strftime("%a %b %d %H:%M:%S %Y")
+    return when.strftime(weekday + day + " " + clock) + zone
+
+
+def _standard(text):
+    try:
+        when = parsedate_to_datetime(text)
+    except ValueError:
+        return None
+    return when if when.tzinfo is None else when.astimezone(timezone.utc).replace(tzinfo=None)
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(mail_dates(), min_size=60, max_size=120))
+def test_mail_dates_agree_with_the_standard_library(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r[0] for r in df.select(F.date_format(parse_date(F.col("s")), "yyyy-MM-dd HH:mm:ss")).collect()]
+    assert got == [w and w.strftime("%Y-%m-%d %H:%M:%S") for w in map(_standard, texts)]

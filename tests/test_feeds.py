@@ -74,3 +74,27 @@ def test_listing_and_tiers(spark):
     assert [r.slug for r in rg.listing(reg, only_no_feed=True, only_has_feed=True).collect()] == ["s2", "s3"]
     assert rg.parse_tiers(" 1, 3b ") == ["1", "3b"]
     assert sorted(r.slug for r in rg.filter_tiers(reg, ["1", "3b"]).collect()) == ["s1", "s2"]
+
+
+def test_first_author_and_prefixed_atom(spark):
+    rss = ('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><item><title>p</title><link>http://p</link>'
+           '<dc:creator>First</dc:creator><dc:creator>Second</dc:creator></item><item><title>q</title><author>x</author>'
+           '<author>y</author></item></channel></rss>')
+    atom = ('<?xml version="1.0"?><!-- c --><a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>t</a:title><a:entry><a:title>E</a:title>'
+            '<a:link href="http://e"/><a:author><a:name>One</a:name></a:author><a:author><a:name>Two</a:name></a:author>'
+            '<a:updated>2026-03-16T10:00:00Z</a:updated></a:entry></a:feed>')
+    snaps = spark.createDataFrame([("r", 0, rss), ("a", 0, atom)], "feed_url string, snapshot_ord int, body string")
+    parsed = feeds.parse_snapshots(snaps)
+    assert {r.feed_url: r.format for r in parsed.collect()} == {"r": "rss", "a": "atom"}
+    got = {(r.feed_url, r.item_pos): r for r in feeds.snapshot_items(parsed, ["feed_url"]).collect()}
+    assert [got[("r", i)].author for i in (0, 1)] == ["First", "x"]
+    e = got[("a", 0)]
+    assert (e.title, e.url, e.author, e.date) == ("E", "http://e", "One", "2026-03-16T10:00:00Z")
+
+
+def test_feed_without_items_is_quarantined(spark):
+    reg = spark.createDataFrame([("s7", "Seven", None, "f7", "1"), ("s1", "One", None, "f1", "1")],
+                                "slug string, name string, site_url string, feed_url string, tier string")
+    snaps = spark.createDataFrame([(u, 0, b) for u, b in BODIES], "feed_url string, snapshot_ord int, body string")
+    _, bad = feeds.ingest(snaps, reg, "30 days", "2026-03-20 00:00:00")
+    assert [(r.feed_url, r.reason, r.body) for r in bad.collect()] == [("f7", "empty", EMPTY_RSS)]
