@@ -152,8 +152,10 @@ def render(items: DataFrame, date_str: str, *, keys: list[str] | None = None,
 
     stats = digest_stats(items, keys)
     if isinstance(scanned, DataFrame):
-        if keys:
-            stats = stats.join(scanned, keys, "left")
+        if keys:   # every scanned key has a digest, also one with no item left
+            counts = [c for c in stats.columns if c not in keys]
+            stats = scanned.join(stats, keys, "left").select(
+                *keys, "scanned", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
             scanned_col = F.coalesce(F.col("scanned"), F.lit(0))
         else:   # one number: scalar subquery, no join
             scanned_col = F.coalesce(scanned.select("scanned").scalar(), F.lit(0))

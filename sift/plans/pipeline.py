@@ -7,69 +7,88 @@ digest_seq``; one job can curate many digests (one per key) at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sift.functions.scoring import score
 from sift.operators import dedup as dd
 from sift.operators import digest as dg
 from sift.operators.rank import top_n
+from sift.session import ensure_checkpoint_dir
 from sift.sources import archive as ar
+from sift.sources.tables import path_exists
 
 
-def _archive_lines(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        lines = spark.read.text(path)
-    except Exception:  # noqa: BLE001 - no archive yet
+def archive_lines(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
+    """The published lines, or None if nothing was ever published there.
+
+    The schema is given, not guessed from folder names: keys are text, so one
+    desk may be called ``1`` and the next ``news``.  Any other failure to read
+    is an error, never an empty archive.
+    """
+    if not path_exists(spark, path):
         return None
-    return lines if "digest_date" in lines.columns else None   # an empty folder is no archive
+    columns = ["value string", *[f"`{k}` string" for k in keys], "digest_date string", "digest_seq long"]
+    return spark.read.schema(", ".join(columns)).text(path)
 
 
 def latest_seen(spark: SparkSession, archive_path: str, keys: list[str]) -> DataFrame | None:
     """URLs of the latest published digest (per key): A8 then A9."""
-    lines = _archive_lines(spark, archive_path)
+    lines = archive_lines(spark, archive_path, keys)
     if lines is None:
         return None
-    ver = F.struct(F.col("digest_date").cast("string").alias("d"), F.col("digest_seq").cast("int").alias("s"))
-    latest = (lines.select(*keys, ver.alias("v")).groupBy(*keys).agg(F.max("v").alias("v")))
-    cur = lines.select(*keys, ver.alias("v"), "value").join(latest, [*keys, "v"])
-    return ar.unique_urls(cur, keys, "value").select(*keys, "url")
+    version = F.struct("digest_date", "digest_seq")
+    latest = lines.groupBy(*keys).agg(F.max(version).alias("v"))
+    current = (lines.withColumn("v", version).join(latest, [*keys, "v"]) if keys
+               else lines.withColumn("v", version).join(latest, "v"))
+    return ar.unique_urls(current, keys, "value").select(*keys, "url")
+
+
+def best_per_key(items: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """G1 for every digest key: its best ``n`` by weighted (missing = 0), ties in input order.
+
+    Spark limits the window's groups before the shuffle too, so a key that holds
+    most rows sends at most ``n`` of them from a task.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.coalesce(F.col("weighted"), F.lit(0.0)).desc(), F.col("input_ord").asc())
+    return items.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
 
 
 def run_pipeline(spark: SparkSession, items: DataFrame, archive_path: str, date_str: str, *,
                  max_items: int = 0, keys: list[str] | None = None, coverage: DataFrame | None = None,
                  sweep_num: int | None = None, generated_at: str = "1970-01-01 00:00") -> DataFrame:
     """Score, drop seen and failed items, cap, render, publish; returns the
-    per-digest report (file name, passed, must-reads)."""
+    per-digest report (keys, file name, passed, must-reads).
+
+    Every key of ``items`` gets a digest, with placeholders if none of its
+    items is left.  The surviving items are computed once, before anything is
+    written, and feed the lines and the report.
+    """
     keys = list(keys or [])
-    scored = score(items)
-    scanned = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("scanned"))
-    seen = latest_seen(spark, archive_path, keys)
+    scored = score(items.withColumns({k: F.col(k).cast("string") for k in keys}))
+    ensure_checkpoint_dir(spark)
+    scanned = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("scanned")).checkpoint()
     kept = dd.drop_failed(scored)
+    seen = latest_seen(spark, archive_path, keys)
     if seen is not None:
         kept = kept.withColumn("canonical_url", dd.canonical_url(F.col("url")))
-        seen_keys = (seen.select(*keys, dd.canonical_url(F.col("url")).alias("canonical_url")).distinct())
+        seen_keys = seen.select(*keys, dd.canonical_url(F.col("url")).alias("canonical_url")).distinct()
         kept = kept.join(seen_keys, [*keys, "canonical_url"], "left_anti")
     if max_items > 0:
-        if keys:
-            raise ValueError("a per-key cap is a top-k per group; pass one digest at a time")
-        kept = top_n(kept, max_items, materialize=True)
+        kept = best_per_key(kept, keys, max_items) if keys else top_n(kept, max_items)
+    kept = kept.checkpoint()
     lines = dg.render(kept, date_str, keys=keys, scanned=scanned,
                       coverage=coverage, sweep_num=sweep_num, generated_at=generated_at)
-    wanted = (lines.select(*keys).distinct() if keys else spark.range(1).select())
-    wanted = wanted.withColumn("digest_date", F.lit(date_str))
-    existing = _archive_lines(spark, archive_path)
-    if existing is not None:
-        names = ar.read_archive_names(spark, archive_path)
-    else:
-        names = wanted.select(*keys, F.lit("").alias("file_name")).where(F.lit(False))
-    alloc = ar.next_sequence(names, wanted, keys)
+    wanted = scanned.select(*keys, F.lit(date_str).alias("digest_date"))
+    published = archive_lines(spark, archive_path, keys)
+    names = (ar.archive_names(published, keys) if published is not None
+             else wanted.select(*keys, F.lit("").alias("file_name")).where(F.lit(False)))
+    # one row per digest; computed before the write, which changes what it is computed from
+    alloc = ar.next_sequence(names, wanted, keys).checkpoint()
     out = lines.join(alloc.select(*keys, "digest_date", "digest_seq"), keys) if keys else \
-        lines.withColumn("digest_date", F.lit(date_str)).withColumn(
-            "digest_seq", F.lit(alloc.select("digest_seq").first()[0]))
-    out = out.withColumn("digest_date", F.col("digest_date").cast("string"))
+        lines.crossJoin(F.broadcast(alloc.select("digest_date", "digest_seq")))     # one row
     ar.write_digests(out, archive_path, keys)
-    stats = dg.digest_stats(kept, keys)
-    report = stats.join(alloc, keys) if keys else stats.select("*", *[F.lit(v).alias(k) for k, v in
-                                                                      alloc.first().asDict().items()])
-    return report.select(*keys, "file_name", "passed", "must_reads")
+    stats = dg.digest_stats(kept, keys).select(*keys, "passed", "must_reads")
+    report = alloc.join(stats, keys, "left") if keys else alloc.crossJoin(F.broadcast(stats))
+    return report.select(*keys, "file_name", F.coalesce("passed", F.lit(0)).alias("passed"),
+                         F.coalesce("must_reads", F.lit(0)).alias("must_reads"))

@@ -102,16 +102,14 @@ def write_digests(lines: DataFrame, path: str, keys: list[str]) -> None:
           .write.mode("append").partitionBy(*keys, "digest_date", "digest_seq").text(path))
 
 
-def read_archive_names(spark: SparkSession, path: str) -> DataFrame:
+def archive_names(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Listing of a published archive: keys and the reference-style file name."""
-    df = spark.read.text(path)
-    parts = [c for c in df.columns if c != "value"]
-    return (df.select(*parts).distinct()
-              .withColumn("file_name", F.concat(
-                  F.col("digest_date").cast("string"),
-                  F.when(F.col("digest_seq") == 0, F.lit(""))
-                   .otherwise(F.concat(F.lit("-"), F.col("digest_seq").cast("string"))),
-                  F.lit(".md"))))
+    return (lines.select(*keys, "digest_date", "digest_seq").distinct()
+                 .withColumn("file_name", F.concat(
+                     F.col("digest_date"),
+                     F.when(F.col("digest_seq") == 0, F.lit(""))
+                      .otherwise(F.concat(F.lit("-"), F.col("digest_seq").cast("string"))),
+                     F.lit(".md"))))
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:

@@ -32,6 +32,19 @@ def test_publish_many_digests_in_one_job(spark):
     assert len(r1) > 1 and all(r.file_name == "2026-03-17.md" for r in r1.values())
     r2 = {r.desk: r for r in pipeline.run_pipeline(spark, items, arch, "2026-03-17", keys=["desk"]).collect()}
     assert all(r.file_name == "2026-03-17-2.md" for r in r2.values())
-    assert all(r2[d].passed <= r1[d].passed for d in r2)
+    assert r2.keys() == r1.keys() and all(r2[d].passed <= r1[d].passed for d in r2)
     heads = spark.read.text(arch).where(F.col("value").startswith("# Research Digest")).count()
     assert heads == len(r1) + len(r2)                 # one title line per published digest
+
+
+def test_key_types_cap_and_empty_digests(spark):
+    from pyspark.sql import functions as F
+    arch = tempfile.mkdtemp(prefix="sift-arch-", dir=spark.sparkContext.getCheckpointDir().replace("file:", "")) + "/archive"
+    items = fixtures.items(spark, SF_SMALL).withColumn("desk", F.col("doc_id") % 2 + 1)
+    r1 = {r.desk: r for r in pipeline.run_pipeline(spark, items, arch, "2026-03-17", keys=["desk"], max_items=3).collect()}
+    assert {d: r.passed for d, r in r1.items()} == {"1": 3, "2": 3}                    # the cap holds per digest
+    news = items.withColumn("desk", F.lit("news")).limit(5).withColumn("scores", F.struct(*[F.lit(1).alias(c) for c in "RQNAS"]))
+    r2 = {r.desk: r for r in pipeline.run_pipeline(spark, news, arch, "2026-03-18", keys=["desk"]).collect()}
+    assert (r2["news"].passed, r2["news"].file_name) == (0, "2026-03-18.md")          # nothing passed: still a digest
+    text = [r.value for r in spark.read.text(f"{arch}/desk=news").collect()]
+    assert text[0] == "# Research Digest — 2026-03-18" and "Items scanned: 5 | Passed: 0 | Must-reads: 0" in text
