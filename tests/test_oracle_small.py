@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB oracle on the smallest tables."""
+"""Every query of the curation engine against its DuckDB oracle on the smallest tables."""
 
 import math
 
@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from sift.plans import catalog
 from sift.sources.tables import TABLES
 
 from conftest import SF_SMALL
@@ -33,14 +34,15 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    assert catalog.QUERIES.items() <= E.queries().items() and catalog.ORACLE.items() <= E.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = catalog.QUERIES[name](spark, SF_SMALL)
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
-    cur = con.execute(E.oracle_sql()[name])
+    cur = con.execute(catalog.ORACLE[name])
     o_cols, o_rows = [d[0] for d in cur.description], cur.fetchall()
     assert sorted(s_cols) == sorted(o_cols)
     assert _rows(s_cols, s_rows) == _rows(o_cols, o_rows)
