@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from sift.llm.anchors import WINDOW, anchors, words_at
 from sift.llm.arrow import blocks
+from sift.llm.bitmap import bitmap, maybe
 from sift.llm.scratch import stage
 from sift.llm.suffix import covered, kasai, suffix_sort
 
@@ -82,13 +83,19 @@ def _block_anchors(block: list[tuple[int, int, bytes]]):
 
 
 class _Marks:
-    """(key, text) to (mark, key): a row for each different anchor of a text and one more for those met again in it."""
+    """(key, text) to (mark, key), a row for each anchor; with a bitmap, only for those it does not exclude."""
+
+    def __init__(self, wanted=None):
+        self.wanted = wanted
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
             keys = batch.column(0).to_numpy()
             for block in _segments(texts):
                 _, _, _, mark, segment, _ = _block_anchors(block)
+                if self.wanted is not None and len(mark):
+                    take = maybe(self.wanted.value, mark)
+                    mark, segment = mark[take], segment[take]
                 owner = np.array([number for number, _, _ in block], np.int64)[segment] if len(mark) else segment
                 yield pa.RecordBatch.from_arrays([pa.array(mark.astype(np.int64)), pa.array(keys[owner].astype(np.int64))],
                                                  names=["mark", "key"])
@@ -321,9 +328,11 @@ def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     # anchors found twice or more, back to their texts
-    marks = texts.select("key", "text").mapInArrow(_Marks(), "mark long, key long")
-    repeated = (marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                     .select("mark", F.ceil(F.col("n") / pieces_a_shard).cast("int").alias("splits")))
+    marks = texts.select("key", "text").mapInArrow(_Marks(), "mark long, key long").select("mark")
+    repeated = stage(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                          .select("mark", F.ceil(F.col("n") / pieces_a_shard).cast("int").alias("splits")), "anchor-counts")
+    may = documents.sparkSession.sparkContext.broadcast(bitmap(repeated, "mark"))
+    marks = texts.select("key", "text").mapInArrow(_Marks(may), "mark long, key long")
     wanted = stage(marks.join(repeated, "mark").groupBy(F.col("key").alias("want_key"))
                         .agg(F.collect_set(F.struct("mark", "splits")).alias("wanted")), "repeated-anchors")
 
