@@ -2,7 +2,7 @@
 
 import pytest
 
-from sift.plans import coverage_plans, curation
+from sift.plans import catalog, coverage_plans, curation
 
 from conftest import SF_SMALL
 
@@ -10,6 +10,8 @@ QUERIES = {
     "coverage_sources": coverage_plans.q_coverage_sources,
     "top_items": curation.q_top_items,
     "digest_lines": curation.q_digest_lines,
+    "batches": catalog.QUERIES["batches"],
+    "story_groups": catalog.QUERIES["story_groups"],
 }
 
 
