@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sift.llm.arrow import blocks
+from sift.llm.arrow import BLOCK_BYTES, blocks, release
 from sift.llm.bitmap import bitmap, maybe
 from sift.llm.components import components
 from sift.llm.scratch import free_name, stage
@@ -58,9 +58,11 @@ from sift.llm.shingles import shingle_sets
 #: Link when 100 * intersection >= 80 * union.
 PERCENT = 80
 #: Members of a region whose pairs are taken directly.
-LEAF = 64
+LEAF = 256
 #: Document pivots of a larger region.
-PIVOTS = 8
+PIVOTS = 32
+#: Shingles of the sets that one block of pairs holds, more or less (a longer set is there whole).
+BLOCK_SHINGLES = 1 << 20
 FREQUENT_BOUND = 1 << 20
 LEAST_FREQUENT = 64
 
@@ -75,7 +77,7 @@ class _Frequent:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
-        for _, texts in blocks(batches):
+        for _, texts in blocks(batches, limit=2 * BLOCK_BYTES):
             sets = list(shingle_sets(texts))
             found, times = np.unique(np.concatenate(sets), return_counts=True)
             total += int(times.sum())
@@ -121,6 +123,18 @@ class _Sets:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_hash", "n", "first"][:len(columns)])
 
 
+class _Named:
+    """(doc_id, n, first) with ``copy``: false if the id is certainly not that of a further copy."""
+
+    def __init__(self, copies):
+        self.copies = copies
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = self.copies.value
+        for batch in batches:
+            yield batch.append_column("copy", pa.array(maybe(words, batch.column(0).to_numpy())))
+
+
 class _Members:
     """(node, n, first) to (pivot, node, n) for pivots that the bitmap does not exclude."""
 
@@ -159,6 +173,26 @@ class _WholeSets:
                     names=["node", "shingles"])
 
 
+def _pair_distances(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Distances of a block's pairs; of several sets with one id the nearest counts."""
+    held: dict[int, list[np.ndarray]] = {}
+    shingles = sets.column("shingles").combine_chunks()
+    if len(shingles):
+        values, bounds = shingles.flatten().to_numpy(), np.concatenate([[0], np.cumsum(shingles.value_lengths().to_numpy())])
+        for k, node in enumerate(sets.column("node").to_pylist()):
+            held.setdefault(node, []).append(values[bounds[k]:bounds[k + 1]])
+    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+    distance = np.ones(len(a))
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        for x in held.get(i, ()):
+            for y in held.get(j, ()):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                distance[k] = min(distance[k], 1 - common / (len(x) + len(y) - common))
+    held.clear()
+    release()
+    return pa.table({"a": a, "b": b, "distance": distance})
+
+
 def _size_allows(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -180,8 +214,14 @@ class JaccardJoin:
                                            "doc_id long, set_hash long, n long, first array<long>"), "shingle-pivots")
         # a node is a class of equal sets, named by its smallest id
         nodes = stage(sets.where("set_hash IS NOT NULL").groupBy("set_hash", "n").agg(F.min("doc_id").alias("node")), "set-classes")
-        named = (sets.where("set_hash IS NOT NULL").join(nodes.select("set_hash", "n", "node"), ["set_hash", "n"])
-                     .where(F.col("doc_id") == F.col("node")).select("node", "n", "first"))
+        copies = stage(sets.where("doc_id IS NOT NULL").select("doc_id", "set_hash", "n").join(nodes, ["set_hash", "n"])
+                           .where("doc_id != node").select("doc_id").distinct(), "set-copies")
+        # rows that the bitmap clears need no join; only the others, with their pivots, are shuffled
+        copy = sc.broadcast(bitmap(copies, "doc_id"))
+        flagged = (sets.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n", "first")
+                       .mapInArrow(_Named(copy), "doc_id long, n long, first array<long>, copy boolean"))
+        named = (flagged.where("NOT copy").unionByName(flagged.where("copy").join(copies, "doc_id", "left_anti"))
+                        .select(F.col("doc_id").alias("node"), "n", "first"))
         members = self._members(named)
         counted = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
         large = members.join(counted.where(F.col("size") > self.leaf).select("pivot"), "pivot")
@@ -232,15 +272,32 @@ class JaccardJoin:
                              (F.col("times") + F.least("x.more", "y.more")).alias("shared")))
 
     def _distances(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, distance) on whole sets."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        """(a, b, distance) on whole sets; ``pairs`` is a staged table.
+
+        Pairs are dealt to blocks so that a set travels once, not once per pair: a block is a
+        component of the graph of pairs, or, where the sets of one are more than ``BLOCK_SHINGLES``,
+        a pair of groups of them.
+        """
+        ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired-nodes")
         wanted = self.spark.sparkContext.broadcast(bitmap(ids, "node"))
-        sets = self.texts.mapInArrow(_WholeSets(wanted), "node long, shingles array<long>")
-        one = pairs.join(sets, F.col("a") == F.col("node")).select("a", "b", F.col("shingles").alias("of_a"))
-        two = one.join(sets, F.col("b") == F.col("node")).select("a", "b", "of_a", F.col("shingles").alias("of_b"))
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        union = F.size("of_a") + F.size("of_b") - common
-        return two.select("a", "b", (1 - common / union).alias("distance")).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+        clusters = stage(ids.join(components(pairs), "node", "left").select("node", F.coalesce("component", "node").alias("cluster")),
+                         "pair-clusters")
+        sets = self.texts.mapInArrow(_WholeSets(wanted), "node long, shingles array<long>").join(clusters, "node")
+        sets = stage(sets, "paired-sets")
+        groups = (sets.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("groups")))
+        group = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
+        placed = sets.join(groups, "cluster").withColumn("group", group)
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        placed = placed.select("cluster", F.least("group", "other").alias("low"), F.greatest("group", "other").alias("high"),
+                               "node", "shingles")
+        side = clusters.join(groups, "cluster").select("node", "cluster", group.alias("group"))
+        of_a = side.select(F.col("node").alias("a"), "cluster", F.col("group").alias("ga"))
+        of_b = side.select(F.col("node").alias("b"), F.col("group").alias("gb"))
+        dealt = (pairs.join(of_a, "a").join(of_b, "b")
+                      .select("cluster", F.least("ga", "gb").alias("low"), F.greatest("ga", "gb").alias("high"), "a", "b"))
+        block = ["cluster", "low", "high"]
+        return (dealt.groupBy(*block).cogroup(placed.groupBy(*block))
+                     .applyInArrow(_pair_distances, "a long, b long, distance double"))
 
     def _divide(self, cells: DataFrame) -> tuple[DataFrame | None, DataFrame]:
         """Links found around document pivots, and the leaves' pairs (a, b, na, nb, shared)."""
