@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass looks at together (a longer text is a block of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Rows of a batch that are turned into Python values at a time.
+ROWS = 256
 
 
 def texts_of(column: pa.Array, null: bytes | None = b"") -> list[bytes]:
@@ -16,19 +19,28 @@ def texts_of(column: pa.Array, null: bytes | None = b"") -> list[bytes]:
     return [null if v is None else v for v in values]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are kept for later tasks, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text",
            limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most ``limit`` bytes of text (one row at least), and their texts."""
     for batch in batches:
-        at = batch.schema.get_field_index(text)
+        column = batch.column(batch.schema.get_field_index(text))
         start = size = 0
         values: list[bytes] = []
-        for i, value in enumerate(texts_of(batch.column(at))):
-            if values and size + len(value) > limit:
-                yield batch.slice(start, i - start), values
-                start, size, values = i, 0, []
-            values.append(value)
-            size += len(value)
+        for at in range(0, batch.num_rows, ROWS):
+            for i, value in enumerate(texts_of(column.slice(at, ROWS)), at):
+                if values and size + len(value) > limit:
+                    yield batch.slice(start, i - start), values
+                    start, size, values = i, 0, []
+                values.append(value)
+                size += len(value)
         if values:
             yield batch.slice(start, len(values)), values
-
+    release()

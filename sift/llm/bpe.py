@@ -64,9 +64,10 @@ def byte_alphabet() -> dict[str, int]:
 @lru_cache(maxsize=8)
 def _runs(pattern: str) -> tuple[str, ...]:
     """The runs of code points that match, by the tokenizers library's own regular expressions (its Unicode version)."""
-    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     cut = Split(Regex(pattern + "+"), "removed", invert=True)
-    return tuple(run for run, _ in cut.pre_tokenize_str(everything))
+    # the library keeps offsets of every character, so it is asked a slice at a time
+    slices = ("".join(map(chr, range(at, at + (1 << 11)))) for at in range(0, 0x110000, 1 << 11) if not 0xD800 <= at < 0xE000)
+    return tuple(run for part in slices for run, _ in cut.pre_tokenize_str(part))
 
 
 def char_class(pattern: str, limit: int = 0x110000) -> str:
