@@ -29,6 +29,7 @@ long text is a shard of its own; an empty table gives an empty file.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
@@ -46,7 +47,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from sift.llm.arrow import blocks
-from sift.llm.bpe import WORD_TABLE, char_class
+from sift.llm.bpe import byte_alphabet, char_class
 from sift.llm.scratch import stage
 
 END_ID = 2
@@ -55,6 +56,10 @@ SHARD_IDS = 1 << 20
 ROUNDS = 8
 MIN_COUNT = 8
 MAGIC = b"RPR1"
+#: Stands between the last id of a document and the next document's first.
+NO_PAIR = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Entries of a worker's word table before a new one is started (memory bound).
+WORD_TABLE = 1 << 18
 
 FILE = "part int, shard int, doc_ids array<long>, n_ids long, grammar binary"
 
@@ -74,11 +79,15 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # Spark runs a task per core; the library's own threads would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.letters = {byte: letter for letter, byte in byte_alphabet().items()}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     @lru_cache(maxsize=3)
@@ -107,13 +116,18 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._cut(t) for t in texts]
-        new = {w for words in cut if words is not None for w in words}.difference(self.words)
-        if len(self.words) + len(new) > 2 * WORD_TABLE:
-            self.words = {}
-            new = {w for words in cut if words is not None for w in words}
-        new = list(new)
-        for word, encoded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[word] = np.array(encoded.ids, np.uint32).tobytes()
+        new = set().union(*(words for words in cut if words is not None)).difference(self.words)
+        if len(self.words) + len(new) > WORD_TABLE and self.words:
+            # a full table becomes the old one, from which words still in use are taken over
+            self.old, self.words = self.words, {}
+            new = set().union(*(words for words in cut if words is not None))
+        known = self.old.keys() & new
+        self.words.update((w, self.old[w]) for w in known)
+        unseen = new - known
+        for word in unseen:
+            # a word is normalised and cut already: only the library's model is left to apply
+            letters = word.encode().decode("latin-1").translate(self.letters)
+            self.words[word] = np.array([token.id for token in self.library.model.tokenize(letters)], np.uint32).tobytes()
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), np.uint32) if words is not None
                 else np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
@@ -129,16 +143,21 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys found ``least`` times or more, and how often, most frequent first."""
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+
+
+def _frequent_pairs(keys: np.ndarray, bucket: np.ndarray, least: int) -> np.ndarray:
+    """Keys found ``least`` times or more, most frequent first."""
     # counts by hash bucket are upper bounds: keys of small buckets need no exact count
-    bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    maybe = keys[np.bincount(bucket, minlength=1 << 20)[bucket] >= least]
-    found, times = np.unique(maybe, return_counts=True)
+    maybe = keys[(np.bincount(bucket, minlength=1 << 20) >= least)[bucket]]
+    maybe.sort()
+    first = np.flatnonzero(np.concatenate([[True], maybe[1:] != maybe[:-1]])) if len(maybe) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate([first, [len(maybe)]]))
     often = times >= least
-    found, times = found[often], times[often]
-    order = np.argsort(-times, kind="stable")
-    return found[order], times[order]
+    often[-1:] &= maybe[-1:] != NO_PAIR
+    found, times = maybe[first[often]], times[often]
+    return found[np.argsort(-times, kind="stable")]
 
 
 def _compatible(pairs: np.ndarray) -> np.ndarray:
@@ -168,28 +187,33 @@ def compress(ids: np.ndarray, starts: np.ndarray, n_terminals: int, rounds: int
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        keys = symbols[:-1] << np.uint64(32) | symbols[1:]
-        inside = ~last[:-1]
-        pairs, _ = _frequent_pairs(keys[inside], least)
-        pairs = _compatible(pairs)
+        keys = symbols[:-1] << np.uint64(32)
+        keys |= symbols[1:]
+        keys[last[:-1]] = NO_PAIR
+        bucket = _bucket(keys)
+        pairs = _compatible(_frequent_pairs(keys, bucket, least))
         if not len(pairs):
             break
+        # only keys in the buckets of taken pairs are looked up
+        taken = np.zeros(1 << 20, bool)
+        taken[_bucket(pairs)] = True
+        near = np.flatnonzero(taken[bucket])
         order = np.argsort(pairs)
-        sorted_pairs = pairs[order]
-        place = np.minimum(np.searchsorted(sorted_pairs, keys), len(pairs) - 1)
-        hit = inside & (sorted_pairs[place] == keys)
-        at = np.flatnonzero(hit)
+        place = np.minimum(np.searchsorted(pairs[order], keys[near]), len(pairs) - 1)
+        rule = order[place]
+        same = pairs[rule] == keys[near]
+        at, rule = near[same], rule[same]
         double = symbols[at] == symbols[at + 1]
         if double.any():
             # in a run of one symbol, every other pair is taken, from the run's start
             d = at[double]
             begin = np.concatenate([[True], np.diff(d) != 1])
             run = np.maximum.accumulate(np.where(begin, np.arange(len(d)), 0))
-            drop = d[(np.arange(len(d)) - run) % 2 == 1]
-            hit[drop] = False
-            at = np.flatnonzero(hit)
+            drop = np.zeros(len(at), bool)
+            drop[double] = (np.arange(len(d)) - run) % 2 == 1
+            at, rule = at[~drop], rule[~drop]
         first = n_terminals + sum(map(len, rules))
-        symbols[at] = np.uint64(first) + order[place[at]].astype(np.uint64)
+        symbols[at] = (first + rule).astype(np.uint64)
         last[at] |= last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
