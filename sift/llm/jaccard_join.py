@@ -17,15 +17,22 @@ its first |x| - ceil(t |x|) + 1 pivots: two linked sets always meet in a region.
 around up to ``PIVOTS`` of them.  Exact distances from all members to the
 pivots are taken; a member goes to the cell of its nearest pivot, and by the
 triangle inequality into every other cell whose pivot is at most twice the link
-distance farther.  Members linked to each other already need no further
-comparison, so cells inside one component are done; larger ones are divided
-again.  The pivots leave their cells, so the recursion always ends.
-
-Pairs of a leaf are compared if their sizes allow a link, if they are not in
-one component, and if their distances to the cell's pivot differ by no more than
-the link distance.  Pairs that meet in shingle regions must also share enough of
-them: with the window full, |x| - ceil(t |x|) + 1 - (|x| - needed overlap).
-The pairs left are checked on their whole sets.
+distance farther.  The pivots leave their cells.  Cells that hold at most half
+the pairs of their region replace it, and those over ``LEAF`` are divided again;
+otherwise pivots do not tell the members apart, and the region stays whole.
+
+All pairs of such a leaf are compared, whatever is known of their components, so
+links are complete.  A task takes two groups of a leaf's members and counts the
+common shingles of all their pairs at once as a product of incidence matrices.
+It returns each member's number of links and a spanning forest, not the links,
+which grow with the square of a group of near copies.  A pair that meets more
+than once counts in one place: in a small region or against a pivot if it met
+there, else in the first leaf that both are in.
+
+Pairs of a region with at most ``LEAF`` members are taken one by one if their
+sizes allow a link and if they share enough of their pivots: with the window
+full, |x| - ceil(t |x|) + 1 - (|x| - needed overlap).  They are checked on their
+whole sets.
 
 Equal sets are one node from the start, so copies cost one row each.  Frequent
 shingles come from counts over all texts (shingles met twice or more in a block
@@ -42,6 +49,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +71,11 @@ LEAF = 256
 PIVOTS = 32
 #: Shingles of the sets that one block of pairs holds, more or less (a longer set is there whole).
 BLOCK_SHINGLES = 1 << 20
+#: Members and shingles, more or less, of a group; a task compares two groups of a leaf.
+GROUP = 1024
+GROUP_SHINGLES = 1 << 18
+#: Values that one product of incidence matrices covers.
+PRODUCT = 2048
 FREQUENT_BOUND = 1 << 20
 LEAST_FREQUENT = 64
 
@@ -193,12 +206,98 @@ def _pair_distances(pairs: pa.Table, sets: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b, "distance": distance})
 
 
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each list of x has in common with each list of y; lists hold no value twice."""
+    counts = np.zeros((len(x), len(y)), np.float32)
+    sides = [(np.concatenate([*lists, np.zeros(0, np.int64)]), np.repeat(np.arange(len(lists)), np.array([len(v) for v in lists], np.int64)))
+             for lists in (x, y)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    placed = []
+    for values, owner in sides:
+        at = np.searchsorted(both, values)
+        held = at < len(both)
+        held[held] = both[at[held]] == values[held]
+        order = np.argsort(at[held], kind="stable")
+        placed.append((at[held][order], owner[held][order]))
+    for start in range(0, len(both), PRODUCT):
+        matrices = []
+        for (at, owner), lists in zip(placed, (x, y)):
+            low, high = np.searchsorted(at, [start, start + PRODUCT])
+            matrix = np.zeros((len(lists), min(PRODUCT, len(both) - start)), np.float32)
+            matrix[owner[low:high], at[low:high] - start] = 1
+            matrices.append(matrix)
+        counts += matrices[0] @ matrices[1].T
+    return counts
+
+
+def _forest(near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, other) for every other row of each connected part of a symmetric matrix."""
+    left = near.any(axis=1)
+    for first in np.flatnonzero(left):
+        if not left[first]:
+            continue
+        left[first] = False
+        edge = np.array([first])
+        while len(edge):
+            edge = np.flatnonzero(near[edge].any(axis=0) & left)
+            left[edge] = False
+            yield from ((first, k) for k in edge)
+
+
+def _compare(percent: int):
+    """Members of two groups of a leaf to (a, b, times): a has ``times`` links counted here (b null), or a and b are in one component."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        cell = rows.column("cell")[0].as_py()
+        nodes, at = np.unique(rows.column("node").to_numpy(), return_index=True)
+        rows = rows.take(pa.array(at))
+        lists = {}
+        for name in ("shingles", "small", "leaves", "within", "led"):
+            column = rows.column(name).combine_chunks()
+            values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+            lists[name] = np.split(values, ends[:-1])
+        # regions where a pair has been taken already: small ones, and leaves that come first
+        before = [np.concatenate([small, leaves[leaves < cell]]) for small, leaves in zip(lists["small"], lists["leaves"])]
+        size = np.array([len(v) for v in lists["shingles"]])
+        group = rows.column("group").to_numpy()
+        one = group == rows.column("low")[0].as_py()
+        same = bool(one.all()) and rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
+        i = np.flatnonzero(one)
+        j = i if same else np.flatnonzero(~one)
+        pick = lambda of, rows: [of[k] for k in rows]
+        common = _common(pick(lists["shingles"], i), pick(lists["shingles"], j))
+        links = 100 * common >= percent * (size[i][:, None] + size[j][None, :] - common)
+        if same:
+            np.fill_diagonal(links, False)
+        near = np.zeros((len(nodes), len(nodes)), bool)
+        near[np.ix_(i, j)] = links
+        near |= near.T
+        met = _common(pick(before, i), pick(before, j))
+        met += _common(pick(lists["led"], i), pick(lists["within"], j))
+        met += _common(pick(lists["within"], i), pick(lists["led"], j))
+        links &= met == 0
+        times = np.zeros(len(nodes), np.int64)
+        times[i] += links.sum(axis=1)
+        if not same:
+            times[j] += links.sum(axis=0)
+        forest = np.array(list(_forest(near)), np.int64).reshape(-1, 2)
+        counted = np.flatnonzero(times)
+        none = lambda n: [None] * n
+        out = pa.table({"a": pa.array(np.concatenate([nodes[counted], nodes[forest[:, 0]]])),
+                        "b": pa.array(none(len(counted)) + nodes[forest[:, 1]].tolist(), pa.int64()),
+                        "times": pa.array(times[counted].tolist() + none(len(forest)), pa.int64())})
+        release()
+        return out
+
+    return compare
+
+
 def _size_allows(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 class JaccardJoin:
-    """One run over ``documents``; ``links`` and ``labels`` after ``run()``."""
+    """One run over ``documents``; ``labels`` after ``run()``."""
 
     def __init__(self, documents: DataFrame, id_col: str, text_col: str, percent: int, leaf: int, pivots: int):
         self.spark = documents.sparkSession
@@ -226,19 +325,19 @@ class JaccardJoin:
         counted = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
         large = members.join(counted.where(F.col("size") > self.leaf).select("pivot"), "pivot")
         large = stage(large.select(F.col("pivot").alias("cell"), "node", "n"), "large-regions")
-        links, leaves = self._divide(large)
-        candidates = self._small_pairs(members, counted, large).unionByName(leaves).groupBy("a", "b", "na", "nb").agg(
-            F.sum("shared").alias("shared"))
+        found, inside = self._divide(large, members.join(counted.where(F.col("size") <= self.leaf).select("pivot"), "pivot"))
+        candidates = self._small_pairs(members, counted, large)
         need = F.floor((4 * (F.col("na") + F.col("nb")) + 8) / 9) if self.percent == 80 else F.ceil(
             self.percent * (F.col("na") + F.col("nb")) / (100 + self.percent))
         floor_of = lambda n: F.floor((100 - self.percent) * n / 100) + 1 - n + need
         enough = F.col("shared") >= F.least(floor_of(F.col("na")), floor_of(F.col("nb")))
         pairs = stage(candidates.where(_size_allows(F.col("na"), F.col("nb"), self.percent) & enough).select("a", "b"), "candidate-pairs")
-        checked = self._distances(pairs).where(F.col("distance") <= self.reach).select("a", "b")
-        links = links.unionByName(checked).distinct() if links is not None else checked
-        self.links = stage(links, "links")
-        self.labels = components(self.links)
-        degree = (self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
+        links = self._distances(pairs, self._whole_sets(pairs)).where(F.col("distance") <= self.reach).select("a", "b")
+        links = stage(links.unionByName(found).distinct(), "links")
+        self.labels = components(links.unionByName(inside.where("b IS NOT NULL").select("a", "b")))
+        ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("times"))
+        ends = ends.unionByName(inside.where("b IS NULL").select(F.col("a").alias("node"), "times"))
+        degree = ends.groupBy("node").agg(F.sum("times").alias("n_links"))
         named_rows = sets.select("doc_id", "set_hash", "n").join(nodes, ["set_hash", "n"], "left")
         return (named_rows.join(self.labels, "node", "left").join(degree, "node", "left")
                 .select("doc_id", F.col("n").alias("n_shingles"),
@@ -271,19 +370,23 @@ class JaccardJoin:
                      .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
                              (F.col("times") + F.least("x.more", "y.more")).alias("shared")))
 
-    def _distances(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, distance) on whole sets; ``pairs`` is a staged table.
+    def _whole_sets(self, pairs: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes in the columns of a staged table (and of a few others)."""
+        ids = stage(pairs.select(F.explode(F.array(*pairs.columns)).alias("node")).distinct(), "paired-nodes")
+        wanted = self.spark.sparkContext.broadcast(bitmap(ids, "node"))
+        return self.texts.mapInArrow(_WholeSets(wanted), "node long, shingles array<long>")
+
+    def _distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b, distance) on whole ``sets``; ``pairs`` is a staged table.
 
         Pairs are dealt to blocks so that a set travels once, not once per pair: a block is a
         component of the graph of pairs, or, where the sets of one are more than ``BLOCK_SHINGLES``,
         a pair of groups of them.
         """
-        ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired-nodes")
-        wanted = self.spark.sparkContext.broadcast(bitmap(ids, "node"))
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         clusters = stage(ids.join(components(pairs), "node", "left").select("node", F.coalesce("component", "node").alias("cluster")),
                          "pair-clusters")
-        sets = self.texts.mapInArrow(_WholeSets(wanted), "node long, shingles array<long>").join(clusters, "node")
-        sets = stage(sets, "paired-sets")
+        sets = stage(sets.join(clusters, "node"), "paired-sets")
         groups = (sets.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("groups")))
         group = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
         placed = sets.join(groups, "cluster").withColumn("group", group)
@@ -299,52 +402,67 @@ class JaccardJoin:
         return (dealt.groupBy(*block).cogroup(placed.groupBy(*block))
                      .applyInArrow(_pair_distances, "a long, b long, distance double"))
 
-    def _divide(self, cells: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-        """Links found around document pivots, and the leaves' pairs (a, b, na, nb, shared)."""
-        spark, links, leaves = self.spark, None, []
-        pair = "a long, b long"
-        whole = F.lit(1 << 40)  # pairs of a cell have met by distance; the count of shared pivots does not bind them
-        while not cells.isEmpty():
+    def _divide(self, large: DataFrame, small: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) found around document pivots, and (a, b, times) from the leaves (see ``_compare``)."""
+        none = self.spark.createDataFrame([], "a long, b long, times long")
+        if large.isEmpty():
+            return none.select("a", "b"), none
+        sets = stage(self._whole_sets(large.select("node")).join(large.select("node").distinct(), "node"), "large-sets")
+        cells = large.join(self._different(large).select("cell"), "cell")
+        links, leaves, within, led = [], [], [], []
+        while not (cells := stage(cells, "cells")).isEmpty():
             slot = F.pmod(F.xxhash64("node", "cell"), F.lit(self.pivots))
-            pivots = cells.groupBy("cell", slot.alias("slot")).agg(F.min("node").alias("pivot")).select("cell", "pivot")
-            reached = cells.join(pivots, "cell").select("cell", "node", "n", "pivot")
-            to_check = reached.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-            known = stage(self._distances(stage(to_check, "pivot-pairs")), "pivot-distances")
-            found = known.where(F.col("distance") <= self.reach).select("a", "b")
-            links = stage(found if links is None else links.unionByName(found).distinct(), "pivot-links")
-            labels = components(links)
-            placed = (reached.where("node != pivot")
-                      .join(known, (F.least("node", "pivot") == F.col("a")) & (F.greatest("node", "pivot") == F.col("b")))
-                      .select("cell", "node", "n", "pivot", "distance"))
+            pivots = stage(cells.groupBy("cell", slot.alias("slot")).agg(F.min("node").alias("pivot")).select("cell", "pivot"), "pivots")
+            within.append(cells.select("cell", "node"))
+            led.append(pivots.select("cell", F.col("pivot").alias("node")))
+            reached = cells.join(pivots, "cell").where("node != pivot")
+            low, high = F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
+            known = stage(self._distances(stage(reached.select(low, high).distinct(), "pivot-pairs"), sets), "pivot-distances")
+            links.append(known.where(F.col("distance") <= self.reach).select("a", "b"))
             # a pivot has been compared with the whole region and leaves it
-            placed = placed.join(pivots.select("cell", F.col("pivot").alias("node")), ["cell", "node"], "left_anti")
+            placed = (reached.join(led[-1], ["cell", "node"], "left_anti").select("cell", "node", "n", "pivot", low, high)
+                             .join(known, ["a", "b"]).select("cell", "node", "n", "pivot", "distance"))
+            placed = stage(placed, "placed")
             nearest = placed.groupBy("cell", "node").agg(F.min("distance").alias("near"))
-            spread = (placed.join(nearest, ["cell", "node"]).where(F.col("distance") <= F.col("near") + 2 * self.reach)
-                      .select(F.xxhash64("cell", "pivot").alias("cell"), "node", "n", "distance")
-                      .join(labels.withColumnRenamed("node", "label_node"), F.col("node") == F.col("label_node"), "left")
-                      .select("cell", "node", "n", "distance", F.coalesce("component", "node").alias("label")))
-            # cells of one component are done; of cells with equal members one is enough
-            kept = (spread.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
-                                               F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
-                    .where("low < high").groupBy("size", "mark").agg(F.min("cell").alias("cell")))
-            spread = stage(spread.join(kept, "cell"), "cells")
-            ms = F.sort_array(F.collect_list(F.struct("node", "n", "distance", "label")))
-            leaf = spread.where(F.col("size") <= self.leaf).groupBy("cell").agg(ms.alias("ms"))
-            after = F.transform("ms", lambda x, i: F.transform(
-                F.filter(F.slice(F.col("ms"), i + 2, F.size("ms")), lambda y: (x["label"] != y["label"])
-                         & _size_allows(x["n"], y["n"], self.percent) & (F.abs(x["distance"] - y["distance"]) <= self.reach)),
-                lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))))
-            leaves.append(leaf.select(F.explode(F.flatten(after)).alias("p")).select("p.*", whole.alias("shared")))
+            spread = stage(placed.join(nearest, ["cell", "node"]).where(F.col("distance") <= F.col("near") + 2 * self.reach)
+                                 .select(F.col("cell").alias("region"), F.xxhash64("cell", "pivot").alias("cell"), "node", "n"), "spread")
+            kept = stage(self._different(spread), "different-cells")
+            whole = placed.select("cell", "node", "n").distinct()
+            regions = whole.groupBy(F.col("cell").alias("region")).agg(F.count(F.lit(1)).alias("size"))
+            parts = kept.groupBy("region").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+            stay = stage(regions.join(parts, "region").where(2 * F.col("pairs") > F.col("size") * F.col("size")).select("region"), "undivided")
+            leaves.append(whole.join(stay.withColumnRenamed("region", "cell"), "cell"))
+            spread = spread.join(kept.select("cell", "size"), "cell").join(stay, "region", "left_anti")
+            leaves.append(spread.where(F.col("size") <= self.leaf).select("cell", "node", "n"))
             cells = spread.where(F.col("size") > self.leaf).select("cell", "node", "n")
-        none = spark.createDataFrame([], f"{pair}, na long, nb long, shared long")
-        for one in leaves:
-            none = none.unionByName(one)
-        return links, none
+        of = lambda frames: reduce(DataFrame.unionByName, frames)
+        return stage(of(links).distinct(), "pivot-links"), stage(self._compared(of(leaves), small, of(within), of(led), sets), "leaf-links")
+
+    def _different(self, cells: DataFrame) -> DataFrame:
+        """The cells of two members or more with their sizes (and regions); of cells with equal members one is enough."""
+        region = [c for c in cells.columns if c == "region"]
+        return (cells.groupBy(*region, "cell").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
+                     .where("size > 1").groupBy("size", "mark").agg(F.min(F.struct("cell", *region)).alias("one")).select("size", "one.*"))
+
+    def _compared(self, leaves: DataFrame, small: DataFrame, within: DataFrame, led: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b, times) from all pairs of each leaf."""
+        leaves = stage(leaves, "leaves")
+        inside = leaves.select("node").distinct()
+        for name, regions in (("small", small.withColumnRenamed("pivot", "cell")), ("leaves", leaves), ("within", within), ("led", led)):
+            listed = regions.groupBy("node").agg(F.collect_set("cell").alias(name))
+            inside = inside.join(listed, "node", "left").withColumn(name, F.coalesce(name, F.array().cast("array<long>")))
+        inside = stage(inside.join(sets.dropDuplicates(["node"]), "node"), "leaf-sets")
+        groups = leaves.groupBy("cell").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_SHINGLES)).cast("int").alias("groups"))
+        group = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
+        dealt = (leaves.join(groups, "cell").withColumn("group", group)
+                       .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+                       .select("cell", F.least("group", "other").alias("low"), F.greatest("group", "other").alias("high"), "group", "node"))
+        return dealt.join(inside, "node").groupBy("cell", "low", "high").applyInArrow(_compare(self.percent), "a long, b long, times long")
 
 
 def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                  leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links (links of its class to other classes that were checked)."""
+    """One row per document: doc_id, n_shingles, component_id, n_links (links of its class to other classes)."""
     return JaccardJoin(documents, id_col, text_col, percent, leaf, pivots).run()
 
 

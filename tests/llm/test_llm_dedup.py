@@ -118,6 +118,33 @@ def test_jaccard_join_matches_brute_force(documents, corpus, leaf, pivots, least
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components([(i, t) for i, t, _ in corpus])
 
 
+def brute_links(rows):
+    """How many other sets each row's set is linked to."""
+    sets = []
+    for _, text in rows:
+        w = folded(text).split()
+        sets.append(frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    linked = {s: sum(1 for t in set(sets) if s and t and s != t and 100 * len(s & t) >= 80 * len(s | t)) for s in set(sets)}
+    return sorted((i, linked[s]) for (i, _), s in zip(rows, sets))
+
+
+@pytest.mark.parametrize("leaf,pivots,group", [(64, 8, 1024), (64, 8, 20), (3, 2, 4)])
+def test_links_inside_large_regions_are_complete(spark, leaf, pivots, group, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    rng = np.random.default_rng(3)
+    rows = []
+    for family in range(3):         # near copies of passages that share their first half; some members are farther off
+        words = [f"p{k}" for k in range(30)] + [f"q{family}_{k}" for k in range(30)]
+        for k in range(45):
+            own = list(words)
+            for at in rng.integers(0, 60, rng.integers(0, 4)):
+                own[at] = f"x{rng.integers(0, 6)}"
+            rows.append((len(rows), " ".join(own)))
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), leaf=leaf, pivots=pivots).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == brute_links(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
 def test_one_of_each_keeps_the_smallest(documents, corpus):
     want = {i for i, _, c in brute_components([(i, t) for i, t, _ in corpus]) if i == c}
     assert {r.doc_id for r in jaccard_join.one_of_each(documents).collect()} == want
