@@ -40,8 +40,8 @@ of texts, summed); they only set the order.  They number at most ``2 ** 20``,
 because their least count is the number of all shingles over that.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and
-is its own component; fewer than five words make one shingle; rows with equal
-ids are one document; a row with a null id takes part in equal sets only and
+is its own component; fewer than five words make one shingle; rows with one id
+and different texts are linked by their own texts each; a row with a null id takes part in equal sets only and
 has the component of that set (null if no other row has it); extra columns are
 ignored.
 """
@@ -110,8 +110,12 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
     return np.sort(found.column("shingle").to_numpy().view(np.uint64))
 
 
+def _set_hash(shingles: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63) if len(shingles) else None
+
+
 class _Sets:
-    """(doc_id, text) to (doc_id, set_hash, n, first): ``first`` are the pivots that the set is replicated to."""
+    """(doc_id, text, text_hash) to (doc_id, text_hash, set_hash, n, first): ``first`` are the pivots that the set is replicated to."""
 
     def __init__(self, frequent, percent: int, with_first: bool):
         self.frequent, self.percent, self.with_first = frequent, percent, with_first
@@ -121,7 +125,7 @@ class _Sets:
         for batch, texts in blocks(batches):
             hashes, sizes, first = [], [], []
             for one in shingle_sets(texts):
-                hashes.append(xxhash.xxh3_64_intdigest(one.tobytes()) - (1 << 63) if len(one) else None)
+                hashes.append(_set_hash(one))
                 sizes.append(len(one))
                 if self.with_first:
                     if len(frequent) and len(one):
@@ -129,15 +133,15 @@ class _Sets:
                         if last.any():
                             one = np.concatenate([one[~last], one[last]])
                     first.append(one[:window(len(one), self.percent)] if len(one) else one)
-            columns = [batch.column(0), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())]
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())]
             if self.with_first:
                 ends = np.cumsum([0] + [len(f) for f in first]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64))))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_hash", "n", "first"][:len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set_hash", "n", "first"][:len(columns)])
 
 
 class _Named:
-    """(doc_id, n, first) with ``copy``: false if the id is certainly not that of a further copy."""
+    """(doc_id, set_hash, n, first) with ``copy``: false if the id is certainly not that of a further copy."""
 
     def __init__(self, copies):
         self.copies = copies
@@ -167,7 +171,7 @@ class _Members:
 
 
 class _WholeSets:
-    """(doc_id, text) to (node, shingles) for ids that the bitmap does not exclude."""
+    """(doc_id, text) to (node, shingles) for ids that the bitmap does not exclude; a node is a set's hash."""
 
     def __init__(self, wanted):
         self.wanted = wanted
@@ -182,25 +186,24 @@ class _WholeSets:
                 sets = list(shingle_sets(texts))
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
+                    [pa.array([_set_hash(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
                     names=["node", "shingles"])
 
 
 def _pair_distances(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """Distances of a block's pairs; of several sets with one id the nearest counts."""
-    held: dict[int, list[np.ndarray]] = {}
+    """Distances of a block's pairs."""
+    held: dict[int, np.ndarray] = {}
     shingles = sets.column("shingles").combine_chunks()
     if len(shingles):
         values, bounds = shingles.flatten().to_numpy(), np.concatenate([[0], np.cumsum(shingles.value_lengths().to_numpy())])
         for k, node in enumerate(sets.column("node").to_pylist()):
-            held.setdefault(node, []).append(values[bounds[k]:bounds[k + 1]])
+            held[node] = values[bounds[k]:bounds[k + 1]]
     a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
     distance = np.ones(len(a))
     for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
-        for x in held.get(i, ()):
-            for y in held.get(j, ()):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                distance[k] = min(distance[k], 1 - common / (len(x) + len(y) - common))
+        x, y = held[i], held[j]
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        distance[k] = 1 - common / (len(x) + len(y) - common)
     held.clear()
     release()
     return pa.table({"a": a, "b": b, "distance": distance})
@@ -306,21 +309,22 @@ class JaccardJoin:
         self.reach = F.lit(1 - percent / 100 + 1e-9)
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, n_links."""
+        """doc_id, text_hash, n_shingles, component_id, n_links."""
         sc = self.spark.sparkContext
         frequent = sc.broadcast(frequent_shingles(self.texts))
-        sets = stage(self.texts.mapInArrow(_Sets(frequent, self.percent, True),
-                                           "doc_id long, set_hash long, n long, first array<long>"), "shingle-pivots")
-        # a node is a class of equal sets, named by its smallest id
-        nodes = stage(sets.where("set_hash IS NOT NULL").groupBy("set_hash", "n").agg(F.min("doc_id").alias("node")), "set-classes")
+        texts = self.texts.withColumn("text_hash", F.xxhash64("text"))
+        sets = stage(texts.mapInArrow(_Sets(frequent, self.percent, True),
+                                      "doc_id long, text_hash long, set_hash long, n long, first array<long>"), "shingle-pivots")
+        # a node is a class of equal sets, ``least`` its smallest id
+        self.nodes = nodes = stage(sets.where("set_hash IS NOT NULL").groupBy("set_hash", "n").agg(F.min("doc_id").alias("least")), "set-classes")
         copies = stage(sets.where("doc_id IS NOT NULL").select("doc_id", "set_hash", "n").join(nodes, ["set_hash", "n"])
-                           .where("doc_id != node").select("doc_id").distinct(), "set-copies")
+                           .where("doc_id != least").select("doc_id", "set_hash").distinct(), "set-copies")
         # rows that the bitmap clears need no join; only the others, with their pivots, are shuffled
         copy = sc.broadcast(bitmap(copies, "doc_id"))
-        flagged = (sets.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n", "first")
-                       .mapInArrow(_Named(copy), "doc_id long, n long, first array<long>, copy boolean"))
-        named = (flagged.where("NOT copy").unionByName(flagged.where("copy").join(copies, "doc_id", "left_anti"))
-                        .select(F.col("doc_id").alias("node"), "n", "first"))
+        flagged = (sets.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_hash", "n", "first")
+                       .mapInArrow(_Named(copy), "doc_id long, set_hash long, n long, first array<long>, copy boolean"))
+        named = (flagged.where("NOT copy").unionByName(flagged.where("copy").join(copies, ["doc_id", "set_hash"], "left_anti"))
+                        .select(F.col("set_hash").alias("node"), "n", "first"))
         members = self._members(named)
         counted = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
         large = members.join(counted.where(F.col("size") > self.leaf).select("pivot"), "pivot")
@@ -338,10 +342,14 @@ class JaccardJoin:
         ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("times"))
         ends = ends.unionByName(inside.where("b IS NULL").select(F.col("a").alias("node"), "times"))
         degree = ends.groupBy("node").agg(F.sum("times").alias("n_links"))
-        named_rows = sets.select("doc_id", "set_hash", "n").join(nodes, ["set_hash", "n"], "left")
-        return (named_rows.join(self.labels, "node", "left").join(degree, "node", "left")
-                .select("doc_id", F.col("n").alias("n_shingles"),
-                        F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id"),
+        linked = self.labels.unionByName(self.labels.select(F.col("component").alias("node"), "component").distinct())
+        least = (linked.join(nodes.select(F.col("set_hash").alias("node"), "least"), "node")
+                       .groupBy("component").agg(F.min("least").alias("smallest")))
+        linked = linked.join(least, "component").select(F.col("node").alias("set_hash"), "smallest")
+        rows = sets.select("doc_id", "text_hash", "set_hash", "n").join(nodes, ["set_hash", "n"], "left")
+        return (rows.join(linked, "set_hash", "left").join(degree.withColumnRenamed("node", "set_hash"), "set_hash", "left")
+                .select("doc_id", "text_hash", F.col("n").alias("n_shingles"),
+                        F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.coalesce("smallest", "least")).alias("component_id"),
                         F.coalesce("n_links", F.lit(0)).alias("n_links")))
 
     def _members(self, named: DataFrame) -> DataFrame:
@@ -373,7 +381,8 @@ class JaccardJoin:
     def _whole_sets(self, pairs: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes in the columns of a staged table (and of a few others)."""
         ids = stage(pairs.select(F.explode(F.array(*pairs.columns)).alias("node")).distinct(), "paired-nodes")
-        wanted = self.spark.sparkContext.broadcast(bitmap(ids, "node"))
+        ids = ids.join(self.nodes.select(F.col("set_hash").alias("node"), "least"), "node")
+        wanted = self.spark.sparkContext.broadcast(bitmap(ids, "least"))
         return self.texts.mapInArrow(_WholeSets(wanted), "node long, shingles array<long>")
 
     def _distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -463,12 +472,14 @@ class JaccardJoin:
 def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                  leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (links of its class to other classes)."""
-    return JaccardJoin(documents, id_col, text_col, percent, leaf, pivots).run()
+    return JaccardJoin(documents, id_col, text_col, percent, leaf, pivots).run().drop("text_hash")
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` whose id is their component's smallest, with all their columns."""
-    joined = stage(jaccard_join(documents, id_col, text_col), "components")
-    key = free_name(documents, "__component")
-    dropped = joined.where("doc_id IS NOT NULL AND component_id != doc_id").select(F.col("doc_id").alias(key)).distinct()
-    return documents.join(dropped, F.col(id_col).cast("long") == F.col(key), "left_anti")
+    joined = stage(JaccardJoin(documents, id_col, text_col, PERCENT, LEAF, PIVOTS).run(), "components")
+    key, text = free_name(documents, "__component"), free_name(documents, "__text")
+    dropped = (joined.where("doc_id IS NOT NULL AND component_id != doc_id")
+                     .select(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).distinct())
+    same = (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(F.col(text_col)) == F.col(text))
+    return documents.join(dropped, same, "left_anti")

@@ -150,6 +150,15 @@ def test_one_of_each_keeps_the_smallest(documents, corpus):
     assert {r.doc_id for r in jaccard_join.one_of_each(documents).collect()} == want
 
 
+def test_one_id_on_two_texts_keeps_the_links_of_both(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(5, a), (5, b), (3, b), (9, a + " tail")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_join(documents).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == [(3, 26, 3, 0), (5, 26, 3, 0), (5, 26, 5, 1), (9, 27, 5, 1)]
+    assert sorted((r.doc_id, r.text) for r in jaccard_join.one_of_each(documents).collect()) == [(3, b), (5, a)]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 120).selectExpr("id AS a", "id - 1 AS b").unionByName(spark.range(1).selectExpr("500 AS a", "400 AS b"))
     found = {r.node: r.component for r in components(links).collect()}
