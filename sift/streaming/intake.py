@@ -5,8 +5,9 @@ file stream → parse date (B2) → cutoff (C2) → canonical URL (B1) →
 state) → ``foreachBatch``: anti join with the seen table (long memory beyond
 the watermark), append the new items and their keys to the seen table.
 
-Undated items get the arrival time as their event time for the watermark
-only; their ``published_at`` stays null (C2 keeps them).
+The watermark runs on the arrival time (the time of the micro-batch), so it
+only bounds the short memory: no item is late, however old its date is within
+the cutoff.  Undated items are kept (C2).
 
 The seen table is partitioned by (bucket of the URL's hash, batch).  A
 micro-batch reads only buckets that its own URLs fall into, and only batches
@@ -37,7 +38,7 @@ def prepare(items: DataFrame, cutoff_ts: str, url_col: str = "url", date_col: st
     keyed = (items.withColumn("published_at", published)
                   .where(is_recent(F.col("published_at"), F.lit(cutoff_ts).cast("timestamp")))
                   .withColumn("canonical_url", canonical_url(F.col(url_col)))
-                  .withColumn("_event_time", F.coalesce(F.col("published_at"), F.current_timestamp())))
+                  .withColumn("_event_time", F.current_timestamp()))
     return (keyed.withWatermark("_event_time", watermark)
                  .dropDuplicatesWithinWatermark(["canonical_url"]))
 

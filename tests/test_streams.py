@@ -51,6 +51,20 @@ def test_window_counts_append_emits_final_windows(spark):
     assert {r for r in complete if r not in set(appended)} == {r for r in complete if r[1] == last_end}
 
 
+def test_backlog_behind_newer_items_is_kept(spark):
+    """A later batch may hold items dated long before those already seen, dated or not."""
+    wd = stream_plans._work_dir(spark, "test-backlog")
+    schema = "url string, date string"
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{wd}/in")
+    batches = [[("https://a.example/new", "2024-01-30T00:00:00Z"), ("https://a.example/undated", None)],
+               [("https://a.example/old", "2024-01-25T00:00:00Z"), ("https://a.example/new", "2024-01-30T00:00:00Z")],
+               [("https://a.example/older", "2024-01-18T00:00:00Z"), ("https://a.example/cut", "2024-01-10T00:00:00Z")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{wd}/in")
+        out = intake.run_available(spark, stream(), lambda x: x, "2024-01-17 00:00:00", wd)
+    assert sorted(r.url for r in out.collect()) == [f"https://a.example/{x}" for x in ("new", "old", "older", "undated")]
+
+
 def _batch(spark, *urls):
     return spark.createDataFrame([(u, u) for u in urls], "url string, canonical_url string").withColumn(
         "_event_time", F.current_timestamp())
