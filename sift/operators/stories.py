@@ -15,6 +15,8 @@ components of that relation.  The join is exact:
   a group whose members are in one component is done.  Every round takes a
   number of pairs linear in the group, and rounds go on until no group is left;
 * pairs are checked on their whole sets before they link anything.
+
+A null text is a copy of nothing and is its own story.
 """
 
 from __future__ import annotations
@@ -114,13 +116,14 @@ def story_groups(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, story_id`` for every text (story_id = least id in the story)."""
     ensure_checkpoint_dir(texts.sparkSession)
     keyed = texts.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("_h"))
-    reps = keyed.groupBy("_h").agg(F.min("id").alias("rep"))
+    reps = keyed.where("_h IS NOT NULL").groupBy("_h").agg(F.min("id").alias("rep"))
     named = texts.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     sets = shingle_sets(named.join(reps.select(F.col("rep").alias("node")), "node", "left_semi")).checkpoint()
     labels = components(near_links(sets))
     story = (reps.join(labels, F.col("rep") == F.col("node"), "left")
                  .select("_h", F.coalesce("component", "rep").alias("story_id")))
-    return keyed.join(story, "_h").select(F.col("id").alias(id_col), "story_id")
+    textless = texts.where(F.col(text_col).isNull()).select(F.col(id_col), F.col(id_col).alias("story_id"))
+    return keyed.join(story, "_h").select(F.col("id").alias(id_col), "story_id").unionByName(textless)
 
 
 def best_per_story(items: DataFrame, story_col: str = "story_id",

@@ -24,6 +24,10 @@ def test_threshold_is_exact(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
 
 
+def test_null_texts_are_their_own_stories(spark):
+    assert _groups(spark, {1: None, 2: "a b", 3: None, 4: "a b", 5: ""}) == {1: 1, 2: 2, 3: 3, 4: 2, 5: 5}
+
+
 def test_copies_and_a_shared_passage(spark):
     passage = " ".join(_words("p", 30))
     texts = {i: passage + " " + " ".join(_words(f"own{i}x", 20 + i)) for i in range(45)}   # no two are near copies
