@@ -2,22 +2,22 @@
 
 Templates are short word sequences with a label and a mandatory key phrase.
 The corpus is counted once: in how many texts each template word occurs.  From
-that every template gets its anchors, its words of highest IDF (one for a
-template that must stand whole, ``ANCHORS`` otherwise), and the index maps each
-anchor to postings (template, position in it).  A file looks up the anchor
+that every template gets its anchors: the word of highest IDF of its key phrase
+and, unless it must stand whole, further words of highest IDF up to ``ANCHORS``.
+The index maps each anchor to postings (template, position in it).  A file looks up the anchor
 words it holds; a posting at position p for a word at position w says that the
 template would start at w - p, and postings that agree on the start support the
 same place.  Each such place is verified: the mandatory key phrase must stand
 at its relative position, and the IDF-weighted share of template words that
 stand at theirs must reach the template's least score.
 
-A base phrase is a template that is all key phrase, with one anchor.  The phrase
-cannot stand anywhere without its anchor at the right distance, so all its places
-are found, however common the anchor is.
+A key phrase cannot stand anywhere without its anchor at the right distance, so
+all places are found, however common the anchor is and whatever other words are
+altered.  A base phrase is a template that is all key phrase, with one anchor.
+IDFs are 1 or more, so words that all texts hold still count.
 
 Defined cases: a null text is empty, has no words and no places; a text is read
-whole; overlapping places all count; an empty corpus has no anchors of weight
-and an empty result; rows are judged one by one; extra columns are ignored.
+whole; overlapping places all count; an empty corpus has an empty result; rows are judged one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,7 +97,8 @@ class Index:
         self.weight = [sum(idf.get(w, 0.0) for w in t.words) for t in templates]
         for number, template in enumerate(templates):
             rare = sorted(set(template.words), key=lambda w: (-idf.get(w, 0.0), w))
-            for word in rare[:1 if template.base else ANCHORS]:
+            of_key = next(w for w in rare if w in template.words[slice(*template.key)])
+            for word in [of_key, *(w for w in rare if w != of_key)][:1 if template.base else ANCHORS]:
                 self.postings[word] += [(number, p) for p, w in enumerate(template.words) if w == word]
         self.anchors = frozenset(self.postings)
 
@@ -150,7 +151,7 @@ def inverse_frequencies(documents: DataFrame, templates: tuple[Template, ...], t
                         .groupBy("word").agg(F.sum("texts").alias("texts")).collect())
     texts = {row.word.encode(): row.texts for row in counted}
     total = texts.pop(b"", 0)
-    return {w: math.log((total + 1) / (texts.get(w, 0) + 1)) for w in vocabulary}
+    return {w: 1 + math.log((total + 1) / (texts.get(w, 0) + 1)) for w in vocabulary}
 
 
 class Scan:

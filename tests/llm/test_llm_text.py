@@ -155,6 +155,20 @@ def test_license_places(spark, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_license_notice_with_altered_rare_words(spark):
+    notice = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+    rows = [(0, notice.replace("permission is hereby granted", "consent is now given"))]
+    rows += [(i, notice) for i in range(1, 21)] + [(i, "other words") for i in range(21, 221)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [r.labels for r in (got[0], got[1], got[21])] == ["mit", "mit", ""] and 0.8 <= got[0].score < got[1].score
+
+
+def test_license_notice_that_every_text_holds(spark):
+    rows = [(i, "permission is hereby granted free of charge to any person obtaining a copy of this software") for i in range(5)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.labels, r.score) for r in got} == {("mit", 1.0)}
+
+
 def test_mixture_follows_the_rates(spark, nothing):
     docs = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', 20) AS text", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 100 = 1 THEN NULL ELSE 'b' END AS source")
     weights = {"a": 0.25, "b": 0.75}
