@@ -4,8 +4,8 @@ Documents are laid out in ascending id order (a range partitioning, then a sort
 inside each partition).  Each task encodes its texts with the tokenizers
 library and writes shards of about ``SHARD_IDS`` ids.  A shard is a grammar:
 rounds of Re-Pair count all neighbouring pairs, turn the frequent ones into
-nonterminals and replace them, until no pair is frequent or ``ROUNDS`` is
-reached.  A round takes every frequent pair, most frequent first, that cannot
+nonterminals and replace them, until no pair is found ``MIN_COUNT`` times.  A
+round takes every frequent pair, most frequent first, that cannot
 overlap one already taken, so one pass over the ids serves many pairs.  Pairs
 never cross a document's end.
 
@@ -52,9 +52,8 @@ from sift.llm.scratch import stage
 
 END_ID = 2
 SHARD_IDS = 1 << 20
-#: Bounds on the compressor's work, not on what it stores.
-ROUNDS = 8
-MIN_COUNT = 8
+#: A rule takes 12 bytes (two symbols and a length) and saves 4 wherever it stands: from 4 places on the file shrinks.
+MIN_COUNT = 4
 MAGIC = b"RPR1"
 #: Stands between the last id of a document and the next document's first.
 NO_PAIR = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -176,7 +175,7 @@ def _compatible(pairs: np.ndarray) -> np.ndarray:
     return pairs[taken]
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, n_terminals: int, rounds: int = ROUNDS,
+def compress(ids: np.ndarray, starts: np.ndarray, n_terminals: int,
              least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, first symbol of each document and the end, rules, expansion lengths)."""
     symbols = ids.astype(np.uint64)
@@ -184,9 +183,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, n_terminals: int, rounds: int
     last[starts[1:][starts[1:] > 0] - 1] = True
     rules: list[np.ndarray] = []
     lengths = np.ones(n_terminals, np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) >= 2:
         keys = symbols[:-1] << np.uint64(32)
         keys |= symbols[1:]
         keys[last[:-1]] = NO_PAIR

@@ -135,6 +135,18 @@ def fold_words(text):
         b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")))
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(2)
+    passage, copies = rng.integers(0, 900, 2000), 6
+    ids = np.concatenate([passage] * copies).astype(np.uint32)
+    symbols, docs, rules, lengths = grammar.compress(ids, np.arange(copies + 1) * len(passage), 900)
+    assert len(symbols) == copies and len(set(symbols.tolist())) == 1 and lengths[symbols[0] - 900] == len(passage)
+    ids = rng.integers(0, 30, 5000).astype(np.uint32)
+    symbols, docs, rules, lengths = grammar.compress(ids, np.array([0, 5000]), 30)
+    times = Counter(zip(symbols.tolist(), symbols[1:].tolist()))
+    assert max(times.values()) < grammar.MIN_COUNT
+
+
 def test_license_places(spark, nothing):
     rng = random.Random(4)
     vocabulary = sorted({w for t in licenses.BASE for w in t.words}) + [b"x"]
