@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sift.functions.let import let
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's behaviour.
 # Accepted: mail dates (weekday optional; day, month name, year with 2 or 4
@@ -35,35 +37,45 @@ _ISO = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssxx", "yyyy-MM-dd'T'HH:
 
 _CLOCK = r"(\d{1,2}:\d{1,2}(?::\d{1,2})?)"
 _NAME = r"([A-Za-z]{3,9})"
-# what is left of a mail date without its weekday, and which group has day, month, year, clock, zone
+_YEAR = r"(\d{2}|\d{4})"
+_ZONE = r"(?:\s+(\S+).*)?"
+# What is left of a mail date without its weekday, and the same as ``|day|month|year|clock|zone``.
+# With hyphens the zone must stand and nothing may follow it.
 _MAIL_FORMS = (
-    (rf"^(\d{{1,2}})[\s-]+{_NAME}[\s-]+(\d{{2}}|\d{{4}})\s+{_CLOCK}(?:\s+(\S+).*)?$", (1, 2, 3, 4, 5)),
-    (rf"^{_NAME}\s+(\d{{1,2}})\s+(\d{{2}}|\d{{4}})\s+{_CLOCK}(?:\s+(\S+).*)?$", (2, 1, 3, 4, 5)),
-    (rf"^{_NAME}\s+(\d{{1,2}})\s+{_CLOCK}\s+(\d{{4}})()$", (2, 1, 4, 3, 5)),
+    (rf"^(\d{{1,2}})\s+{_NAME}\s+{_YEAR}\s+{_CLOCK}{_ZONE}$", "|$1|$2|$3|$4|$5"),
+    (rf"^(\d{{1,2}})-{_NAME}-{_YEAR}\s+{_CLOCK}\s+(\S+)$", "|$1|$2|$3|$4|$5"),
+    (rf"^{_NAME}\s+(\d{{1,2}})\s+{_YEAR}\s+{_CLOCK}{_ZONE}$", "|$2|$1|$3|$4|$5"),
+    (rf"^{_NAME}\s+(\d{{1,2}})\s+{_CLOCK}\s+(\d{{4}})$", "|$2|$1|$4|$3|"),
 )
+_OFFSET = r"^([+-])(\d{2})(\d{2})$"
 
 
 def _mail_date(text: Column) -> Column:
     """A mail date as a timestamp or null; the names are mapped here because zone
-    names read as regions would follow the season."""
+    names read as regions would follow the season.  Each form only rewrites the
+    text to one order of parts, so the parts are taken and converted once."""
     rest = F.regexp_replace(text, r"^[A-Za-z]+\.?,\s*|^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\s+", "")
+    for form, parts in _MAIL_FORMS:
+        rest = F.regexp_replace(rest, form, parts)
     months = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for name in dict.fromkeys((m, m[:3])) for x in (F.lit(name), F.lit(i))])
     hours = F.create_map(*[x for z, h in ZONE_HOURS.items() for x in (F.lit(z), F.lit(h))])
-    found = []
-    for form, places in _MAIL_FORMS:
-        day, month, year, clock, zone = (F.regexp_extract(rest, form, g) for g in places)
-        year = F.when(F.length(year) == 2, F.when(year.try_cast("int") <= CENTURY_PIVOT, F.lit("20")).otherwise(F.lit("19"))) \
-                .otherwise(F.lit(""))
-        digits = F.regexp_extract(rest, form, places[2])
-        stamp = F.concat(year, digits, F.lit("-"), months[F.lower(month)].cast("string"), F.lit("-"), day, F.lit(" "), clock)
-        local = F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyy-M-d H:m:s")), F.try_to_timestamp(stamp, F.lit("yyyy-M-d H:m")))
-        offset = r"^([+-])(\d{2})(\d{2})$"
-        sign = F.when(F.regexp_extract(zone, offset, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+
+    def stamp(p: Column) -> Column:
+        day, month, year, clock, zone = (F.get(p, i) for i in range(1, 6))
+        century = F.when(F.length(year) > 2, F.lit("")).when(year.try_cast("int") <= CENTURY_PIVOT, F.lit("20")).otherwise(F.lit("19"))
+        seconds = F.when(F.length(clock) - F.length(F.replace(clock, F.lit(":"))) == 1, F.lit(":0")).otherwise(F.lit(""))
         minutes = F.coalesce(
-            sign * (F.regexp_extract(zone, offset, 2).try_cast("int") * 60 + F.regexp_extract(zone, offset, 3).try_cast("int")),
+            F.when(zone.rlike(_OFFSET), F.concat(F.substring(zone, 1, 1), F.lit("1")).try_cast("int")
+                   * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))),
             hours[F.lower(zone)] * 60, F.lit(0))
-        found.append(F.when(rest.rlike(form), F.timestamp_micros(F.unix_micros(local) - minutes.cast("long") * 60_000_000)))
-    return F.coalesce(*found)
+        return F.struct(F.concat(century, year, F.lit("-"), months[F.lower(month)].cast("string"), F.lit("-"), day,
+                                 F.lit(" "), clock, seconds).alias("local"), minutes.alias("minutes"))
+
+    def instant(s: Column) -> Column:
+        local = F.unix_micros(F.try_to_timestamp(s["local"], F.lit("yyyy-M-d H:m:s")))
+        return F.timestamp_micros(local - s["minutes"].cast("long") * 60_000_000)
+
+    return F.when(rest.startswith("|"), let(let(F.split(rest, r"\|", 6), stamp), instant))
 
 
 def parse_date(c: Column) -> Column:

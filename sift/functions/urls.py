@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sift.functions.let import let
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's behaviour.
 # Query parameters removed from a canonical URL:
@@ -47,13 +49,6 @@ def _encode(c: Column) -> Column:
                      F.lit("*"), F.lit("%2A"))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` (a one-element
-    ``transform`` binds it to a lambda variable).  CASE branches are outside
-    subexpression elimination, so without this each use re-runs the regexes."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def clean_query(query: Column) -> Column:
     """Query text without '?' → cleaned query text.
 
@@ -76,7 +71,7 @@ def clean_query(query: Column) -> Column:
             lambda x: F.concat(_encode(x["k"]), F.lit("="), _encode(x["v"])))))
         return F.array_join(grouped, "&")
 
-    return F.when(query == "", F.lit("")).otherwise(_let(kv, group))
+    return F.when(query == "", F.lit("")).otherwise(let(kv, group))
 
 
 def canonical_url(url: Column) -> Column:
@@ -108,7 +103,7 @@ def canonical_url(url: Column) -> Column:
                   .otherwise(F.lit("")))
         return F.concat(scheme, prefix, path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
 
-    return _let(_let(u, split), build)
+    return let(let(u, split), build)
 
 
 # the text pattern with '\s' spelled out as Python's whitespace set

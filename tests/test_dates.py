@@ -72,7 +72,7 @@ def _standard(text):
     return when if when.tzinfo is None else when.astimezone(timezone.utc).replace(tzinfo=None)
 
 
-@settings(max_examples=3, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(mail_dates(), min_size=60, max_size=120))
 def test_mail_dates_agree_with_the_standard_library(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "s string")

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from sift.plans import catalog
 from sift.sources.tables import TABLES
 
-from conftest import SF_SMALL
+from testpaths import SF_SMALL
 
 
 def _norm(v):

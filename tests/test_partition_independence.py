@@ -4,7 +4,7 @@ import pytest
 
 from sift.plans import catalog, coverage_plans, curation
 
-from conftest import SF_SMALL
+from testpaths import SF_SMALL
 
 QUERIES = {
     "coverage_sources": coverage_plans.q_coverage_sources,

@@ -5,7 +5,7 @@ import tempfile
 
 from sift.plans import fixtures, pipeline
 
-from conftest import SF_SMALL
+from testpaths import SF_SMALL
 
 
 def test_publish_twice(spark):

@@ -2,7 +2,7 @@
 
 from sift.plans import catalog, curation, intake_plans, json_plans
 
-from conftest import SF_SMALL
+from testpaths import SF_SMALL
 
 
 def _plan(df):

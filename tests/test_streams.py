@@ -8,7 +8,7 @@ from sift.sources.tables import read_table, stream_table
 from sift.streaming import coverage as scov
 from sift.streaming import intake
 
-from conftest import SF_SMALL
+from testpaths import SF_SMALL
 
 
 def test_intake_restart_adds_nothing(spark):
