@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sift.session import ensure_checkpoint_dir
@@ -13,6 +13,9 @@ BATCH_TRIGGER = 50     # up to this many items → one batch
 BATCH_SIZE = 20        # otherwise batches of 20 in input order
 # ---------------------------------------------------------------------------
 
+#: Partitions whose counts one window adds up.
+BLOCK = 256
+
 
 def top_n(items: DataFrame, n: int, order_col: str = "input_ord", materialize: bool = False) -> DataFrame:
     """G1: best ``n`` by weighted (missing = 0), ties in input order.
@@ -41,34 +44,42 @@ def top_n_ranked(items: DataFrame, n: int, order_col: str = "input_ord") -> Data
     return top.withColumn("rank", F.row_number().over(w))
 
 
-def dense_order(df: DataFrame, order_col: str, out_col: str = "ord",
-                num_partitions: int | None = None) -> tuple[DataFrame, int]:
-    """Dense 1-based position by ``order_col`` without a single-task window.
+def prefix_sums(counts: DataFrame, index: str, value: str, size: int, out_col: str) -> DataFrame:
+    """Sum of ``value`` over the smaller indexes, by levels of ``BLOCK`` indexes.
+
+    ``index`` runs from 0 below ``size``.  A window never holds more than
+    ``BLOCK`` rows, and the number of levels is the logarithm of ``size``.
+    """
+    level = counts.select(F.col(index).alias("_i"), F.col(value).alias("_v"), F.floor(F.col(index) / BLOCK).cast("bigint").alias("_block"))
+    before = Window.partitionBy("_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    within = level.withColumn("_within", F.coalesce(F.sum("_v").over(before), F.lit(0)))
+    if size <= BLOCK:
+        return within.select(F.col("_i").alias(index), F.col("_within").alias(out_col))
+    totals = level.groupBy(F.col("_block").alias("_upper")).agg(F.sum("_v").alias("_sum"))
+    above = prefix_sums(totals, "_upper", "_sum", -(-size // BLOCK), "_above")
+    return (within.join(above, F.col("_block") == F.col("_upper"))
+                  .select(F.col("_i").alias(index), (F.col("_within") + F.col("_above")).alias(out_col)))
+
+
+def dense_order(df: DataFrame, *order: str | Column, out_col: str = "ord",
+                num_partitions: int | None = None) -> DataFrame:
+    """Dense 1-based position by ``order`` without a single-task window.
 
-    Two passes: range-partition + sort, checkpoint (so partition ids are
-    stable and lineage is cut), count rows per partition (one small row per
-    partition reaches the driver), then offset + position inside the
-    partition, computed with plain column arithmetic.  Returns the frame
-    and the total row count.
+    Range-partition and sort, write each row with its partition and its place in
+    it (the checkpoint, so both stay as they are if an executor is lost), count
+    the rows of each partition, and join the partitions' prefix sums.  Nothing
+    goes through the driver, and the plan does not grow with the partitions.
+    Rows that are equal in ``order`` get their numbers in any order.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, F.col(order_col)).sortWithinPartitions(order_col)
-    ranged = ranged.checkpoint(eager=True)
-    tagged = (ranged.withColumn("_pid", F.spark_partition_id())
-                    .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = sorted((r["_pid"], r["n"]) for r in
-                    tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, run = {}, 0
-    for pid, cnt in counts:
-        offsets[pid] = run
-        run += cnt
-    off_map = F.create_map(*[x for pid, off in offsets.items() for x in (F.lit(pid), F.lit(off))]) \
-        if offsets else F.create_map().cast("map<int,bigint>")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    out = (tagged.withColumn(out_col, F.coalesce(off_map[F.col("_pid")], F.lit(0)).cast("bigint") + local + 1)
-                 .drop("_pid", "_mid"))
-    return out, run
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = ranged.select("*", F.spark_partition_id().cast("bigint").alias("_pid"),
+                           F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")).checkpoint()
+    counts = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    starts = prefix_sums(counts, "_pid", "_n", n, "_start")
+    return placed.join(starts, "_pid").select(*df.columns, (F.col("_start") + F.col("_place") + 1).alias(out_col))
 
 
 def batches(items: DataFrame, order_col: str = "input_ord",
@@ -77,7 +88,7 @@ def batches(items: DataFrame, order_col: str = "input_ord",
 
     Adds ``ord`` (dense, 1-based) and ``batch_id``.  Zero items → no rows.
     """
-    ranked, n_total = dense_order(items, order_col, "ord", num_partitions)
-    if n_total <= BATCH_TRIGGER:
-        return ranked.withColumn("batch_id", F.lit(0).cast("bigint"))
-    return ranked.withColumn("batch_id", F.floor((F.col("ord") - 1) / BATCH_SIZE).cast("bigint"))
+    ranked = dense_order(items, order_col, num_partitions=num_partitions)
+    total = ranked.agg(F.max("ord")).scalar()
+    return ranked.withColumn("batch_id", F.when(total <= BATCH_TRIGGER, F.lit(0))
+                             .otherwise(F.floor((F.col("ord") - 1) / BATCH_SIZE)).cast("bigint"))
