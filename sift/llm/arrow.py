@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,8 @@ import pyarrow as pa
 BLOCK_BYTES = 2 << 20
 #: Rows of a batch that are turned into Python values at a time.
 ROWS = 256
+#: ASCII other than letters and digits: never inside a word, nor inside a multi-byte character.
+_SEPARATOR = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def texts_of(column: pa.Array, null: bytes | None = b"") -> list[bytes]:
@@ -44,3 +47,15 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text",
         if values:
             yield batch.slice(start, len(values)), values
     release()
+
+
+def chunks(text: bytes, limit: int) -> Iterator[bytes]:
+    """The text in parts of about ``limit`` bytes, each but the last ending with a separator of words."""
+    at = 0
+    while len(text) - at > limit:
+        found = _SEPARATOR.search(text, at + limit)
+        if found is None:
+            break
+        yield text[at:found.end()]
+        at = found.end()
+    yield text[at:] if at else text

@@ -33,7 +33,6 @@ empty histogram; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,12 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, pre_tokenizers
 
-from sift.llm.arrow import blocks
+from sift.llm.arrow import blocks, chunks
 from sift.llm.scratch import stage
 from sift.operators.rank import dense_order
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_SEPARATOR = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 BUCKETS = 10_000
 #: A long text is cut behind the first separator after so many bytes.
 CHUNK = 2 << 20
@@ -102,18 +100,6 @@ class Crc:
         return out ^ second
 
 
-def chunks(text: bytes, limit: int) -> Iterator[bytes]:
-    """The text in parts of about ``limit`` bytes, each but the last ending with a separator of words."""
-    at = 0
-    while len(text) - at > limit:
-        found = _SEPARATOR.search(text, at + limit)
-        if found is None:
-            break
-        yield text[at:found.end()]
-        at = found.end()
-    yield text[at:] if at else text
-
-
 class _Numbers(dict):
     """Pieces numbered as they come; ``new`` has those whose words are not known yet."""
 

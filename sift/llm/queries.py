@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sift.llm import bpe, chat, exact_dedup, grammar, importance, jaccard_join, licenses, mixing, quality, sql, suffix_dedup, url_rules
+from sift.llm import bpe, chat, divergence, exact_dedup, grammar, importance, jaccard_join, licenses, mixing, quality, sql, suffix_dedup, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_rules": op1_repetition_rules,
     "op2_bpe_automaton": op2_bpe_automaton,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLE = dict(sql.ORACLE)

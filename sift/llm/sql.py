@@ -67,9 +67,33 @@ n AS (SELECT d.*, list_sum(list_transform(range(1, parts + 1), lambda part: len(
 SELECT doc_id, text, lang, source, n_chars, unnest(range(0, copies::BIGINT))::INT AS copy FROM n
 """
 
+DIVERGENCE = f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY 1, 2 HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS n_all FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2),
+q AS (SELECT lang, term, 1 + 1000000000 * (l.n + 2) // (sum(l.n) OVER (PARTITION BY lang) + 2 * v) AS q FROM l JOIN v USING (lang)),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 2) // (n_all + 2 * v) AS p
+      FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 10
+"""
+
 ORACLE = {
     "op4_source_mixing": MIXING,
     "op7_exact_dedup": EXACT_DEDUP,
     "op9_url_rules": URL_RULES,
     "op10_chat_format": CHAT,
+    "op12_source_divergence": DIVERGENCE,
 }
