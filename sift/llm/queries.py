@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sift.llm import bpe, chat, divergence, exact_dedup, grammar, importance, jaccard_join, licenses, mixing, quality, sql, suffix_dedup, url_rules
+from sift.llm import bpe, chat, divergence, exact_dedup, grammar, importance, jaccard_join, licenses, mixing, pii, quality, sql, suffix_dedup, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -81,6 +81,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents", "lang", "source", "text"))
 
 
+def op13_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+    kinds = F.transform("seeds", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(F.transform(kinds, lambda kind: (kind == k).cast("int")), 0)).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(pii.NAMES)]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("seeds")), 256).alias("base_sha256"),
+                        pii.spans_text(F.concat("seeds", "found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repetition_rules": op1_repetition_rules,
     "op2_bpe_automaton": op2_bpe_automaton,
@@ -94,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_source_divergence": op12_source_divergence,
+    "op13_contextual_pii": op13_contextual_pii,
 }
 
 ORACLE = dict(sql.ORACLE)
