@@ -13,8 +13,8 @@ the pattern.
 
 **Scores.** Seeds have score 1.  A pattern's score is the summed score of its
 instances' occurrences over all places of the corpus where its two words are
-followed by a word, whatever that is; an instance's is that of its best
-pattern.  Both are taken in turn, ``rounds`` times, in whole millionths, so
+followed by a word, whatever that is; an instance's is, towards each pattern,
+that of its best other pattern.  Both are taken in turn, ``rounds`` times, in whole millionths, so
 they do not depend on the order of rows.  Patterns with fewer than
 ``min_instances`` different instances score 0: they can neither gain trust nor give it.
 
@@ -221,10 +221,16 @@ def bootstrap(edges: DataFrame, patterns: DataFrame, params: Bootstrap = Bootstr
     for turn in range(params.rounds):
         gained = seeds
         if scored is not None:
-            best = (open_edges.join(scored.where(F.col("score") > 0), "context").groupBy("instance")
-                              .agg(F.max(F.struct("score", (-F.col("kind")).alias("order"))).alias("best")))
-            gained = seeds.unionByName(open_edges.join(best, "instance").select(
-                "context", (-F.col("best.order")).alias("kind"), (F.col("n") * F.col("best.score")).alias("gain")))
+            # what an instance gives a pattern comes from its best other pattern, so no pattern supports itself
+            rated = open_edges.join(scored.where(F.col("score") > 0), "context")
+            rate = F.struct("score", (-F.col("kind")).alias("order"), "context")
+            first = rated.groupBy("instance").agg(F.max(rate).alias("first"))
+            others = (rated.join(first, "instance").where(F.col("context") != F.col("first.context"))
+                           .groupBy("instance").agg(F.max(rate).alias("second")))
+            best = F.when(F.col("first.context") != F.col("context"), F.col("first")).otherwise(F.col("second"))
+            given = (open_edges.join(first.join(others, "instance", "left"), "instance").withColumn("best", best)
+                               .where(F.col("best").isNotNull()))
+            gained = seeds.unionByName(given.select("context", (-F.col("best.order")).alias("kind"), (F.col("n") * F.col("best.score")).alias("gain")))
         by_kind = gained.groupBy("context", "kind").agg(F.sum("gain").alias("gain"))
         scored = stage(by_kind.groupBy("context").agg(F.sum("gain").alias("gain"), F.max_by("kind", F.struct("gain", -F.col("kind"))).alias("kind"))
                               .join(patterns, "context").select("context", "kind", F.expr("gain DIV places").alias("score")), f"patterns{turn}")
