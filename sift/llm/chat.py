@@ -1,6 +1,6 @@
 """Chat formatting with schema fingerprints, in DataFrame functions only.
 
-A record arrives as a VARIANT or a struct.  Its fingerprint is a hash of its nested field
+A record arrives as a VARIANT or a struct of any of the layouts.  Its fingerprint is a hash of its nested field
 paths (``schema_of_variant`` without the leaf types, so ``"a": 1`` and
 ``"a": "x"`` are one layout).  A fingerprint selects a declarative mapping
 (``Layout``): which paths hold the turns, or which single fields become a
@@ -89,15 +89,26 @@ def _flat(shape: str) -> str:
     return shape.replace("}", ">").replace("]", ">")
 
 
-def type_paths(kind: T.DataType) -> str:
-    """The same for a typed column, from its type."""
+def skeleton(value: Column, kind: T.DataType) -> Column:
+    """A typed value with its texts cut to one character: the same field paths in a VARIANT of small size."""
+    if isinstance(kind, T.StringType):
+        return F.substring(value, 1, 1)
     if isinstance(kind, T.ArrayType):
-        inner = type_paths(kind.elementType)
-        return f"[{inner or 'VOID'}>"
+        return F.transform(value, lambda x: skeleton(x, kind.elementType))
     if isinstance(kind, T.StructType):
-        fields = sorted(kind.fields, key=lambda f: f.name)
-        return "{" + ",".join(f.name + (f":{inner}" if (inner := type_paths(f.dataType)) else "") for f in fields) + ">"
-    return ""
+        fields = F.struct(*[skeleton(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), fields)
+    return value
+
+
+def _has(kind: T.StructType, spec: "Layout") -> bool:
+    """Whether a struct of this type has the fields that a mapping reads."""
+    types = {f.name: f.dataType for f in kind.fields}
+    if not spec.turns:
+        return all(isinstance(types.get(p.removeprefix("$.")), T.StringType) for _, paths in spec.singles for p in paths)
+    turns = types.get(spec.turns.removeprefix("$."))
+    element = turns.elementType if isinstance(turns, T.ArrayType) else None
+    return isinstance(element, T.StructType) and {spec.role, spec.text} <= set(element.names)
 
 
 def fingerprint(paths: Column) -> Column:
@@ -188,7 +199,8 @@ def loss_spans(turns: Column, roles: tuple[str, ...] = LOSS_ROLES) -> Column:
 def parse(formatted: Column) -> Column:
     """The turns read back from a formatted conversation."""
     pieces = F.filter(F.split(formatted, TURN_END), lambda p: p != "")
-    marked = r"(?s)^### ((?:\\.|[^\\:])*): (.*)$"
+    # possessive: an escaped character or a run of others, never tried again, so a long role takes no stack
+    marked = r"(?s)^### ((?:[^\\:]++|\\.)*+): (.*)$"
     return F.transform(pieces, lambda p: F.struct(unescape(F.regexp_extract(p, marked, 1)).alias("role"),
                                                   unescape(F.regexp_extract(p, marked, 2)).alias("text")))
 
@@ -202,20 +214,20 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 def format_records(records: DataFrame, record_col: str, *keep: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """The kept columns, then layout, fingerprint, turns, formatted, loss_spans of each record.
 
-    A VARIANT column is fingerprinted row by row; a struct column has one shape,
-    which its type tells, and only the mappings of that shape are planned.
+    Each record is fingerprinted by its own field paths and looked up among all
+    layouts, a struct by the VARIANT of its skeleton.  From a struct only the
+    mappings can read whose fields its type has.
     """
     record, kind = F.col("__record"), records.schema[record_col].dataType
     if isinstance(kind, T.StructType):
-        shape, get = type_paths(kind), _from_struct
-        layouts = tuple(x for x in layouts if shape in map(_flat, x.shapes))
-        paths = F.lit(shape)
+        paths, get = field_paths(F.to_variant_object(skeleton(record, kind))), _from_struct
+        readable = tuple(x for x in layouts if _has(kind, x))
     else:
-        paths, get = field_paths(record), _from_variant
+        paths, get, readable = field_paths(record), _from_variant, layouts
     shaped = (records.select(*keep, F.col(record_col).alias("__record"))
                      .withColumn("fingerprint", fingerprint(paths))
                      .withColumn("layout", layout_of(F.col("fingerprint"), layouts)))
-    turned = shaped.select(*keep, "layout", "fingerprint", canonical_turns(record, F.col("layout"), layouts, get).alias("turns"))
+    turned = shaped.select(*keep, "layout", "fingerprint", canonical_turns(record, F.col("layout"), readable, get).alias("turns"))
     return turned.select("*", render(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"))
 
 

@@ -88,8 +88,35 @@ def test_rows_to_conversations(spark):
 
 
 def test_no_python_in_the_chat_plan(spark):
-    plan = queries.op10_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 100_000)
+    run = queries.op10_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    plan = run.executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    logical = run.analyzed().toString()
+    assert "schema_of_variant" in logical and all(layout.name in logical for layout in chat.LAYOUTS)
+
+
+def test_long_roles_and_texts(spark):
+    n = 1_000_000
+    roles = ["r" * n, ":" * n, "\\" * n, "a:\\#" * (n // 4), ""]
+    df = spark.createDataFrame([(1, k, role, "# " * 50 + str(k)) for k, role in enumerate(roles)] + [(2, 0, "user", "é: \\" * n)],
+                               "conv_id long, turn long, role string, text string")
+    out = chat.format_records(chat.records_of_rows(df), "record", "conv_id").select("conv_id", chat.parse(F.col("formatted")).alias("back"))
+    got = {r.conv_id: [tuple(t) for t in r.back] for r in out.collect()}
+    assert got == {1: [(role, "# " * 50 + str(k)) for k, role in enumerate(roles)], 2: [("user", "é: \\" * n)]}
+
+
+def test_typed_records_of_several_layouts(spark):
+    kind = "id int, r struct<messages:array<struct<role:string,content:string>>>"
+    typed = spark.createDataFrame([(1, ([("human", "hi"), ("gpt", None)],)), (2, ([],)), (3, None)], kind)
+    got = {r.id: r for r in chat.format_records(typed, "r", "id").collect()}
+    assert got[1].layout == got[2].layout == "messages" and got[3].layout is None and got[3].turns is None
+    assert [tuple(t) for t in got[1].turns] == [("user", "hi"), ("assistant", "")] and got[2].turns == []
+    typed = spark.createDataFrame([(1, ("q", "a", "c"))], "id int, r struct<question:string,answer:string,context:string>")
+    row = chat.format_records(typed, "r", "id").first()
+    assert row.layout == "question" and [tuple(t) for t in row.turns] == [("user", "c\n\nq"), ("assistant", "a")]
+    other = spark.createDataFrame([(1, ("q",))], "id int, r struct<zz:string>")
+    assert chat.format_records(other, "r", "id").first().turns is None
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
