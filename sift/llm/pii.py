@@ -49,6 +49,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD_WITH_DIGIT = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+DIGITS = r"@|[0-9][^\s0-9]*+[0-9][^\s0-9]*+[0-9][^\s0-9]*+[0-9]"
 #: Stands for a seed in a blanked text; no word of a pattern holds it.
 BLANK = "\ue000"
 #: Characters before an identifier that its context is read from.
@@ -162,7 +163,7 @@ def _core(span: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Words with four digits or an ``@`` outside the seeds."""
-    found = matches(text, WORD_WITH_DIGIT, -1, text.rlike("[0-9@]"), lambda _: F.lit(True))
+    found = matches(text, WORD_WITH_DIGIT, -1, text.rlike(DIGITS), lambda _: F.lit(True))
     return F.filter(F.transform(F.filter(found, lambda s: ~s["text"].contains(BLANK)), _core), lambda s: F.length(s["text"]).between(4, 64)
                     & (s["text"].contains("@") | (F.length(digits_of(s["text"])) >= 4)) & s["context"].isNotNull())
 
@@ -172,12 +173,12 @@ def occurrences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     seeds = F.concat(*[matches(text, pattern, k, may(text), valid) for k, (_, pattern, may, valid) in enumerate(KINDS)])
-    # a text without a digit and an @ has neither
-    some = text.rlike("[0-9@]")
+    some = text.rlike("[0-9@]")      # a text without a digit and an @ has neither
     none = F.array().cast(_SPANS)
-    return rows.select("doc_id", F.monotonically_increasing_id().alias("row"),
-                       F.when(some, seeds).otherwise(none).alias("seeds"),
-                       F.when(some, candidates(blanked(text))).otherwise(none).alias("candidates"))
+    seeded = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text"),
+                         F.when(some, seeds).otherwise(none).alias("seeds"))
+    left = F.when(F.size("seeds") == 0, F.col("text")).otherwise(blanked(F.col("text")))
+    return seeded.select("doc_id", "row", "seeds", candidates(left).alias("candidates"))
 
 
 def _place(mark: Column) -> tuple[Column, Column]:
@@ -188,24 +189,18 @@ def _place(mark: Column) -> tuple[Column, Column]:
 
 def places(documents: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
     """(context, places): how often a pattern's two words are followed by a word, over all texts."""
-    word, bit = _place(F.xxhash64("context"))
+    word, bit = _place(F.xxhash64(F.substring_index("context", " ", 1), F.substring_index("context", " ", -1)))
     held = patterns.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     # one row of 2 ** (BITS - 6) numbers, whatever the data
     bitmap = (documents.sparkSession.range(1 << (BITS - 6)).select(F.col("id").cast("int").alias("word"))
                        .join(held, "word", "left").agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("b"))
                        .select(F.col("b.bits").alias("bits")))
 
-    def contexts(words: Column) -> Column:
-        pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))),
-                            lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
-
-        def may(pair: Column) -> Column:
-            at, bit = _place(F.xxhash64(pair))
-            return F.get(F.col("bits"), at).bitwiseAND(bit) != 0
-        return F.filter(pairs, may)
-
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda w: w != "")
-    found = documents.select(text_col).join(F.broadcast(bitmap)).select(F.explode(_let(words, contexts)).alias("context"))
+    words = F.split(F.btrim(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(" \t\n\x0b\f\r")), r"\s+")
+    pairs = documents.select(words.alias("words")).where(F.size("words") > 2).join(F.broadcast(bitmap)).select("bits", F.inline(F.arrays_zip(
+        F.slice("words", F.lit(1), F.size("words") - 2).alias("a"), F.slice("words", F.lit(2), F.size("words") - 2).alias("b"))))
+    at, mask = _place(F.xxhash64("a", "b"))
+    found = pairs.where(F.get("bits", at).bitwiseAND(mask) != 0).select(F.concat_ws(" ", "a", "b").alias("context"))
     return (found.groupBy("context").agg(F.count(F.lit(1)).alias("places"))
                  .join(patterns.select("context"), "context"))
 
