@@ -37,6 +37,10 @@ class Suffixes:
         return length
 
 
+#: Positions below this fit a third of a 63-bit key.
+_PACKED = 1 << 21
+
+
 def suffix_sort(keys: np.ndarray, end: np.ndarray, start_depth: int = 1, depth: int | None = None,
                 keep_levels: bool = True) -> Suffixes:
     """Sort the suffixes of texts laid end to end.
@@ -47,7 +51,7 @@ def suffix_sort(keys: np.ndarray, end: np.ndarray, start_depth: int = 1, depth:
     Without ``keep_levels`` only the last ranks are kept.
     """
     n = len(keys)
-    array = np.argsort(keys, kind="stable")
+    array = np.argsort(keys)     # the order of equal keys is settled below
     slots = np.arange(n)
     ordered = keys[array]
     fresh = np.ones(n, bool)
@@ -60,9 +64,15 @@ def suffix_sort(keys: np.ndarray, end: np.ndarray, start_depth: int = 1, depth:
         at = array[active]
         ahead = at + h
         beyond = np.where(ahead < end[at], rank[np.minimum(ahead, n - 1)], -1).astype(np.int64)
-        key = rank[at].astype(np.int64) * (n + 1) + beyond + 1
-        order = np.argsort(key, kind="stable")
-        at, key = at[order], key[order]
+        if n < _PACKED:   # rank, rank ahead and position in one word: a plain sort, equal suffixes by position
+            key = (rank[at].astype(np.uint64) << np.uint64(42)) | ((beyond + 1).astype(np.uint64) << np.uint64(21)) | at.astype(np.uint64)
+            key.sort()
+            at = (key & np.uint64(_PACKED - 1)).astype(np.int64)
+            key >>= np.uint64(21)
+        else:
+            key = rank[at].astype(np.int64) * (n + 1) + beyond + 1
+            order = np.lexsort((at, key))
+            at, key = at[order], key[order]
         array[active] = at
         fresh = np.ones(len(at), bool)
         fresh[1:] = key[1:] != key[:-1]
@@ -83,6 +93,8 @@ def _members(slots: np.ndarray, fresh: np.ndarray) -> np.ndarray:
 def kasai(suffixes: Suffixes, data: np.ndarray, start: np.ndarray, limit: int) -> np.ndarray:
     """Common prefix of each suffix with the one before it in the array, by slot, up to ``limit``.
 
+    Suffixes with fewer than ``limit`` symbols left are not looked at and have 0.
+
     Kasai's scan goes through a text from left to right and keeps the length it
     has reached less one.  Here all texts (beginning at ``start``) are scanned in
     step, eight bytes at a time.
@@ -93,8 +105,9 @@ def kasai(suffixes: Suffixes, data: np.ndarray, start: np.ndarray, limit: int) -
     slot[array] = np.arange(n)
     words = words_at(data)
     common = np.zeros(n, np.int64)
-    at, stop = start.copy(), end[start]
-    have = np.zeros(len(start), np.int64)
+    some = start + limit <= end[start]
+    at, stop = start[some], end[start[some]]
+    have = np.zeros(len(at), np.int64)
     while len(at):
         other = array[np.maximum(slot[at] - 1, 0)]
         room = np.minimum(np.minimum(stop - at, end[other] - other), limit)
@@ -110,7 +123,7 @@ def kasai(suffixes: Suffixes, data: np.ndarray, start: np.ndarray, limit: int) -
             going = going[(equal == 8) & (have[going] < room[going])]
         common[slot[at]] = have
         at = at + 1
-        alive = at < stop
+        alive = at + limit <= stop
         at, stop, have = at[alive], stop[alive], have[alive]
     return common
 

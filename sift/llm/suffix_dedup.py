@@ -51,6 +51,8 @@ from sift.llm.suffix import covered, kasai, suffix_sort
 
 #: Bytes of a long text that are looked at together.
 SEGMENT = 4 << 20
+#: Bytes of texts whose anchors are sought together: their arrays stay in the processor's cache.
+ANCHOR_BLOCK = 1 << 16
 #: Different pieces of one anchor that one shard sorts together.
 PIECES = 1024
 #: Bytes of pieces in one suffix array.
@@ -89,7 +91,7 @@ class _Marks:
         self.wanted = wanted
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, limit=ANCHOR_BLOCK):
             keys = batch.column(0).to_numpy()
             for block in _segments(texts):
                 _, _, _, mark, segment, _ = _block_anchors(block)
@@ -106,6 +108,10 @@ def _pieces_of(texts: list[bytes], wanted: list[list[dict]]) -> Iterator[tuple[i
     for block in _segments(texts):
         data, first, last, mark, segment, begin = _block_anchors(block)
         raw = data.tobytes()
+        # only marks that some text of the block wants are looked at one by one
+        some = np.array(list({entry["mark"] for number in {number for number, _, _ in block} for entry in wanted[number]}), np.int64)
+        near = np.isin(mark.view(np.int64), some)
+        first, last, mark, segment = first[near], last[near], mark[near], segment[near]
         cuts = np.searchsorted(segment, np.arange(len(block) + 1)).tolist()
         for k, (number, offset, _) in enumerate(block):
             entries = {entry["mark"]: entry for entry in wanted[number]}
@@ -124,7 +130,7 @@ class _Rows:
     """(key, doc_id, text, wanted) to (mark, split, splits, piece_hash, key, doc_id, at), a row for each piece."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, limit=ANCHOR_BLOCK):
             rows = []
             for number, at, piece, entry in _pieces_of(texts, batch.column(3).to_pylist()):
                 print_ = _piece_hash(piece)
@@ -141,7 +147,7 @@ class _Pieces:
     """(key, doc_id, text, wanted) to (mark, split, splits, piece_hash, weight, piece), each wanted piece once."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, limit=ANCHOR_BLOCK):
             lists = batch.column(3).to_pylist()
             pieces = [{(e["mark"], e["piece_hash"]): e for e in entries} for entries in lists]
             rows = []
