@@ -7,9 +7,11 @@ Input is the exploded manifest form, one row per (manifest, source) entry:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sift.sources.jsonfix import is_json
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's behaviour.
 STATUS_OK = "ok"
@@ -24,6 +26,24 @@ MANIFEST_SCHEMA = ("struct<coverage:struct<scanner:string,"
                    "sources:map<string,struct<status:string,error:string>>>>")
 
 
+def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Landed manifest files, one JSON document each (a manifest or an array of
+    them) → (manifests, quarantine).
+
+    Manifests are ordered by file, then by their place in it; ``manifest_ord``
+    is a struct of both, so files are read in parallel and nothing numbers them
+    globally.  A file that is no JSON goes to the quarantine with its text; one
+    that holds no manifest at all yields none.  Spark passes over files of no bytes.
+    """
+    files = (spark.read.format("binaryFile").load(path)
+                  .select(F.col("path").alias("file_path"), F.btrim(F.col("content").cast("string"), F.lit(" \t\r\n")).alias("text")))
+    listed = F.when(F.col("text").startswith("["), F.col("text")).otherwise(F.concat(F.lit("["), F.col("text"), F.lit("]")))
+    parsed = files.withColumn("manifests", F.when(is_json(F.col("text")), F.from_json(listed, f"array<{MANIFEST_SCHEMA}>", {"mode": "PERMISSIVE"})))
+    good = (parsed.select("file_path", F.posexplode("manifests").alias("place", "manifest"))
+                  .select(F.struct("file_path", "place").alias("manifest_ord"), "manifest"))
+    return good, parsed.where(F.col("manifests").isNull()).select("file_path", "text")
+
+
 def explode_manifests(manifests: DataFrame, ord_col: str = "manifest_ord",
                       manifest_col: str = "manifest") -> DataFrame:
     """Parsed manifests → entry rows; manifests without coverage are skipped."""
@@ -86,3 +106,22 @@ def report(sources: DataFrame, default_total: int = DEFAULT_TOTAL_SOURCES) -> Da
         F.map_from_entries(F.collect_list(F.struct("status", "n_sources"))).alias("by_status"))
     t = totals(sources, default_total)
     return t.select("*", counts.select("by_status").scalar().alias("by_status"))
+
+
+REPORT_SCHEMA = "total_sources bigint, sources_visited bigint, coverage_pct double, by_status map<string,bigint>"
+
+
+def write_report(sources: DataFrame, path: str, default_total: int = DEFAULT_TOTAL_SOURCES) -> None:
+    """The report as one JSON object under ``path/report`` and the missed sources, one JSON object each, under ``path/missed``."""
+    report(sources, default_total).write.mode("overwrite").json(f"{path}/report")
+    missed(sources).select(F.col("source_name").alias("name"), "scanner", "status", "error").write.mode("overwrite").json(f"{path}/missed")
+
+
+def load_report(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The report read back with its types, for the digest's footer; None without a path."""
+    return None if not path else spark.read.schema(REPORT_SCHEMA).json(f"{path}/report")
+
+
+def load_missed(spark: SparkSession, path: str) -> DataFrame:
+    """The missed sources read back."""
+    return spark.read.schema("name string, scanner string, status string, error string").json(f"{path}/missed")

@@ -12,11 +12,12 @@ from sift.plans import coverage_plans as cov
 from sift.plans import curation
 from sift.plans import intake_plans as intake
 from sift.plans import json_plans as jsonq
+from sift.plans import publish_plans as pub
 from sift.plans import rule_plans as ruleq
 from sift.plans import story_plans as storyq
 from sift.plans import stream_plans as streamq
 from sift.plans import oracle_archive, oracle_captions, oracle_coverage, oracle_curation, oracle_intake, oracle_json
-from sift.plans import oracle_rules, oracle_stories, oracle_streams
+from sift.plans import oracle_publish, oracle_rules, oracle_stories, oracle_streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_items": curation.q_score_items,
@@ -68,12 +69,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batches": ruleq.q_batches,
     "story_groups": storyq.q_story_groups,
     "best_per_story": storyq.q_best_per_story,
+    "published_digests": pub.q_published_digests,
+    "latest_published": pub.q_latest_published,
+    "manifest_sources": pub.q_manifest_sources,
+    "manifest_quarantine": pub.q_manifest_quarantine,
+    "coverage_report": pub.q_coverage_report,
+    "coverage_missed_file": pub.q_coverage_missed_file,
+    "digest_from_report": pub.q_digest_from_report,
+    "json_strict_sink": pub.q_json_strict_sink,
     "stream_intake": streamq.q_stream_intake,
     "stream_window_counts": streamq.q_stream_window_counts,
     "stream_latest_status": streamq.q_stream_latest_status,
 }
 
 ORACLE: dict[str, str] = {**oracle_curation.ORACLE, **oracle_coverage.ORACLE, **oracle_archive.ORACLE,
-                         **oracle_intake.ORACLE, **oracle_json.ORACLE,
+                         **oracle_intake.ORACLE, **oracle_json.ORACLE, **oracle_publish.ORACLE,
                          **oracle_captions.ORACLE, **oracle_rules.ORACLE,
                          **oracle_stories.ORACLE, **oracle_streams.ORACLE}

@@ -144,6 +144,37 @@ FROM events
 """
 
 
+# Landed manifest files: one JSON file per scanner (hour) and day with the last
+# event of each user; by (24 * day + hour) mod 11: 3 cut in half (no JSON),
+# 5 an array of two manifests (the second without sources), 7 without coverage,
+# 9 without the scanner's name.
+
+def write_manifests(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The manifest files of the events under ``path``, one folder (number) each."""
+    ev = manifest_entries(spark, sf_dir).withColumn("number", F.col("manifest_ord") * 24 + F.hour("event_ts"))
+    last = ev.groupBy("number", "scanner", "source_name").agg(F.max_by(F.struct("status", "error"), "entry_ord").alias("info"))
+    # users in name order; null fields are left out of the JSON text
+    body = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_name", F.to_json("info").alias("j")))), lambda e: F.concat(
+        F.lit('"'), e["source_name"], F.lit('": '), e["j"])), ", "), F.lit("}"))
+    k = F.col("number") % 11
+    name = F.when(k == 9, F.lit("")).otherwise(F.concat(F.lit('"scanner": "'), F.col("scanner"), F.lit('", ')))
+    whole = F.concat(F.lit('{"coverage": {'), name, F.lit('"sources": '), F.col("body"), F.lit("}}"))
+    text = (F.when(k == 3, F.substring(whole, 1, F.floor(F.length(whole) / 2).cast("int")))
+             .when(k == 5, F.concat(F.lit("["), whole, F.lit(', {"coverage": {"scanner": "idle", "sources": {}}}]')))
+             .when(k == 7, F.lit('{"items": []}')).otherwise(whole))
+    files = last.groupBy("number", "scanner").agg(body.alias("body")).select(F.lpad(F.col("number").cast("string"), 6, "0").alias("number"), text.alias("text"))
+    files.repartition("number").write.partitionBy("number").text(path)
+
+
+MANIFEST_FILES_SQL = f"""
+SELECT number, scanner, source_name, status, error,
+       row_number() OVER (PARTITION BY number ORDER BY source_name) - 1 AS entry_ord
+FROM (SELECT manifest_ord * 24 + CAST(substr(scanner, 9) AS BIGINT) AS number, scanner, source_name,
+             arg_max(struct_pack(v := status), entry_ord).v AS status, arg_max(struct_pack(v := error), entry_ord).v AS error
+      FROM ({MANIFEST_ENTRIES_SQL}) e GROUP BY 1, 2, 3) l
+"""
+
+
 # --- digest archive from orders ---------------------------------------------
 # Each customer is an archive folder; each order leaves one file named by its
 # date, with suffix by order key: '' (base), '-2', '-3', '-1' (never blocks),

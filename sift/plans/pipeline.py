@@ -1,8 +1,5 @@
 """H4: end-to-end curation against a published archive (A8 → A9 → D1 → G1 →
-H3 → A12 → write), plus the JSON sink (A14).
-
-The archive is a text table partitioned by ``[keys...,] digest_date,
-digest_seq``; one job can curate many digests (one per key) at once.
+H3 → A12 → publish); one job can curate many digests (one per key) at once.
 """
 
 from __future__ import annotations
@@ -15,33 +12,11 @@ from sift.operators import dedup as dd
 from sift.operators import digest as dg
 from sift.operators.rank import top_n
 from sift.session import ensure_checkpoint_dir
-from sift.sources import archive as ar
-from sift.sources.tables import path_exists
-
-
-def archive_lines(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
-    """The published lines, or None if nothing was ever published there.
-
-    The schema is given, not guessed from folder names: keys are text, so one
-    desk may be called ``1`` and the next ``news``.  Any other failure to read
-    is an error, never an empty archive.
-    """
-    if not path_exists(spark, path):
-        return None
-    columns = ["value string", *[f"`{k}` string" for k in keys], "digest_date string", "digest_seq long"]
-    return spark.read.schema(", ".join(columns)).text(path)
+from sift.sources import store
 
 
-def latest_seen(spark: SparkSession, archive_path: str, keys: list[str]) -> DataFrame | None:
-    """URLs of the latest published digest (per key): A8 then A9."""
-    lines = archive_lines(spark, archive_path, keys)
-    if lines is None:
-        return None
-    version = F.struct("digest_date", "digest_seq")
-    latest = lines.groupBy(*keys).agg(F.max(version).alias("v"))
-    current = (lines.withColumn("v", version).join(latest, [*keys, "v"]) if keys
-               else lines.withColumn("v", version).join(latest, "v"))
-    return ar.unique_urls(current, keys, "value").select(*keys, "url")
+#: Key of the items that have none (a folder name cannot be empty).
+NO_KEY = "(none)"
 
 
 def best_per_key(items: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -62,14 +37,15 @@ def run_pipeline(spark: SparkSession, items: DataFrame, archive_path: str, date_
 
     Every key of ``items`` gets a digest, with placeholders if none of its
     items is left.  The surviving items are computed once, before anything is
-    written, and feed the lines and the report.
+    written, and feed the lines and the report.  A null key is the key
+    ``NO_KEY``.  The file's date is that of the rendered header line.
     """
     keys = list(keys or [])
-    scored = score(items.withColumns({k: F.col(k).cast("string") for k in keys}))
+    scored = score(items.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit(NO_KEY)) for k in keys}))
     ensure_checkpoint_dir(spark)
     scanned = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("scanned")).checkpoint()
     kept = dd.drop_failed(scored)
-    seen = latest_seen(spark, archive_path, keys)
+    seen = store.latest_seen(spark, archive_path, keys)
     if seen is not None:
         kept = kept.withColumn("canonical_url", dd.canonical_url(F.col("url")))
         seen_keys = seen.select(*keys, dd.canonical_url(F.col("url")).alias("canonical_url")).distinct()
@@ -79,16 +55,8 @@ def run_pipeline(spark: SparkSession, items: DataFrame, archive_path: str, date_
     kept = kept.checkpoint()
     lines = dg.render(kept, date_str, keys=keys, scanned=scanned,
                       coverage=coverage, sweep_num=sweep_num, generated_at=generated_at)
-    wanted = scanned.select(*keys, F.lit(date_str).alias("digest_date"))
-    published = archive_lines(spark, archive_path, keys)
-    names = (ar.archive_names(published, keys) if published is not None
-             else wanted.select(*keys, F.lit("").alias("file_name")).where(F.lit(False)))
-    # one row per digest; computed before the write, which changes what it is computed from
-    alloc = ar.next_sequence(names, wanted, keys).checkpoint()
-    out = lines.join(alloc.select(*keys, "digest_date", "digest_seq"), keys) if keys else \
-        lines.crossJoin(F.broadcast(alloc.select("digest_date", "digest_seq")))     # one row
-    ar.write_digests(out, archive_path, keys)
+    published = store.publish(spark, lines, archive_path, keys, date_str)
     stats = dg.digest_stats(kept, keys).select(*keys, "passed", "must_reads")
-    report = alloc.join(stats, keys, "left") if keys else alloc.crossJoin(F.broadcast(stats))
+    report = published.join(stats, keys, "left") if keys else published.crossJoin(F.broadcast(stats))   # one row
     return report.select(*keys, "file_name", F.coalesce("passed", F.lit(0)).alias("passed"),
                          F.coalesce("must_reads", F.lit(0)).alias("must_reads"))

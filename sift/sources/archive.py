@@ -1,9 +1,7 @@
-"""Digest archive: name parsing, latest digest (A8), URL extraction (A9),
-collision-free publishing (A12) and the JSON/parquet sinks (A14).
+"""Digest archive: name parsing, latest digest of a listing (A8), URL extraction
+(A9), next free name (A12) and the JSON sink (A14).
 
-On a cluster the archive is a table partitioned by ``folder, digest_date,
-digest_seq`` holding rendered lines; file-name listings in the reference's
-``YYYY-MM-DD[-N].md`` form are also understood.
+Names have the form ``YYYY-MM-DD[-N].md``; ``sources.store`` publishes under them.
 """
 
 from __future__ import annotations
@@ -35,12 +33,12 @@ def parse_digest_name(name: Column) -> Column:
         F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint")).alias("digest_seq")))
 
 
-def latest_digest(files: DataFrame, keys: list[str], name_col: str = "file_name") -> DataFrame:
-    """Per folder, the file with the greatest (date, suffix); no suffix = 0."""
+def latest_digest(files: DataFrame, keys: list[str], name_col: str = "file_name", *carry: str) -> DataFrame:
+    """Per folder, the file with the greatest (date, suffix), and its columns ``carry``; no suffix = 0."""
     parsed = files.withColumn("_p", parse_digest_name(F.col(name_col))).where(F.col("_p").isNotNull())
-    return (parsed.groupBy(*keys)
-                  .agg(F.max_by(F.col(name_col), F.col("_p")).alias("latest_file"), F.max("_p").alias("_m"))
-                  .select(*keys, "latest_file", "_m.digest_date", "_m.digest_seq"))
+    file = F.struct(F.col(name_col).alias("latest_file"), *carry)
+    return (parsed.groupBy(*keys).agg(F.max_by(file, F.struct("_p", name_col)).alias("_f"), F.max("_p").alias("_m"))
+                  .select(*keys, "_f.latest_file", "_m.digest_date", "_m.digest_seq", *[f"_f.{c}" for c in carry]))
 
 
 def unique_urls(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -89,29 +87,6 @@ def next_sequence(existing: DataFrame, wanted: DataFrame, keys: list[str],
                  F.lit(".md")).alias("file_name"))
 
 
-def write_digests(lines: DataFrame, path: str, keys: list[str]) -> None:
-    """Publish rendered lines partitioned by ``keys, digest_date, digest_seq``.
-
-    Rows are range-sorted by the digest order first, so each digest's lines
-    come out in order; many digests are written by many tasks at once.
-    """
-    order = [*keys, "digest_date", "digest_seq", "section_ord", "part",
-             F.col("weighted").desc_nulls_first(), "input_ord", "line_ord"]
-    (lines.orderBy(*order)
-          .select(*keys, "digest_date", "digest_seq", "line")
-          .write.mode("append").partitionBy(*keys, "digest_date", "digest_seq").text(path))
-
-
-def archive_names(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Listing of a published archive: keys and the reference-style file name."""
-    return (lines.select(*keys, "digest_date", "digest_seq").distinct()
-                 .withColumn("file_name", F.concat(
-                     F.col("digest_date"),
-                     F.when(F.col("digest_seq") == 0, F.lit(""))
-                      .otherwise(F.concat(F.lit("-"), F.col("digest_seq").cast("string"))),
-                     F.lit(".md"))))
-
-
 def to_json_lines(df: DataFrame) -> DataFrame:
     """One JSON object per row (``to_json(struct(*))``)."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
