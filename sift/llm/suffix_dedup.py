@@ -13,7 +13,8 @@ occurs twice can be repeated, and equal windows always meet under one anchor.
 3. Pieces are dealt to shards by anchor.  A shard sorts all suffixes of its
    pieces by Larsson-Sadakane refinement and takes Kasai common prefixes.
    Neighbours that share 200 bytes are one class; its windows are repeated if
-   it has two members or a member of weight two.
+   it has two members or a member of weight two.  The only piece of an anchor
+   needs no sorting if it has weight two.
 4. An anchor with more than ``PIECES`` different pieces is split over several
    shards.  Each writes its classes of windows as a sorted run of 128-bit
    fingerprints; runs are merged by binary search, and a class found in two
@@ -231,9 +232,17 @@ class _Shard:
 
     @staticmethod
     def _sort(rows: list[tuple]) -> pa.RecordBatch:
-        pieces = [row[5] for row in rows]
-        repeated, window_class, first = repeated_windows(pieces, np.array([row[4] for row in rows], np.float64))
+        """Rows (mark, split, splits, piece_hash, weight, piece) of whole (mark, split) groups, sorted."""
         out, announced = [], set()
+        # an anchor whose only piece stands for two rows or more repeats all of it: nothing to compare
+        alone = [row[2] == 1 and row[4] >= 2 and (k == 0 or rows[k - 1][0] != row[0]) and (k + 1 == len(rows) or rows[k + 1][0] != row[0])
+                 for k, row in enumerate(rows)]
+        for row, one in zip(rows, alone):
+            if one:
+                out.append((row[0], 0, row[1], row[3], [0, len(row[5]) - WINDOW], None, None, None, None))
+        rows = [row for row, one in zip(rows, alone) if not one]
+        if rows:
+            repeated, window_class, first = repeated_windows([row[5] for row in rows], np.array([row[4] for row in rows], np.float64))
         for k, (mark, split, splits, piece_hash, _, piece) in enumerate(rows):
             flags = repeated[first[k]:first[k + 1]]
             out.append((mark, 0, split, piece_hash, _runs(flags), None, None, None, None))
