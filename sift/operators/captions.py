@@ -1,10 +1,9 @@
 """Caption files and transcripts.
 
 Caption lines arrive as rows ``media_id, line_no, line``.  The only ordered
-state (inside a NOTE block or not) is a ``last(..., ignoreNulls)`` window per
-medium; a caption file is bounded by the length of its video, so a window
-partition never holds more than one file.  First-occurrence dedup is a
-map-side ``min`` aggregate rather than a window.
+state (inside a NOTE block or not) comes from a parallel scan over blocks of
+lines, so a medium of any length is many tasks' work.  First-occurrence dedup
+is a map-side ``min`` aggregate rather than a window.
 """
 
 from __future__ import annotations
@@ -30,30 +29,52 @@ PART_SEPARATOR = "\n\n"
 # ---------------------------------------------------------------------------
 
 
+#: A block is 2 to this power of line numbers, then of blocks, and so on.
+BLOCK_SHIFTS = (12, 16, 16, 16)
+
+
 def _is_digits(c: Column) -> Column:
     return c.rlike(r"^\p{Nd}+$")
 
 
-def clean_lines(lines: DataFrame) -> DataFrame:
+def last_mark_before(marks: DataFrame, shifts: tuple[int, ...] = BLOCK_SHIFTS) -> DataFrame:
+    """(media_id, i, mark) → (media_id, i, state): the last non-null mark of a smaller ``i`` of the medium.
+
+    A parallel scan.  A row is the function "set the state to my mark", or the
+    identity if it has none; the function of a block of rows is that of its last
+    mark.  The blocks' functions are scanned by the same rule, and handed down.
+    No window holds more than ``2 ** shift`` rows, whatever a medium holds.
+    """
+    before = Window.partitionBy("media_id", "_block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    # after all shifts of a 64-bit number a medium has a few blocks left, which one window takes
+    blocked = marks.withColumn("_block", F.shiftright("i", shifts[0]) if shifts else F.lit(0).cast("bigint"))
+    within = blocked.withColumn("state", F.last("mark", ignorenulls=True).over(before))
+    if not shifts:
+        return within.drop("_block")
+    blocks = blocked.groupBy("media_id", "_block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("i"))).alias("mark"))
+    above = (last_mark_before(blocks.withColumnRenamed("_block", "i"), shifts[1:])
+             .select("media_id", F.col("i").alias("_block"), F.col("state").alias("_above")))
+    return (within.join(above, ["media_id", "_block"])
+                  .withColumn("state", F.coalesce("state", "_above")).drop("_block", "_above"))
+
+
+def clean_lines(lines: DataFrame, shifts: tuple[int, ...] = BLOCK_SHIFTS) -> DataFrame:
     """F1 + B11: kept caption lines with their tag-free text ``clean``.
 
     Drops header and NOTE lines, lines inside a NOTE block (which a blank
     line closes), cue timings, blanks and cue numbers.
     """
     line = trimmed(F.col("line"))
-    marker = (F.when(line.startswith(HEADER_PREFIX), F.lit(None))
-               .when(line.startswith(NOTE_PREFIX), F.lit("note"))
-               .when(line == "", F.lit("blank")))
-    w = (Window.partitionBy("media_id").orderBy("line_no")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    staged = (lines.withColumn("_l", line).withColumn("_m", marker)
-                   .withColumn("_state", F.last("_m", ignorenulls=True).over(w)))
+    mark = (F.when(line.startswith(HEADER_PREFIX), F.lit(None))
+             .when(line.startswith(NOTE_PREFIX), F.lit("note"))
+             .when(line == "", F.lit("blank")))
+    staged = last_mark_before(lines.select("media_id", F.col("line_no").alias("i"), line.alias("_l"), mark.alias("mark")), shifts)
     l = F.col("_l")
     keep = (~l.startswith(HEADER_PREFIX) & ~l.startswith(NOTE_PREFIX)
-            & ~F.coalesce(F.col("_state") == "note", F.lit(False))
+            & ~F.coalesce(F.col("state") == "note", F.lit(False))
             & ~l.contains(CUE_ARROW) & (l != "") & ~_is_digits(l))
     return (staged.where(keep)
-                  .select("media_id", "line_no", strip_tags(l).alias("clean"))
+                  .select("media_id", F.col("i").alias("line_no"), strip_tags(l).alias("clean"))
                   .where(F.col("clean") != ""))
 
 
