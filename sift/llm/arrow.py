@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 
@@ -22,6 +24,20 @@ def texts_of(column: pa.Array, null: bytes | None = b"") -> list[bytes]:
     return [null if v is None else v for v in values]
 
 
+def once(make: Callable) -> Callable:
+    """Keep a function's results for the life of the process: a task function that travels by value
+    comes anew with each task, a loaded tokenizer need not."""
+    name = f"{make.__module__}.{make.__qualname__}"
+
+    @wraps(make)
+    def get(*args):
+        held = vars(sys).setdefault("_sift_once", {})
+        if (name, args) not in held:
+            held[name, args] = make(*args)
+        return held[name, args]
+    return get
+
+
 def release() -> None:
     """Give freed memory back to the system: workers are kept for later tasks, beside the executor's JVM."""
     pa.default_memory_pool().release_unused()

@@ -34,7 +34,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex
 from tokenizers.pre_tokenizers import Split
 
-from sift.llm.arrow import blocks
+from sift.llm.arrow import blocks, once
 
 #: Entries in a worker's table of encoded words before a new one is started (memory bound, not a limit on input).
 WORD_TABLE = 1 << 17
@@ -61,7 +60,7 @@ def byte_alphabet() -> dict[str, int]:
     return letters
 
 
-@lru_cache(maxsize=8)
+@once
 def _runs(pattern: str) -> tuple[str, ...]:
     """The runs of code points that match, by the tokenizers library's own regular expressions (its Unicode version)."""
     cut = Split(Regex(pattern + "+"), "removed", invert=True)
@@ -76,7 +75,7 @@ def char_class(pattern: str, limit: int = 0x110000) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ends if a < limit)
 
 
-@lru_cache(maxsize=3)
+@once
 def word_pattern(limit: int = 0x110000) -> re.Pattern:
     """The byte-level pre-split: contractions, letters, digits, other runs (each with one space before), white space.
 
@@ -253,7 +252,7 @@ class _WordTable(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
+@once
 def codec(path: str) -> ByteLevelCodec:
     """One compiled automaton per worker process and file."""
     return ByteLevelCodec(path)

@@ -35,7 +35,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -46,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from sift.llm.arrow import blocks
+from sift.llm.arrow import blocks, once
 from sift.llm.bpe import byte_alphabet, char_class
 from sift.llm.scratch import stage
 
@@ -89,13 +88,13 @@ class WordTokenizer:
         self.old: dict[str, bytes] = {}
 
     @staticmethod
-    @lru_cache(maxsize=3)
+    @once
     def _pattern(limit: int) -> re.Pattern:
         letter, digit, space = (char_class(p, limit) for p in (r"\p{L}", r"\p{N}", r"\s"))
         return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+")
 
     @staticmethod
-    @lru_cache(maxsize=2)
+    @once
     def _unknown(limit: int) -> re.Pattern:
         """Code points that Python's tables do not have; the library's may be newer."""
         runs = groupby(range(limit), lambda c: unicodedata.category(chr(c)) == "Cn")
@@ -137,7 +136,7 @@ class WordTokenizer:
         return self.library.get_vocab_size()
 
 
-@lru_cache(maxsize=2)
+@once
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 

@@ -9,7 +9,7 @@ partitioning on a second hash.  The same seed gives the same mixture on any
 cluster.
 
 The cumulative distribution is a short array per source (one row per source,
-joined; its length follows the rate, about rate + 10 standard deviations, the
+broadcast up to ``BROADCAST_SOURCES`` of them, else joined by source and salt; its length follows the rate, about rate + 10 standard deviations, the
 point where the remaining probability is below the hash's resolution).  Rates
 above ``PART_RATE`` are split into a sum of equal independent Poisson parts,
 each inverted at its own hash, since exp(-rate) would underflow.
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sift.llm.scratch import free_name
+from sift.llm.scratch import free_name, stage
 
 #: Target weight of a source without explicit weights: its share of characters to this power.
 TEMPERATURE = 0.5
@@ -35,6 +35,9 @@ REPEATS = 1.0
 SEED = 20240601
 #: Largest rate inverted in one piece; exp(-64) is far above the smallest double.
 PART_RATE = 64.0
+#: Rates of so many sources are broadcast (a row has under 170 numbers, so all under 14 MB).
+BROADCAST_SOURCES = 10_000
+SALTS = 64
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -93,10 +96,14 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, temperatu
     key, cdf, parts, copy, place = (free_name(documents, n) for n in ("__source", "__cdf", "__parts", "__copy", "__place"))
     rates = rates.select(F.col("source").alias(key), F.col("cdf").alias(cdf), F.col("parts").alias(parts))
     drawn = copies(F.col(cdf), F.col(parts), seed, F.col(id_col))
-    # the rates are one row per source; without a hint AQE broadcasts them when they measure small and
-    # splits the hot source's rows when they do not
-    exploded = (documents.join(rates, F.col(source).eqNullSafe(F.col(key)))
-                         .withColumn(copy, F.explode(F.when(drawn > 0, F.sequence(F.lit(0), drawn - 1))))
+    rates = stage(rates, "rates")
+    if rates.count() <= BROADCAST_SOURCES:      # counted: texts stay where they were read
+        rated = documents.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col(key)))
+    else:                                       # each source's rows are dealt over SALTS tasks
+        salt, number = free_name(documents, "__salt"), F.pmod(F.xxhash64(id_col, text), F.lit(SALTS))
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rated = documents.join(salted, F.col(source).eqNullSafe(F.col(key)) & (number == F.col(salt))).drop(salt)
+    exploded = (rated.withColumn(copy, F.explode(F.when(drawn > 0, F.sequence(F.lit(0), drawn - 1))))
                          .drop(key, cdf, parts))
     order = uniform(seed + 1, F.col(id_col), F.col(copy))
     shuffled = exploded.withColumn(place, order).repartitionByRange(place).sortWithinPartitions(place, id_col, copy).drop(place)

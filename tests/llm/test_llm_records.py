@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import fnmatch
 import hashlib
 import random
@@ -152,3 +155,23 @@ def test_pipeline_against_its_parts(spark):
     got = sorted((r.doc_id, tuple(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, base).collect())
     assert got == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "source_mixing", "bpe_encoding"]
+
+
+def test_workers_need_no_copy_of_the_repository(tmp_path):
+    """Executors get the task functions by value: the driver alone has the package on its path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    names = ["op1_repetition_rules", "op2_bpe_automaton", "op3_license_scan", "op5_suffix_dedup", "op7_exact_dedup", "op8_grammar_files",
+             "op9_url_rules", "op11_importance_resampling", "op12_source_divergence"]
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from sift.session import build_session
+from sift.llm import queries
+spark = build_session("local[2]", 2, app_name="by-value")
+for name in {names!r}:
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-3000:]

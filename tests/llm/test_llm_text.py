@@ -181,7 +181,7 @@ def test_license_notice_that_every_text_holds(spark):
     assert {(r.labels, r.score) for r in got} == {("mit", 1.0)}
 
 
-def test_mixture_follows_the_rates(spark, nothing):
+def test_mixture_follows_the_rates(spark, nothing, monkeypatch):
     docs = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', 20) AS text", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 100 = 1 THEN NULL ELSE 'b' END AS source")
     weights = {"a": 0.25, "b": 0.75}
     rows = mixing.mix(docs, weights=weights, repeats=2.0).collect()
@@ -194,6 +194,9 @@ def test_mixture_follows_the_rates(spark, nothing):
     assert abs(counts[0] / 2000 - 0.2231) < 0.05 and abs(counts[1] / 2000 - 0.3347) < 0.06
     again = mixing.mix(docs.repartition(7), weights=weights, repeats=2.0).collect()
     assert Counter(rows) == Counter(again)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)        # many sources: joined by source and salt
+    salted = mixing.mix(docs, weights=weights, repeats=2.0)
+    assert "BroadcastHashJoin" not in str(salted._jdf.queryExecution().optimizedPlan()) and [tuple(r) for r in salted.collect()] == [tuple(r) for r in rows]
     assert mixing.mix(nothing).count() == 0
 
 
