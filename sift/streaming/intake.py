@@ -9,7 +9,7 @@ The watermark runs on the arrival time (the time of the micro-batch), so it
 only bounds the short memory: no item is late, however old its date is within
 the cutoff.  Undated items are kept (C2).
 
-The seen table is partitioned by (bucket of the URL's hash, batch).  A
+The seen table (``streaming.seen``) is a few compacted runs of batches.  A
 micro-batch reads only buckets that its own URLs fall into, and only batches
 before its own: a batch that is replayed after either of its two writes sees
 the same history as the first time, and overwrites its own folders.
@@ -17,19 +17,13 @@ the same history as the first time, and overwrites its own folders.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sift.functions.dates import is_recent, parse_date
 from sift.functions.urls import canonical_url
 from sift.sources.tables import path_exists
-
-#: Buckets of the seen table; fixed for the life of a table.
-SEEN_BUCKETS = 64
-#: Batch number of what was seen before the stream began.
-INITIAL_BATCH = -1
-SEEN_SCHEMA = "canonical_url string, bucket int, batch long"
-
+from sift.streaming.seen import INITIAL_BATCH, SeenTable, bucket_of
 
 def prepare(items: DataFrame, cutoff_ts: str, url_col: str = "url", date_col: str = "date",
             watermark: str = "2 days") -> DataFrame:
@@ -43,36 +37,23 @@ def prepare(items: DataFrame, cutoff_ts: str, url_col: str = "url", date_col: st
                  .dropDuplicatesWithinWatermark(["canonical_url"]))
 
 
-def seen_bucket(url: Column) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(SEEN_BUCKETS)).cast("int")
-
-
-def _write_seen(urls: DataFrame, path: str, batch_id: int) -> None:
-    (urls.withColumn("bucket", seen_bucket(F.col("canonical_url"))).withColumn("batch", F.lit(batch_id).cast("long"))
-         .repartition("bucket")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path))
-
-
-def seen_writer(spark: SparkSession, seen_path: str, out_path: str):
+def seen_writer(spark: SparkSession, seen: SeenTable, out_path: str):
     """foreachBatch function: drop URLs that earlier batches have seen, keep one
     row per URL, write the batch and add its URLs to the seen table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # the batch feeds several jobs: compute it once (the stateful part must
         # not run twice), then release it
-        fresh = batch.drop("_event_time").withColumn("bucket", seen_bucket(F.col("canonical_url"))).persist()
+        fresh = batch.drop("_event_time").persist()
         try:
-            if path_exists(spark, seen_path):
-                buckets = [r.bucket for r in fresh.select("bucket").distinct().collect()]   # at most SEEN_BUCKETS
-                seen = (spark.read.schema(SEEN_SCHEMA).parquet(seen_path)
-                             .where(F.col("bucket").isin(buckets) & (F.col("batch") < batch_id)).select("canonical_url"))
-                new = fresh.join(seen, "canonical_url", "left_anti")
-            else:
-                new = fresh
-            new = new.drop("bucket").dropDuplicates(["canonical_url"]).persist()
+            seen.compact(batch_id)
+            buckets = [r[0] for r in fresh.select(bucket_of(F.col("canonical_url"))).distinct().collect()]   # at most BUCKETS
+            known = seen.read(batch_id, buckets)
+            new = fresh if known is None else fresh.join(known.withColumnRenamed("key", "canonical_url"), "canonical_url", "left_anti")
+            new = new.dropDuplicates(["canonical_url"]).persist()
             try:
                 new.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-                _write_seen(new.select("canonical_url"), seen_path, batch_id)
+                seen.add(new.select(F.col("canonical_url").alias("key")), batch_id)
             finally:
                 new.unpersist()
         finally:
@@ -90,11 +71,11 @@ def run_available(spark: SparkSession, raw: DataFrame, to_items, cutoff_ts: str,
     checkpoint, seen table and output live under ``work_dir`` (a shared
     folder on a cluster).
     """
-    seen_path, out_path = f"{work_dir}/seen", f"{work_dir}/out"
+    seen, out_path = SeenTable(spark, f"{work_dir}/seen"), f"{work_dir}/out"
     if initial_seen is not None:
-        _write_seen(initial_seen.select(canonical_url(F.col("url")).alias("canonical_url")).distinct(), seen_path, INITIAL_BATCH)
+        seen.add(initial_seen.select(canonical_url(F.col("url")).alias("key")).distinct(), INITIAL_BATCH)
     q = (prepare(to_items(raw), cutoff_ts, watermark=watermark)
-         .writeStream.foreachBatch(seen_writer(spark, seen_path, out_path))
+         .writeStream.foreachBatch(seen_writer(spark, seen, out_path))
          .option("checkpointLocation", f"{work_dir}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
