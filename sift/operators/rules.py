@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sift.functions.scoring import verdict
 from sift.functions.urls import canonical_url
 
 # Words that mark a section, index or archive page when they are the last
@@ -21,6 +22,7 @@ SECTION_WORDS = ("blog", "news", "archive", "archives", "posts", "articles", "ca
 BANNED_WORDS = ("delve", "paradigm")
 DASH_LIMIT = 3
 CROSS_SOURCE_BOOST = 0.5          # the rule gives no size
+MAX_SCORE = 5.0                   # the rubric's axes end at 5
 
 
 def url_path(canonical: Column) -> Column:
@@ -76,6 +78,16 @@ def cross_source_boost(mentions: DataFrame, story_col: str, group_col: str,
     return out.withColumn("boost", F.when(both, F.lit(boost)).otherwise(F.lit(0.0)))
 
 
+def boosted(scored: DataFrame, boosts: DataFrame, story_col: str, best: float = MAX_SCORE) -> DataFrame:
+    """D3 applied: each item's score raised by its story's boost, to the best score at most, and judged again.
+
+    ``weighted`` and ``verdict`` are the new ones; the score before is ``unboosted``.  An item without a score stays without.
+    """
+    raised = F.least(F.round(F.col("weighted") + F.coalesce("boost", F.lit(0.0)), 2), F.lit(best))
+    joined = scored.join(boosts.select(story_col, "boost"), story_col, "left").withColumn("unboosted", F.col("weighted"))
+    return (joined.withColumn("weighted", F.when(F.col("weighted").isNotNull(), raised)).withColumn("verdict", verdict(F.col("weighted"))).drop("boost"))
+
+
 def funnel(items: DataFrame, source_col: str, stages: list[tuple[str, Column]]) -> DataFrame:
     """Items surviving each successive stage, per source, in one pass."""
     cum = None

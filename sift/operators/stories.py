@@ -11,9 +11,10 @@ components of that relation.  The join is exact:
   back, and common ones come last, so groups by a prefix shingle are small;
 * members of a group of at most ``SMALL`` are paired if their sizes allow a
   link; of equal groups one is enough;
-* in a larger group the smallest id is compared with all others, then leaves;
-  a group whose members are in one component is done.  Every round takes a
-  number of pairs linear in the group, and rounds go on until no group is left;
+* in a larger group up to ``PIVOTS`` members are compared with all others that
+  are in another component so far, then leave; a group whose members are in one
+  component is done.  Every round takes a number of pairs linear in the group,
+  and rounds go on until no group is left;
 * pairs are checked on their whole sets before they link anything.
 
 A null text is a copy of nothing and is its own story.
@@ -30,6 +31,7 @@ from sift.session import ensure_checkpoint_dir
 SHINGLE_WORDS = 5
 PERCENT = 80
 SMALL = 32
+PIVOTS = 16
 
 
 def words(text: Column) -> Column:
@@ -94,22 +96,47 @@ def _small_pairs(groups: DataFrame) -> DataFrame:
     return lists.select(F.explode(F.flatten(later)).alias("p")).select("p.*").distinct()
 
 
-def near_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join every component of near copies."""
+def _open(cells: DataFrame) -> DataFrame:
+    """The cells whose members are not all in one component yet."""
+    unlike = cells.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return cells.join(unlike, "shingle", "left_semi")
+
+
+def near_components(sets: DataFrame) -> DataFrame:
+    """(node, component) of every node that is not its component's smallest.
+
+    Components of the links from small groups come first.  From then on only
+    their labels matter: a round compares members with other labels, and its
+    links, contracted to labels, are a graph of their own, whose components
+    rename the labels.  Nothing that is settled is computed again.
+    """
     groups = prefix_groups(sets).checkpoint()
-    links = near_pairs(_small_pairs(groups), sets).checkpoint()
-    cells = groups.where(F.col("size") > SMALL).select("shingle", "node", "n")
+    labels = components(near_pairs(_small_pairs(groups), sets).checkpoint())
+    cells = (groups.where(F.col("size") > SMALL).select("shingle", "node", "n").join(labels, "node", "left")
+                   .select("shingle", "node", "n", F.coalesce("component", "node").alias("label")))
+    cells = _open(cells.checkpoint()).checkpoint()
     while not cells.isEmpty():
-        first = cells.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("p"))
-        faced = cells.join(first, "shingle").where(F.col("node") != F.col("p.node"))
-        pairs = faced.where(_sizes_allow(F.col("n"), F.col("p.n"))).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        links = links.unionByName(near_pairs(pairs, sets)).distinct().checkpoint()
-        labels = components(links)
-        labelled = (faced.select("shingle", "node", "n").join(labels, "node", "left")
-                         .select("shingle", "node", "n", F.coalesce("component", "node").alias("label")))
-        open_cells = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        cells = labelled.join(open_cells, "shingle", "left_semi").select("shingle", "node", "n").checkpoint()
-    return links
+        slot = F.pmod(F.xxhash64("node", "shingle"), F.lit(PIVOTS))
+        pivots = (cells.groupBy("shingle", slot.alias("slot")).agg(F.min(F.struct("node", "n", "label")).alias("p"))
+                       .select("shingle", "p").checkpoint())
+        faced = cells.join(pivots, "shingle").where((F.col("label") != F.col("p.label")) & _sizes_allow(F.col("n"), F.col("p.n")))
+        pairs = faced.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct()
+        found = near_pairs(pairs, sets)
+        of = cells.select("node", "label").distinct()
+        contracted = (found.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+                           .join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+                           .select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct().checkpoint())
+        # a pivot has been compared with all others of its group and leaves it
+        cells = cells.join(pivots.select("shingle", "p.node"), ["shingle", "node"], "left_anti")
+        if not contracted.isEmpty():
+            renamed = components(contracted).select(F.col("node").alias("label"), "component")
+            rename = lambda df: (df.join(renamed, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"))
+            cells = rename(cells)
+            merged = contracted.select(F.col("a").alias("label")).unionByName(contracted.select(F.col("b").alias("label"))).distinct()
+            named = labels.withColumnRenamed("component", "label").unionByName(merged.select(F.col("label").alias("node"), "label"))
+            labels = (rename(named).where("node != label").select("node", F.col("label").alias("component")).distinct().checkpoint())
+        cells = _open(cells.checkpoint()).checkpoint()
+    return labels
 
 
 def story_groups(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -119,7 +146,7 @@ def story_groups(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     reps = keyed.where("_h IS NOT NULL").groupBy("_h").agg(F.min("id").alias("rep"))
     named = texts.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
     sets = shingle_sets(named.join(reps.select(F.col("rep").alias("node")), "node", "left_semi")).checkpoint()
-    labels = components(near_links(sets))
+    labels = near_components(sets)
     story = (reps.join(labels, F.col("rep") == F.col("node"), "left")
                  .select("_h", F.coalesce("component", "rep").alias("story_id")))
     textless = texts.where(F.col(text_col).isNull()).select(F.col(id_col), F.col(id_col).alias("story_id"))

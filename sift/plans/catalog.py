@@ -77,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_missed_file": pub.q_coverage_missed_file,
     "digest_from_report": pub.q_digest_from_report,
     "json_strict_sink": pub.q_json_strict_sink,
+    "large_feed_items": pub.q_large_feed_items,
+    "registry_prose": pub.q_registry_prose,
+    "boosted_verdicts": pub.q_boosted_verdicts,
     "stream_intake": streamq.q_stream_intake,
     "stream_window_counts": streamq.q_stream_window_counts,
     "stream_latest_status": streamq.q_stream_latest_status,

@@ -268,6 +268,25 @@ SELECT 'nat' || n_nationkey, n_name, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR
 """
 
 
+def write_registry_copies(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The registry as a JSON document and its drifted copy as prose, a file each: headings by tier, two suppliers
+    in a bullet, nations (without a site) in one each."""
+    reg = registry(spark, sf_dir)
+    doc = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("slug", "name", "site_url", "feed_url", "tier"))).alias("sources")))
+    reg.agg(doc.alias("text")).write.text(f"{path}/json")
+    site = F.when(F.col("site_url").isNotNull(), F.concat(F.lit(" ("), F.regexp_replace("site_url", "^https://|/$", ""), F.lit(")"))).otherwise(F.lit(""))
+    entry = F.struct("slug", F.concat("name", site).alias("e"))
+    lines = registry_copy(spark, sf_dir).groupBy("tier", F.col("site_url").isNull().alias("bare")).agg(
+        F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]).alias("es"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size("es") - 1) / 2).cast("int")), lambda j: F.array_join(F.slice("es", 2 * j + 1, 2), ", "))
+    bullets = F.transform(F.when(F.col("bare"), F.col("es")).otherwise(pairs), lambda b: F.concat(F.lit("- "), b, F.lit(" — posts, notes (weekly)")))
+    sections = lines.groupBy("tier").agg(F.flatten(F.collect_list(bullets)).alias("bs")).select(
+        F.struct("tier", F.concat(F.lit("### Tier "), F.col("tier"), F.lit(": sources (all)\n"), F.array_join("bs", "\n"), F.lit("\n")).alias("t")).alias("s"))
+    text = sections.agg(F.concat(F.lit("# Guide\n\n- not a source (no.example)\n\n## Source Registry\n\n"), F.array_join(F.transform(
+        F.sort_array(F.collect_list("s")), lambda s: s["t"]), "\n"), F.lit("\n## Rules\n\n- a rule (no.example)\n")).alias("text"))
+    text.write.text(f"{path}/prose")
+
+
 # --- landed feed snapshots from documents -------------------------------------
 # A snapshot holds the documents of one source with the same doc_id div 8
 # (at most 8 items).  By that bucket mod 5: 0 Atom, 1 RSS 1.0/RDF, 4 cut in
@@ -333,6 +352,27 @@ def feed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "snapshot_ord", body.alias("body"))
 
 
+def write_source_feeds(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """One RSS 2.0 file for each source under ``path/source=<name>``: all its documents as items, by id."""
+    it = items(spark, sf_dir).select("doc_id", "title", "url", "date")
+    d = read_table(spark, sf_dir, "documents", "doc_id", "text", "source").join(it, "doc_id")
+    text = _esc(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\r]", ""))
+    item = F.concat(F.lit("<item><title>"), _esc(F.col("title")), F.lit("</title><link>"), _esc(F.col("url")), F.lit("</link><author>"), F.col("source"),
+                    F.lit("</author><pubDate>"), F.col("date"), F.lit("</pubDate><description>"), text, F.lit("</description></item>"))
+    rows = d.select("source", F.col("doc_id").alias("ord"), item.alias("line"))
+    ends = rows.select("source").distinct().select("source", F.inline(F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("ord"), F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>all</title>').alias("line")),
+        F.struct(F.lit(2 ** 62).alias("ord"), F.lit("</channel></rss>").alias("line")))))
+    (rows.unionByName(ends).repartition("source").sortWithinPartitions("source", "ord").select("source", "line").write.partitionBy("source").text(path))
+
+
+SOURCE_FEEDS_SQL = f"""
+SELECT d.source, CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS BIGINT) AS item_pos, trim(i.title) AS title, i.url, i.date,
+       trim(regexp_replace(d.text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\r]', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS clean_text
+FROM documents d JOIN ({ITEMS_SQL}) i ON i.doc_id = d.doc_id
+"""
+
+
 # expected items of the snapshots, straight from the documents
 FEED_ITEMS_SQL = f"""
 SELECT 'https://feeds.example/' || d.source || '.xml' AS feed_url, d.doc_id // 8 AS snapshot_ord,

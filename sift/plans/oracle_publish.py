@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sift.plans.fixtures import MANIFEST_FILES_SQL
+from sift.plans.fixtures import MANIFEST_FILES_SQL, REGISTRY_COPY_SQL, REGISTRY_SQL, SOURCE_FEEDS_SQL
 from sift.plans.oracle_archive import URL_RE
 from sift.plans.oracle_coverage import BY_STATUS, MISSED, TOTALS_CORE
 from sift.plans.oracle_coverage import ORACLE as COVERAGE
@@ -83,7 +83,29 @@ SELECT source_name, arg_max(named, number) AS scanner, arg_max(struct_pack(v :=
 FROM ({_GOOD}) g GROUP BY 1
 """
 
+_KEY = "regexp_replace(lower(trim(name)), '[^\\p{L}\\p{N}]+', ' ', 'g')"
+
+REGISTRY_PROSE = f"""
+WITH l AS (SELECT {_KEY} AS name_key, * FROM ({REGISTRY_SQL}) a), r AS (SELECT {_KEY} AS name_key, * FROM ({REGISTRY_COPY_SQL}) b)
+SELECT coalesce(l.name_key, r.name_key) AS name_key,
+       CASE WHEN r.name IS NULL THEN 'only_left' WHEN l.name IS NULL THEN 'only_right' ELSE 'changed' END AS kind, l.tier AS l_tier, r.tier AS r_tier
+FROM l FULL OUTER JOIN r ON l.name_key = r.name_key
+WHERE r.name IS NULL OR l.name IS NULL OR l.tier IS DISTINCT FROM r.tier OR l.site_url IS DISTINCT FROM r.site_url
+"""
+
+BOOSTED = f"""
+WITH i AS (SELECT doc_id, weighted AS unboosted, doc_id % (SELECT max(user_id) + 1 FROM events) AS user_id FROM ({SCORED}) s),
+b AS (SELECT user_id, bool_or(event_type = 'view') AND bool_or(event_type = 'click') AS twice FROM events GROUP BY 1),
+w AS (SELECT doc_id, i.user_id, unboosted, CASE WHEN twice THEN least(round(unboosted + 0.5, 2), 5.0) ELSE unboosted END AS weighted FROM i LEFT JOIN b USING (user_id))
+SELECT *, CASE WHEN weighted >= 4.5 THEN 'MUST READ' WHEN weighted >= 3.5 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM w
+"""
+
 ORACLE = {
+    "registry_prose": REGISTRY_PROSE,
+    "large_feed_items": f"""
+SELECT source, item_pos, 'rss' AS format, title, url, source AS author, date,
+       CASE WHEN length(clean_text) > 500 THEN substr(clean_text, 1, 497) || '...' ELSE clean_text END AS summary FROM ({SOURCE_FEEDS_SQL}) f""",
+    "boosted_verdicts": BOOSTED,
     "published_digests": PUBLISHED,
     "latest_published": LATEST,
     "manifest_sources": MANIFEST_SOURCES,

@@ -10,7 +10,7 @@ _CTES = r"""
 texts AS (
   SELECT doc_id AS id, text FROM documents
   UNION ALL SELECT -item_id - 1, text FROM benchmark),
-reps AS (SELECT md5(text) AS h, min(id) AS rep, any_value(text) AS text FROM texts GROUP BY 1),
+reps AS (SELECT md5(text) AS h, min(id) AS rep, any_value(text) AS text FROM texts WHERE text IS NOT NULL GROUP BY 1),
 w AS (SELECT rep, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM reps),
 sh AS MATERIALIZED (SELECT rep, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
                                       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) AS s FROM w),
@@ -21,8 +21,8 @@ near AS (SELECT x, y FROM common JOIN sizes p ON p.rep = x JOIN sizes q ON q.rep
 pairs AS MATERIALIZED (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
 reach(x, y) AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y),
 comp AS MATERIALIZED (SELECT x AS rep, least(x, min(y)) AS story_id FROM reach GROUP BY x),
-grp AS (SELECT t.id, coalesce(c.story_id, r.rep) AS story_id
-        FROM texts t JOIN reps r ON r.h = md5(t.text) LEFT JOIN comp c ON c.rep = r.rep)"""
+grp AS (SELECT t.id, coalesce(c.story_id, r.rep, t.id) AS story_id
+        FROM texts t LEFT JOIN reps r ON r.h = md5(t.text) LEFT JOIN comp c ON c.rep = r.rep)"""
 
 
 STORY_GROUPS = f"WITH RECURSIVE {_CTES} SELECT id, story_id FROM grp"

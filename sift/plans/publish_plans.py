@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sift.operators import coverage as cv
+from sift.operators import rules
 from sift.plans import coverage_plans, curation, fixtures, json_plans, pipeline
 from sift.session import ensure_checkpoint_dir
+from sift.sources import feeds
 from sift.sources import jsonfix as jf
+from sift.sources import registry as rg
 from sift.sources import store
+from sift.sources.tables import read_table
 
 DESK_CAP = 30
 KEYS = ["desk"]
@@ -99,3 +103,29 @@ def q_json_strict_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = spark.read.schema("msg_id bigint, item_pos int, item map<string,string>").json(path)
     return back.select("msg_id", "item_pos", F.col("item")["title"].alias("title"), F.col("item")["url"].alias("url"),
                        F.lit(counts["kept"]).cast("bigint").alias("n_kept"), F.lit(counts["dropped"]).cast("bigint").alias("n_dropped"))
+
+
+def q_registry_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + D4: the JSON document and the prose copy read from their files and reconciled by tier and site."""
+    path = _folder(spark, "registry")
+    fixtures.write_registry_copies(spark, sf_dir, path)
+    named = lambda df: df.withColumn("site_url", rg.site_key(F.col("site_url")))
+    return rg.reconcile(named(rg.read_registry_json(spark, f"{path}/json")), named(rg.read_registry_prose(spark, f"{path}/prose")), ("tier", "site_url"))
+
+
+def q_boosted_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3 applied: a document's story is the user of the same number (modulo the users); its score is raised and judged again."""
+    users = read_table(spark, sf_dir, "events", "user_id", "event_type")
+    boosts = rules.cross_source_boost(users, "user_id", "event_type", "view", "click")
+    last = users.agg(F.max("user_id")).scalar()
+    items = curation.scored_items(spark, sf_dir).withColumn("user_id", F.col("doc_id") % (last + 1))
+    return rules.boosted(items, boosts, "user_id").select("doc_id", "user_id", "unboosted", "weighted", "verdict")
+
+
+def q_large_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: items of one large feed file per source, read by split."""
+    path = _folder(spark, "feeds")
+    fixtures.write_source_feeds(spark, sf_dir, path)
+    items, _ = feeds.read_large(spark, path)
+    return items.select(F.regexp_extract("file_path", "source=([^/]+)", 1).alias("source"), F.col("item_pos").cast("bigint").alias("item_pos"),
+                        "format", "title", "url", "author", "date", "summary")

@@ -9,11 +9,12 @@ of the snapshot table; there is no per-row Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sift.functions.dates import cutoff, is_recent, parse_date
 from sift.functions.text import first_nonempty, trimmed, truncate_summary
+from sift.session import ensure_checkpoint_dir
 from sift.sources.registry import enrich, has_feed
 
 # ---------------------------------------------------------------------------
@@ -106,6 +107,47 @@ def snapshot_items(parsed: DataFrame, keep: list[str]) -> DataFrame:
                   .select(*keep, "format", "item_pos", *[F.col(f"it.{c}").alias(c) for c in ITEM_COLS]))
 
 
+def read_large(spark: SparkSession, path: str, tag: str = "item") -> tuple[DataFrame, DataFrame]:
+    """A3/A4 for feed files of any size: (items, quarantine), read item by item in parallel.
+
+    ``tag`` is the element of an item (``item`` for RSS and RDF, ``entry`` for
+    Atom, with its prefix if the feed gives it one).  The text source cuts the
+    file at the element's end tag, which Hadoop's reader does across splits, so
+    one file is read by as many tasks as it has splits, and only an item has to
+    fit in memory.  Each item is parsed on its own by the schema of the small
+    path.  ``item_pos`` counts from 0 in each file: the items of the splits before,
+    then the place in the split (a few rows for each split; no sort of the items).
+    An item that is no XML, or whose CDATA holds the end tag, goes to the
+    quarantine with its text; what stands behind the last item is no item.
+    """
+    atom = tag.rpartition(":")[2] == "entry"
+    kind = (_ATOM_ENTRY if atom else _RSS_ITEM)[:-1] + ",_corrupt:string>"
+    end = f"</{tag}>"
+    found = (spark.read.option("lineSep", end).text(path)
+                  .select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("split"),
+                          F.monotonically_increasing_id().alias("id"), F.col("value")))
+    start = rf"(?s)<{tag}[\s>/].*$"
+    body = F.regexp_extract("value", start, 0)
+    prefix = tag.rpartition(":")[0]
+    plain = F.regexp_replace(F.concat(body, F.lit(end)), rf"(</?){prefix}:", "$1") if prefix else F.concat(body, F.lit(end))
+    whole = F.when(body != "", plain)
+    # rows are numbered as they were read, and written once: the numbers do not change afterwards
+    read = found.select("file_path", "split", "id", F.col("value").contains("<rdf:RDF").alias("rdf"), whole.alias("text"))
+    read = read.withColumn("it", F.from_xml("text", kind, XML_OPTIONS))
+    read = read.select("file_path", "split", "id", "rdf", F.when(F.col("it._corrupt").isNotNull() | F.col("it").isNull(), F.col("text")).alias("bad"),
+                       (_atom_fields if atom else _rss_fields)(F.col("it")).alias("it"), F.col("text").isNotNull().alias("is_item"))
+    ensure_checkpoint_dir(spark)
+    read = read.checkpoint()
+    splits = read.groupBy("file_path", "split").agg(F.min("id").alias("first"), F.count_if("is_item").alias("n"), F.max("rdf").alias("rdf"))
+    before = Window.partitionBy("file_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("file_path")
+    placed = splits.select("file_path", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("passed"), F.max("rdf").over(every).alias("is_rdf"))
+    rows = read.where("is_item").join(placed, ["file_path", "split"]).withColumn("item_pos", F.col("passed") + F.col("id") - F.col("first"))
+    fmt = F.lit("atom") if atom else F.when(F.col("is_rdf"), F.lit("rdf")).otherwise(F.lit("rss"))
+    items = rows.where(F.col("bad").isNull()).select("file_path", fmt.alias("format"), "item_pos", *[F.col(f"it.{c}").alias(c) for c in ITEM_COLS])
+    return items, rows.where(F.col("bad").isNotNull()).select("file_path", "item_pos", F.col("bad").alias("text"))
+
+
 def item_counts(parsed: DataFrame) -> Column:
     f = F.col("feed")
     return F.coalesce(F.size(f["entry"]), F.size(f["channel"]["item"]), F.size(f["item"]), F.lit(0))

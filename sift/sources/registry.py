@@ -29,6 +29,41 @@ def read_registry_json(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.inline("sources"))
 
 
+# Form of the prose registry: a heading for each tier, a bullet for one source or several.
+TIER_HEADING = r"(?m)^### Tier (\w+):.*$"
+BULLET = r"(?m)^- (.*)$"
+DESCRIPTION = r"(?s) — .*$"                   # behind the names
+SITE = r"^([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?:/[^\s,)]*)?)"   # in parentheses behind a name; other remarks are no site
+
+
+def read_registry_prose(spark: SparkSession, path: str) -> DataFrame:
+    """The registry's prose copy (markdown) as rows ``name, site_url, tier``.
+
+    A bullet reads ``- Name (site) — remark``, ``- Name (site), Name (site)`` or
+    ``- Label: name, name``; a label goes before each of its names, and a single
+    site at the end of a bullet is that of all its names.  Lines outside the tier
+    headings are not read.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
+    # the first piece stands before the first tier; a section ends at the next heading of any level
+    sections = F.arrays_zip(F.regexp_extract_all("text", F.lit(TIER_HEADING), 1).alias("tier"),
+                            F.slice(F.split("text", TIER_HEADING, -1), F.lit(2), F.greatest(F.size(F.split("text", TIER_HEADING, -1)) - 1, F.lit(0))).alias("body"))
+    bullets = (text.select(F.inline(sections))
+                   .select("tier", F.explode(F.regexp_extract_all(F.regexp_extract("body", r"(?s)^(.*?)(?:\n#.*)?$", 1), F.lit(BULLET), 1)).alias("bullet")))
+    head = F.trim(F.regexp_replace("bullet", DESCRIPTION, ""))
+    label = F.regexp_extract(head, r'^([^:("]+): ', 1)
+    names = F.split(F.regexp_replace(head, r'^[^:("]+: ', ""), r",\s+(?![^(]*\))")
+    parts = F.transform(names, lambda n: F.struct(F.trim(F.regexp_replace(n, r"\s*\([^)]*\)\s*$", "")).alias("name"),
+                                                 F.regexp_extract(F.regexp_extract(n, r"\(([^)]*)\)\s*$", 1), SITE, 1).alias("site")))
+    listed = bullets.select("tier", label.alias("label"), parts.alias("parts"))
+    sites = F.filter(F.transform("parts", lambda p: p["site"]), lambda site: site != "")
+    shared = F.when((F.size(sites) == 1) & (F.element_at("parts", -1)["site"] != ""), F.element_at(sites, 1)).otherwise(F.lit(""))
+    rows = listed.select("tier", "label", shared.alias("shared"), F.explode("parts").alias("p")).where(F.col("p.name") != "")
+    site = F.coalesce(F.nullif(F.col("p.site"), F.lit("")), F.nullif(F.col("shared"), F.lit("")))
+    return rows.select(F.concat(F.when(F.col("label") != "", F.concat("label", F.lit(" "))).otherwise(F.lit("")), F.col("p.name")).alias("name"),
+                       F.concat(F.lit("https://"), site).alias("site_url"), "tier")
+
+
 def has_feed(c: Column = None) -> Column:
     c = F.col("feed_url") if c is None else c
     return F.coalesce(F.length(c) > 0, F.lit(False))
@@ -76,9 +111,9 @@ def feed_health(registry: DataFrame, snapshots: DataFrame) -> DataFrame:
     ``snapshots``: ``feed_url, snapshot_ord, body, n_items`` (items parsed).
     A feed with no snapshot (fetch failed) is dead.
     """
-    latest = (snapshots.groupBy("feed_url")
-                       .agg(F.max_by(F.struct("body", "n_items"), "snapshot_ord").alias("s"))
-                       .select("feed_url", F.octet_length("s.body").alias("n_bytes"), F.col("s.n_items").alias("n_items")))
+    # lengths, not bodies, go through the aggregate
+    sized = snapshots.select("feed_url", "snapshot_ord", F.struct(F.octet_length("body").alias("n_bytes"), "n_items").alias("s"))
+    latest = sized.groupBy("feed_url").agg(F.max_by("s", "snapshot_ord").alias("s")).select("feed_url", "s.n_bytes", "s.n_items")
     j = registry.join(latest, "feed_url", "left")
     status = (F.when(~has_feed(), F.lit(STATUS_NO_FEED))
                .when(F.coalesce(F.col("n_bytes"), F.lit(0)) > ALIVE_MIN_BYTES, F.lit(STATUS_ALIVE))
@@ -97,10 +132,14 @@ def name_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[^\p{L}\p{N}]+", " ")
 
 
-def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
+def site_key(c: Column) -> Column:
+    """A site as both copies write it: without a trailing slash."""
+    return F.regexp_replace(c, "/+$", "")
+
+
+def reconcile(left: DataFrame, right: DataFrame, cols: tuple[str, ...] = ("tier", "feed_url", "site_url")) -> DataFrame:
     """Full outer join of two registry copies by normalised name →
-    ``only_left``, ``only_right`` or ``changed`` (tier, feed or site differ)."""
-    cols = ["tier", "feed_url", "site_url"]
+    ``only_left``, ``only_right`` or ``changed`` (one of ``cols`` differs)."""
     lk = left.select(name_key(F.col("name")).alias("name_key"),
                      *[F.col(c).alias(f"l_{c}") for c in cols], F.col("name").alias("l_name"))
     rk = right.select(name_key(F.col("name")).alias("name_key"),

@@ -49,3 +49,29 @@ def test_chain_of_two_hundred_is_one_component(spark):
     links = spark.range(199).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {i: 0 for i in range(1, 200)}
+
+
+def test_large_groups_against_brute_force(spark):
+    """Groups far over the size that is paired directly, with chains of near copies through them."""
+    import random
+    rng = random.Random(7)
+    common = _words("c", 12)
+    texts, bases = {}, [common + _words(f"b{k}x", 28) for k in range(12)]
+    for i in range(150):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"e{rng.randint(0, 4)}"
+        texts[i] = words
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    story = {i: i for i in texts}
+    changed = True
+    while changed:
+        changed = False
+        for a in texts:
+            for b in texts:
+                if story[a] < story[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    old, new = story[b], story[a]
+                    story.update({k: new for k, v in story.items() if v == old})
+                    changed = True
+    assert _groups(spark, {i: " ".join(w) for i, w in texts.items()}) == story
+    assert 1 < len(set(story.values())) < 150
