@@ -141,33 +141,37 @@ class _Sets:
 
 
 class _Named:
-    """(doc_id, set_hash, n, first) with ``copy``: false if the id is certainly not that of a further copy."""
+    """(doc_id, set_hash, n, first) to (node, n, first) of the rows whose id is certainly not (or, with ``copy``, may be) that of a further copy."""
 
-    def __init__(self, copies):
-        self.copies = copies
+    def __init__(self, copies, copy: bool):
+        self.copies, self.copy = copies, copy
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = self.copies.value
         for batch in batches:
-            yield batch.append_column("copy", pa.array(maybe(words, batch.column(0).to_numpy())))
+            yield batch.filter(pa.array(maybe(words, batch.column(0).to_numpy()) == self.copy))
+        release()
 
 
 class _Members:
-    """(node, n, first) to (pivot, node, n) for pivots that the bitmap does not exclude."""
+    """(doc_id, node, n, first) to (pivot, node, n) for pivots that the bitmap does not exclude; with ``copies``, of rows that are no further copy."""
 
-    def __init__(self, shared):
-        self.shared = shared
+    def __init__(self, shared, copies=None):
+        self.shared, self.copies = shared, copies
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = self.shared.value
         for batch in batches:
-            lists = batch.column(2)
+            if self.copies is not None:
+                batch = batch.filter(pa.array(~maybe(self.copies.value, batch.column(0).to_numpy())))
+            lists = batch.column(3)
             pivots = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             take = maybe(words, pivots)
             rows = pa.array(owner[take])
-            yield pa.RecordBatch.from_arrays([pa.array(pivots[take]), batch.column(0).take(rows), batch.column(1).take(rows)],
+            yield pa.RecordBatch.from_arrays([pa.array(pivots[take]), batch.column(1).take(rows), batch.column(2).take(rows)],
                                              names=["pivot", "node", "n"])
+        release()
 
 
 class _WholeSets:
@@ -299,6 +303,11 @@ def _size_allows(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes in all columns of a staged table, one after the other."""
+    return reduce(DataFrame.unionByName, [pairs.select(F.col(c).alias("node")) for c in pairs.columns])
+
+
 class JaccardJoin:
     """One run over ``documents``; ``labels`` after ``run()``."""
 
@@ -319,13 +328,12 @@ class JaccardJoin:
         self.nodes = nodes = stage(sets.where("set_hash IS NOT NULL").groupBy("set_hash", "n").agg(F.min("doc_id").alias("least")), "set-classes")
         copies = stage(sets.where("doc_id IS NOT NULL").select("doc_id", "set_hash", "n").join(nodes, ["set_hash", "n"])
                            .where("doc_id != least").select("doc_id", "set_hash").distinct(), "set-copies")
-        # rows that the bitmap clears need no join; only the others, with their pivots, are shuffled
+        # rows that the bitmap clears need no join; only the others, with their pivots, are shuffled and written
         copy = sc.broadcast(bitmap(copies, "doc_id"))
-        flagged = (sets.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_hash", "n", "first")
-                       .mapInArrow(_Named(copy), "doc_id long, set_hash long, n long, first array<long>, copy boolean"))
-        named = (flagged.where("NOT copy").unionByName(flagged.where("copy").join(copies, ["doc_id", "set_hash"], "left_anti"))
-                        .select(F.col("set_hash").alias("node"), "n", "first"))
-        members = self._members(named)
+        rows = sets.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_hash", "n", "first")
+        kind = "doc_id long, set_hash long, n long, first array<long>"
+        checked = stage(rows.mapInArrow(_Named(copy, True), kind).join(copies, ["doc_id", "set_hash"], "left_anti"), "checked-rows")
+        members = self._members(rows, checked, copy)
         counted = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
         large = members.join(counted.where(F.col("size") > self.leaf).select("pivot"), "pivot")
         large = stage(large.select(F.col("pivot").alias("cell"), "node", "n"), "large-regions")
@@ -339,7 +347,7 @@ class JaccardJoin:
         links = self._distances(pairs, self._whole_sets(pairs)).where(F.col("distance") <= self.reach).select("a", "b")
         links = stage(links.unionByName(found).distinct(), "links")
         self.labels = components(links.unionByName(inside.where("b IS NOT NULL").select("a", "b")))
-        ends = links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("times"))
+        ends = _ends(links).groupBy("node").agg(F.count(F.lit(1)).alias("times"))
         ends = ends.unionByName(inside.where("b IS NULL").select(F.col("a").alias("node"), "times"))
         degree = ends.groupBy("node").agg(F.sum("times").alias("n_links"))
         linked = self.labels.unionByName(self.labels.select(F.col("component").alias("node"), "component").distinct())
@@ -352,14 +360,22 @@ class JaccardJoin:
                         F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.coalesce("smallest", "least")).alias("component_id"),
                         F.coalesce("n_links", F.lit(0)).alias("n_links")))
 
-    def _members(self, named: DataFrame) -> DataFrame:
-        """(pivot, node, n) of all pivots with two nodes or more."""
-        shared = (named.select("node", F.explode("first").alias("pivot")).groupBy("pivot")
+    def _members(self, rows: DataFrame, checked: DataFrame, copy) -> DataFrame:
+        """(pivot, node, n) of all pivots with two nodes or more.
+
+        ``rows`` that the bitmap ``copy`` clears and the ``checked`` ones stand for their classes.  A task runs
+        one Python worker: a second one in its chain would stand beside it with its own memory.
+        """
+        kind = "doc_id long, set_hash long, n long, first array<long>"
+        named = rows.mapInArrow(_Named(copy, False), kind).unionByName(checked.select("doc_id", "set_hash", "n", "first"))
+        shared = (named.select(F.col("set_hash").alias("node"), F.explode("first").alias("pivot")).groupBy("pivot")
                        .agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("pivot"))
         shared = stage(shared, "shared-pivots")
         may = self.spark.sparkContext.broadcast(bitmap(shared, "pivot"))
-        rows = named.select("node", "n", "first").mapInArrow(_Members(may), "pivot long, node long, n long")
-        return stage(rows.join(shared, "pivot").distinct(), "region-members")
+        out = "pivot long, node long, n long"
+        found = rows.mapInArrow(_Members(may, copy), out).unionByName(
+            checked.select("doc_id", "set_hash", "n", "first").mapInArrow(_Members(may), out))
+        return stage(found.join(shared, "pivot").distinct(), "region-members")
 
     def _small_pairs(self, members: DataFrame, counted: DataFrame, large: DataFrame) -> DataFrame:
         """(a, b, na, nb, shared) from the regions with at most ``leaf`` members."""
@@ -380,7 +396,7 @@ class JaccardJoin:
 
     def _whole_sets(self, pairs: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes in the columns of a staged table (and of a few others)."""
-        ids = stage(pairs.select(F.explode(F.array(*pairs.columns)).alias("node")).distinct(), "paired-nodes")
+        ids = stage(_ends(pairs).distinct(), "paired-nodes")
         ids = ids.join(self.nodes.select(F.col("set_hash").alias("node"), "least"), "node")
         wanted = self.spark.sparkContext.broadcast(bitmap(ids, "least"))
         return self.texts.mapInArrow(_WholeSets(wanted), "node long, shingles array<long>")
@@ -392,7 +408,7 @@ class JaccardJoin:
         component of the graph of pairs, or, where the sets of one are more than ``BLOCK_SHINGLES``,
         a pair of groups of them.
         """
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = _ends(pairs).distinct()
         clusters = stage(ids.join(components(pairs), "node", "left").select("node", F.coalesce("component", "node").alias("cluster")),
                          "pair-clusters")
         sets = stage(sets.join(clusters, "node"), "paired-sets")
