@@ -409,22 +409,21 @@ class JaccardJoin:
         a pair of groups of them.
         """
         ids = _ends(pairs).distinct()
-        clusters = stage(ids.join(components(pairs), "node", "left").select("node", F.coalesce("component", "node").alias("cluster")),
-                         "pair-clusters")
-        sets = stage(sets.join(clusters, "node"), "paired-sets")
-        groups = (sets.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("groups")))
+        clusters = stage(ids.join(components(pairs), "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
+                            .join(self.nodes.select(F.col("set_hash").alias("node"), "n"), "node"), "pair-clusters")
+        groups = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("groups"))
         group = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
-        placed = sets.join(groups, "cluster").withColumn("group", group)
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-        placed = placed.select("cluster", F.least("group", "other").alias("low"), F.greatest("group", "other").alias("high"),
+        # a set's place is known before the set is read, so it travels to its node's place and from there to its blocks
+        side = stage(clusters.join(groups, "cluster").select("node", "cluster", group.alias("group"), "groups"), "pair-sides")
+        placed = sets.join(side, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        # columns of its own, as both sides of the cogroup come from one table
+        placed = placed.select(F.col("cluster").alias("place"), F.least("group", "other").alias("one"), F.greatest("group", "other").alias("two"),
                                "node", "shingles")
-        side = clusters.join(groups, "cluster").select("node", "cluster", group.alias("group"))
         of_a = side.select(F.col("node").alias("a"), "cluster", F.col("group").alias("ga"))
         of_b = side.select(F.col("node").alias("b"), F.col("group").alias("gb"))
         dealt = (pairs.join(of_a, "a").join(of_b, "b")
                       .select("cluster", F.least("ga", "gb").alias("low"), F.greatest("ga", "gb").alias("high"), "a", "b"))
-        block = ["cluster", "low", "high"]
-        return (dealt.groupBy(*block).cogroup(placed.groupBy(*block))
+        return (dealt.groupBy("cluster", "low", "high").cogroup(placed.groupBy("place", "one", "two"))
                      .applyInArrow(_pair_distances, "a long, b long, distance double"))
 
     def _divide(self, large: DataFrame, small: DataFrame) -> tuple[DataFrame, DataFrame]:
