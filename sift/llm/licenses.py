@@ -1,19 +1,19 @@
 """License scans by a positional rare-token index.
 
-Templates are short word sequences with a label and a mandatory key phrase.
-The corpus is counted once: in how many texts each template word occurs.  From
-that every template gets its anchors: the word of highest IDF of its key phrase
-and, unless it must stand whole, further words of highest IDF up to ``ANCHORS``.
-The index maps each anchor to postings (template, position in it).  A file looks up the anchor
-words it holds; a posting at position p for a word at position w says that the
-template would start at w - p, and postings that agree on the start support the
-same place.  Each such place is verified: the mandatory key phrase must stand
-at its relative position, and the IDF-weighted share of template words that
-stand at theirs must reach the template's least score.
-
-A key phrase cannot stand anywhere without its anchor at the right distance, so
-all places are found, however common the anchor is and whatever other words are
-altered.  A base phrase is a template that is all key phrase, with one anchor.
+Templates are word sequences with a label and a mandatory key phrase: the
+notices of well-known licences (``notices``) and the base phrases, which are
+all key phrase.  The corpus is counted once: in how many texts each template
+word occurs.  Each template's anchors are the words of highest IDF of its key
+phrase, up to ``ANCHORS``, with their positions in the template as postings.
+
+A file looks up the anchor words that it holds.  A posting at position p for a
+word at place w says that the template would start at w - p.  The start lists
+of a template's anchors are intersected, the rarest word's first: the key phrase
+must stand whole, so every place is in all of them.  Each start left is
+verified: the key phrase must stand, and the IDF-weighted share of template
+words that stand at their relative positions must reach the template's least
+score.  So all places are found, however common an anchor is and whatever words
+outside the key phrase are altered.
 IDFs are 1 or more, so words that all texts hold still count.
 
 Defined cases: a null text is empty, has no words and no places; a text is read
@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sift.llm import notices
 from sift.llm.arrow import blocks
 
-#: Anchors of a template that need not stand whole.
+#: Words of a key phrase whose places are intersected.
 ANCHORS = 3
 
 
@@ -60,8 +61,8 @@ def _phrase(label: str, text: str) -> Template:
 # The base phrases and their labels.
 BASE = (_phrase("mit", "under the mit license"), _phrase("apache-2", "apache license version 2"), _phrase("cc-by-nc", "cc by nc"))
 
-# Notices of well-known licences, each with the phrase that must stand.
-NOTICES = (
+# First sentences of well-known notices, each with the phrase that must stand.
+SENTENCES = (
     _template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software",
               "free of charge to any person obtaining a copy"),
     _template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance",
@@ -79,6 +80,8 @@ NOTICES = (
     _template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
 )
 
+NOTICES = SENTENCES + tuple(_template(label, text, key) for label, text, key in notices.NOTICES)
+
 # A-Z to a-z; digits, letters and every byte of a non-ASCII character stay; all else separates words.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
               for c in range(256))
@@ -89,41 +92,55 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates' anchors."""
+    """Postings of the templates' anchors: words of their key phrases, rarest first."""
 
     def __init__(self, templates: tuple[Template, ...], idf: dict[bytes, float]):
         self.templates, self.idf = templates, idf
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.weight = [sum(idf.get(w, 0.0) for w in t.words) for t in templates]
-        for number, template in enumerate(templates):
-            rare = sorted(set(template.words), key=lambda w: (-idf.get(w, 0.0), w))
-            of_key = next(w for w in rare if w in template.words[slice(*template.key)])
-            for word in [of_key, *(w for w in rare if w != of_key)][:1 if template.base else ANCHORS]:
-                self.postings[word] += [(number, p) for p, w in enumerate(template.words) if w == word]
-        self.anchors = frozenset(self.postings)
+        # of each template, (word, positions in it), the word of highest IDF first
+        self.postings: list[list[tuple[bytes, tuple[int, ...]]]] = []
+        for template in templates:
+            a, b = template.key
+            rare = sorted(set(template.words[a:b]), key=lambda w: (-idf.get(w, 0.0), w))[:ANCHORS]
+            self.postings.append([(word, tuple(p for p in range(a, b) if template.words[p] == word)) for word in rare])
+        self.anchors = frozenset(word for anchors in self.postings for word, _ in anchors)
 
     def places(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, start, score) of every verified place."""
-        if self.anchors.isdisjoint(words):
+        held = self.anchors.intersection(words)
+        if not held:
             return []
-        starts = {(number, at - p) for at, word in enumerate(words) if word in self.anchors
-                  for number, p in self.postings[word]}
+        at: dict[bytes, list[int]] = defaultdict(list)
+        for place, word in enumerate(words):
+            if word in held:
+                at[word].append(place)
         found = []
-        for number, start in starts:
-            template = self.templates[number]
-            a, b = template.key
-            if start + a < 0 or tuple(words[start + a:start + b]) != template.words[a:b]:
+        for number, anchors in enumerate(self.postings):
+            if not all(word in held for word, _ in anchors):
                 continue
-            if template.base:
-                found.append((number, start, 1.0))
-                continue
-            there = sum(self.idf.get(w, 0.0) for i, w in enumerate(template.words)
-                        if 0 <= start + i < len(words) and words[start + i] == w)
-            score = there / self.weight[number] if self.weight[number] > 0 else 0.0
-            if score >= template.least:
-                found.append((number, start, min(1.0, score)))
+            template, (a, b) = self.templates[number], self.templates[number].key
+            # every anchor stands in the key phrase, so a place is in all their lists of starts
+            starts: set[int] | None = None
+            for word, positions in anchors:
+                own = {place - p for p in positions for place in at[word]} if starts is None else {
+                    start for start in starts if any(0 <= start + p < len(words) and words[start + p] == word for p in positions)}
+                starts = own
+                if not starts:
+                    break
+            for start in starts:
+                if start + a < 0 or tuple(words[start + a:start + b]) != template.words[a:b]:
+                    continue
+                score = 1.0 if template.base else self.score(number, start, words)
+                if score >= template.least:
+                    found.append((number, start, score))
         return found
 
+    def score(self, number: int, start: int, words: list[bytes]) -> float:
+        """IDF-weighted share of the template's words that stand in their places."""
+        template = self.templates[number]
+        there = sum(self.idf.get(w, 0.0) for i, w in enumerate(template.words) if 0 <= start + i < len(words) and words[start + i] == w)
+        return min(1.0, there / self.weight[number]) if self.weight[number] > 0 else 0.0
+
 
 class _Presence:
     """Arrow batches of texts: how many texts hold each template word, a row per word and batch."""
@@ -180,9 +197,9 @@ class Scan:
                                                     "base_labels", "labels", "score"])
 
 
-def scan(documents: DataFrame, notices: tuple[Template, ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(documents: DataFrame, templates: tuple[Template, ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    templates = BASE + tuple(notices)
+    templates = BASE + tuple(templates)
     index = Index(templates, inverse_frequencies(documents, templates, text_col))
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()

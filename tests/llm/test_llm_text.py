@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -175,6 +176,46 @@ def test_license_notice_with_altered_rare_words(spark):
     assert [r.labels for r in (got[0], got[1], got[21])] == ["mit", "mit", ""] and 0.8 <= got[0].score < got[1].score
 
 
+def brute_licenses(rows, templates):
+    """n_base places, labels and best score: every template at every start, IDFs from all texts."""
+    held = Counter(w for _, text in rows for w in set(fold_words(text)))
+    idf = {w: 1 + math.log((len(rows) + 1) / (held[w] + 1)) for t in templates for w in t.words}
+    out = {}
+    for i, text in rows:
+        words, found = fold_words(text), []
+        for t in templates:
+            a, b = t.key
+            for start in range(-len(t.words), len(words)):
+                if start + a >= 0 and tuple(words[start + a:start + b]) == t.words[a:b]:
+                    there = sum(idf[w] for k, w in enumerate(t.words) if 0 <= start + k < len(words) and words[start + k] == w)
+                    score = 1.0 if t.base else there / sum(idf[w] for w in t.words)
+                    if score >= t.least - 1e-12:
+                        found.append((t.label, score, t.base))
+        out[i] = (sum(x[2] for x in found), ",".join(sorted({x[0] for x in found})), max((x[1] for x in found), default=0.0))
+    return out
+
+
+def test_license_labels_and_scores_against_brute_force(spark):
+    rng = random.Random(9)
+    notices = [" ".join(w.decode() for w in t.words) for t in licenses.NOTICES]
+    rows = [(0, None), (1, "")]
+    for i in range(2, 160):
+        words = rng.choice(notices).split()
+        for _ in range(rng.choice([0, 1, 3, len(words) // 8, len(words) // 4])):
+            words[rng.randrange(len(words))] = rng.choice(["x", "license", "software", "the", "Ünïcode"])
+        if rng.random() < 0.3:
+            words.insert(rng.randrange(len(words)), "inserted")     # what stands behind is out of place
+        words = words[rng.choice([0, 0, 1, 9]):]
+        lead = [rng.choice(["the", "software", "free", "of", "charge", "copy"]) for _ in range(rng.randint(0, 20))]
+        rows.append((i, rng.choice([" ", ", ", "\n"]).join(lead + [w.title() for w in words]) + rng.choice(["", " under the MIT license", " CC-BY-NC"])))
+    frame = spark.createDataFrame([(i, t, "s", 1.0, 0) for i, t in rows], "doc_id long, text string, labels string, score double, n_words int")
+    got = {r.doc_id: (r.n_base, r.labels, r.score) for r in licenses.scan(frame.repartition(3)).collect()}
+    want = brute_licenses(rows, licenses.BASE + licenses.NOTICES)
+    assert {i: x[:2] for i, x in got.items()} == {i: x[:2] for i, x in want.items()}
+    assert all(abs(got[i][2] - want[i][2]) < 1e-9 for i in want)
+    assert len({x[1] for x in want.values()}) > 10 and sum(0 < x[2] < 1 for x in want.values()) > 10
+
+
 def test_license_notice_that_every_text_holds(spark):
     rows = [(i, "permission is hereby granted free of charge to any person obtaining a copy of this software") for i in range(5)]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
