@@ -23,7 +23,7 @@ def test_filter_pushed_to_scan(spark):
 
 def test_python_only_in_json_repair(spark):
     for name, fn in catalog.QUERIES.items():
-        if name.startswith("stream_") or name in ("batches", "story_groups", "best_per_story"):
+        if name.startswith("stream_") or name in ("batches", "story_groups", "best_per_story", "json_strict_sink"):
             continue                                 # these run jobs while being built
         plan = _plan(fn(spark, SF_SMALL))
         has_python = "ArrowEvalPython" in plan or "BatchEvalPython" in plan
