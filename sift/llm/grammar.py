@@ -7,7 +7,8 @@ rounds of Re-Pair count all neighbouring pairs, turn the frequent ones into
 nonterminals and replace them, until no pair is found ``MIN_COUNT`` times.  A
 round takes every frequent pair, most frequent first, that cannot
 overlap one already taken, so one pass over the ids serves many pairs.  Pairs
-never cross a document's end.
+never cross a document's end.  A pair of old symbols never gets more frequent, so
+a round counts only places that the last one found in full buckets or changed.
 
 The file is a Parquet table (its commit protocol survives lost executors), one
 row per shard: part, shard, doc_ids, n_ids, and the grammar's bytes::
@@ -34,6 +35,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -54,8 +56,6 @@ SHARD_IDS = 1 << 20
 #: A rule takes 12 bytes (two symbols and a length) and saves 4 wherever it stands: from 4 places on the file shrinks.
 MIN_COUNT = 4
 MAGIC = b"RPR1"
-#: Stands between the last id of a document and the next document's first.
-NO_PAIR = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Entries of a worker's word table before a new one is started (memory bound).
 WORD_TABLE = 1 << 18
 
@@ -67,6 +67,23 @@ def _limit(text: str) -> int:
     return 0x10000 if len(text.encode("utf-16-le")) == 2 * len(text) else 0x110000
 
 
+class _Words(dict):
+    """Each word's ids as bytes; ``old`` is the table that was full before, from which words still in use are taken over."""
+
+    def __init__(self, model, letters: dict, old: dict):
+        self.model, self.letters, self.old = model, letters, old
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            # a word is normalised and cut already: only the library's model is left to apply
+            # (printable ASCII stands for itself in the byte alphabet)
+            letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """A tokenizer file whose normaliser is NFC, one space for white space and lower case.
 
@@ -84,8 +101,7 @@ class WordTokenizer:
         self.library.no_padding()
         self.letters = {byte: letter for letter, byte in byte_alphabet().items()}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = _Words(self.library.model, self.letters, {})
 
     @staticmethod
     @once
@@ -114,18 +130,9 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._cut(t) for t in texts]
-        new = set().union(*(words for words in cut if words is not None)).difference(self.words)
-        if len(self.words) + len(new) > WORD_TABLE and self.words:
-            # a full table becomes the old one, from which words still in use are taken over
-            self.old, self.words = self.words, {}
-            new = set().union(*(words for words in cut if words is not None))
-        known = self.old.keys() & new
-        self.words.update((w, self.old[w]) for w in known)
-        unseen = new - known
-        for word in unseen:
-            # a word is normalised and cut already: only the library's model is left to apply
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            self.words[word] = np.array([token.id for token in self.library.model.tokenize(letters)], np.uint32).tobytes()
+        if len(self.words) > WORD_TABLE:
+            self.words.old = {}
+            self.words = _Words(self.library.model, self.letters, self.words)
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), np.uint32) if words is not None
                 else np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
@@ -141,35 +148,29 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _bucket(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def _frequent_pairs(keys: np.ndarray, bucket: np.ndarray, least: int) -> np.ndarray:
+def _frequent_pairs(keys: np.ndarray, least: int) -> np.ndarray:
     """Keys found ``least`` times or more, most frequent first."""
-    # counts by hash bucket are upper bounds: keys of small buckets need no exact count
-    maybe = keys[(np.bincount(bucket, minlength=1 << 20) >= least)[bucket]]
-    maybe.sort()
-    first = np.flatnonzero(np.concatenate([[True], maybe[1:] != maybe[:-1]])) if len(maybe) else np.zeros(0, np.int64)
-    times = np.diff(np.concatenate([first, [len(maybe)]]))
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate([first, [len(keys)]]))
     often = times >= least
-    often[-1:] &= maybe[-1:] != NO_PAIR
-    found, times = maybe[first[often]], times[often]
+    found, times = keys[first[often]], times[often]
     return found[np.argsort(-times, kind="stable")]
 
 
 def _compatible(pairs: np.ndarray) -> np.ndarray:
     """The pairs, in order, that cannot overlap an earlier one: no symbol both begins one and ends another."""
-    begins, ends, taken = set(), set(), []
-    for number, key in enumerate(pairs.tolist()):
-        a, b = key >> 32, key & 0xFFFFFFFF
-        if a == b:
-            if a in begins or a in ends:
-                continue
-        elif a in ends or b in begins:
+    first, second = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
+    n = int(max(first.max(), second.max())) + 1 if len(pairs) else 0
+    begins, ends, taken = bytearray(n), bytearray(n), []
+    for number, (a, b) in enumerate(zip(first.tolist(), second.tolist())):
+        if ends[a] or begins[b]:
             continue
-        begins.add(a)
-        ends.add(b)
+        begins[a] = ends[b] = 1
         taken.append(number)
     return pairs[taken]
 
@@ -177,52 +178,70 @@ def _compatible(pairs: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, starts: np.ndarray, n_terminals: int,
              least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, first symbol of each document and the end, rules, expansion lengths)."""
-    symbols = ids.astype(np.uint64)
+    symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[starts[1:][starts[1:] > 0] - 1] = True
+    last[-1:] = True
+    # replaced symbols stay in place; each one left knows its neighbours
+    after, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+    live, left = ~last, np.ones(len(symbols), bool)
     rules: list[np.ndarray] = []
-    lengths = np.ones(n_terminals, np.int64)
-    while len(symbols) >= 2:
-        keys = symbols[:-1] << np.uint64(32)
-        keys |= symbols[1:]
-        keys[last[:-1]] = NO_PAIR
-        bucket = _bucket(keys)
-        pairs = _compatible(_frequent_pairs(keys, bucket, least))
+    first = n_terminals
+    while True:
+        places = np.flatnonzero(live)
+        keys = symbols[places].astype(np.uint64) << np.uint64(32)
+        keys |= symbols[after[places]]
+        bits = min(20, max(8, len(places).bit_length()))
+        bucket = _bucket(keys, bits)
+        # counts by hash bucket are upper bounds: places in small buckets need no exact count, now or later
+        full = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
+        live[places[~full]] = False
+        places, keys, bucket = places[full], keys[full], bucket[full]
+        pairs = _compatible(_frequent_pairs(keys, least))
         if not len(pairs):
             break
         # only keys in the buckets of taken pairs are looked up
-        taken = np.zeros(1 << 20, bool)
-        taken[_bucket(pairs)] = True
+        taken = np.zeros(1 << bits, bool)
+        taken[_bucket(pairs, bits)] = True
         near = np.flatnonzero(taken[bucket])
         order = np.argsort(pairs)
         place = np.minimum(np.searchsorted(pairs[order], keys[near]), len(pairs) - 1)
         rule = order[place]
         same = pairs[rule] == keys[near]
-        at, rule = near[same], rule[same]
-        double = symbols[at] == symbols[at + 1]
+        at, rule = places[near[same]], rule[same]
+        double = symbols[at] == symbols[after[at]]
         if double.any():
             # in a run of one symbol, every other pair is taken, from the run's start
             d = at[double]
-            begin = np.concatenate([[True], np.diff(d) != 1])
+            begin = np.concatenate([[True], after[d[:-1]] != d[1:]])
             run = np.maximum.accumulate(np.where(begin, np.arange(len(d)), 0))
             drop = np.zeros(len(at), bool)
             drop[double] = (np.arange(len(d)) - run) % 2 == 1
             at, rule = at[~drop], rule[~drop]
-        first = n_terminals + sum(map(len, rules))
-        symbols[at] = (first + rule).astype(np.uint64)
-        last[at] |= last[at + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        new = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        rules.append(new)
-        lengths = np.concatenate([lengths, lengths[new].sum(axis=1)])
+        symbols[at] = (first + rule).astype(np.uint32)
+        gone = after[at]
+        left[gone] = live[gone] = False
+        last[at] = last[gone]
+        after[at] = after[gone]
+        inner = after[at] < len(symbols)
+        before[after[at[inner]]] = at[inner]
+        changed = np.concatenate([at, before[at]])
+        changed = changed[changed >= 0]
+        live[changed] = ~last[changed]
+        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        first += len(pairs)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    symbols, last = symbols[left], last[left]
     # documents that hold an id end at the marked symbols; an empty one starts where the next does
     ends = np.zeros(len(starts), np.int64)
     filled = np.flatnonzero(np.diff(starts) > 0)
     ends[filled + 1] = np.flatnonzero(last) + 1
-    return symbols.astype(np.uint32), np.maximum.accumulate(ends), table, lengths[n_terminals:].astype(np.uint32)
+    lengths = np.ones(n_terminals + len(table), np.int64)
+    done = n_terminals
+    for new in rules:
+        lengths[done:done + len(new)] = lengths[new].sum(axis=1)
+        done += len(new)
+    return symbols, np.maximum.accumulate(ends), table, lengths[n_terminals:].astype(np.uint32)
 
 
 def pack(ids: np.ndarray, starts: np.ndarray, n_terminals: int) -> bytes:
@@ -251,24 +270,26 @@ class Grammar:
         self.lengths = take("<u4", n_rules)
         self.docs, self.starts = take("<u8", n_docs + 1), take("<u8", n_docs + 1)
         self.symbols = take("<u4", n_symbols)
+        self.sizes = np.concatenate([np.ones(self.n_terminals, np.int64), self.lengths])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All ids of the symbols; each pass opens the rules that are left."""
-        while (rule := symbols >= self.n_terminals).any():
-            at = np.cumsum(rule + 1) - (rule + 1)
-            opened = np.repeat(symbols, rule + 1)
-            pairs = self.rules[symbols[rule] - self.n_terminals]
-            opened[at[rule]], opened[at[rule] + 1] = pairs[:, 0], pairs[:, 1]
-            symbols = opened
-        return symbols
+        """All ids of the symbols: each knows its place, and a pass opens only the rules that are left."""
+        size = self.sizes[symbols]
+        place = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), np.uint32)
+        while True:
+            rule = symbols >= self.n_terminals
+            ids[place[~rule]] = symbols[~rule]
+            if not rule.any():
+                return ids
+            place, pairs = place[rule], self.rules[symbols[rule] - self.n_terminals]
+            place = np.concatenate([place, place + self.sizes[pairs[:, 0]]])
+            symbols = np.concatenate([pairs[:, 0], pairs[:, 1]])
 
     def read_ids(self, doc: int, begin: int, end: int) -> np.ndarray:
         """Ids begin..end of one document, opening only the symbols that hold them."""
         symbols = self.symbols[self.docs[doc]:self.docs[doc + 1]]
-        size = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.n_terminals
-        size[rule] = self.lengths[symbols[rule] - self.n_terminals]
-        stop = np.cumsum(size)
+        stop = np.cumsum(self.sizes[symbols])
         first, last = np.searchsorted(stop, begin, side="right"), np.searchsorted(stop, end, side="left") + 1
         skipped = int(stop[first - 1]) if first else 0
         return self.expand(symbols[first:last])[begin - skipped:max(begin, end) - skipped]

@@ -90,6 +90,25 @@ def test_grammar_decodes_any_stretch():
         assert len(shard.symbols) < len(np.concatenate(docs)) or len(shard.rules) == 0
 
 
+def test_grammar_rounds_count_only_live_places(monkeypatch):
+    rng = np.random.default_rng(5)
+    passages = [rng.integers(0, 20000, 64).astype(np.uint32) for _ in range(40)]
+    docs = [np.concatenate([passages[rng.integers(0, 40)], rng.integers(0, 20000, 300).astype(np.uint32)]) for _ in range(400)]
+    ids, starts = np.concatenate(docs), np.cumsum([0] + [len(d) for d in docs])
+    counted, frequent = [], grammar._frequent_pairs
+    monkeypatch.setattr(grammar, "_frequent_pairs", lambda keys, *rest: counted.append(len(keys)) or frequent(keys, *rest))
+    shard = grammar.Grammar(grammar.pack(ids, starts, 20000))
+    assert shard.expand(shard.symbols).tolist() == ids.tolist()
+    assert len(counted) > 4 and sum(counted) < 2 * len(ids)
+
+
+def test_word_table_is_renewed(monkeypatch):
+    monkeypatch.setattr(grammar, "WORD_TABLE", 3)
+    library, coder = Tokenizer.from_file(WORDS), grammar.WordTokenizer(WORDS)
+    for text in ["one two three four five", "five six", "one \x01two\x7f", "é one", ""]:
+        assert coder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_in_id_order(documents, corpus, nothing):
     library, start, want = Tokenizer.from_file(WORDS), 0, []
     for i, t, _ in sorted(corpus, key=lambda r: (r[0], r[1] or "")):
