@@ -145,6 +145,22 @@ def test_links_inside_large_regions_are_complete(spark, leaf, pivots, group, mon
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("leaf", [256, 16])
+def test_components_get_forests_not_all_links(spark, leaf, monkeypatch):
+    rng, rows = np.random.default_rng(4), []
+    for family in range(2):
+        for _ in range(60):
+            own = [f"q{family}_{k}" for k in range(160)]
+            own[rng.integers(0, 160)] = f"x{rng.integers(0, 40)}"
+            rows.append((len(rows), " ".join(own)))
+    edges, plain = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda links: edges.append(links.distinct().count()) or plain(links))
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), leaf=leaf).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == brute_links(rows)
+    assert {r.doc_id: r.component_id for r in got} == {i: 60 * (i // 60) for i in range(120)}
+    assert max(edges) < 1500 < sum(r.n_links for r in got) / 2      # links grow with the square of a family
+
+
 def test_one_of_each_keeps_the_smallest(documents, corpus):
     want = {i for i, _, c in brute_components([(i, t) for i, t, _ in corpus]) if i == c}
     assert {r.doc_id for r in jaccard_join.one_of_each(documents).collect()} == want
