@@ -75,3 +75,21 @@ def test_large_groups_against_brute_force(spark):
                     changed = True
     assert _groups(spark, {i: " ".join(w) for i, w in texts.items()}) == story
     assert 1 < len(set(story.values())) < 150
+
+
+def test_shingles_stay_where_the_texts_are(spark, monkeypatch):
+    """Shuffled are the few pivots of each set and the sets of candidates, never every shingle."""
+    import sift.llm.jaccard_join as join
+    regions, members = [], join.JaccardJoin._members
+    monkeypatch.setattr(join.JaccardJoin, "_members", lambda self, rows, *rest: regions.append(rows) or members(self, rows, *rest))
+    texts = {i: " ".join(_words(f"t{i}x", 104)) for i in range(20)} | {50: "T3x0, " + " ".join(_words("t3x", 104)[1:]) + "!"}
+    got = _groups(spark, texts)
+    assert got == {i: i for i in range(20)} | {50: 3}
+    assert regions[0].agg(F.max(F.size("first"))).first()[0] == 21       # of 100
+
+
+def test_wordless_texts_and_one_id_on_two_texts(spark):
+    a, b = " ".join(_words("a", 30)), " ".join(_words("b", 30))
+    df = spark.createDataFrame([(1, "..."), (2, "!!"), (3, "..."), (None, a), (5, a), (5, b), (9, b + " tail")], "id long, text string")
+    got = {(r.id, r.story_id) for r in stories.story_groups(df, "id", "text").collect()}
+    assert got == {(1, 1), (2, 2), (3, 1), (None, 5), (5, 5), (9, 5)}
