@@ -161,6 +161,20 @@ def test_components_get_forests_not_all_links(spark, leaf, monkeypatch):
     assert max(edges) < 1500 < sum(r.n_links for r in got) / 2      # links grow with the square of a family
 
 
+def test_overlapping_regions_of_near_copies_take_few_pairs(spark, monkeypatch):
+    rng, rows = np.random.default_rng(6), []
+    for _ in range(150):
+        own = [f"q{k}" for k in range(120)]
+        own[rng.integers(0, 120)] = f"x{rng.integers(0, 40)}"
+        rows.append((len(rows), " ".join(own)))
+    taken, plain = [], jaccard_join.JaccardJoin._distances
+    monkeypatch.setattr(jaccard_join.JaccardJoin, "_distances", lambda self, pairs, *rest: taken.append(pairs.count()) or plain(self, pairs, *rest))
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), leaf=32).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == brute_links(rows)
+    assert {r.component_id for r in got} == {0}
+    assert sum(taken) < 6 * len(rows)       # each of some 20 regions has nearly all of them
+
+
 def test_one_of_each_keeps_the_smallest(documents, corpus):
     want = {i for i, _, c in brute_components([(i, t) for i, t, _ in corpus]) if i == c}
     assert {r.doc_id for r in jaccard_join.one_of_each(documents).collect()} == want
