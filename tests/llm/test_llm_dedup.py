@@ -2,9 +2,11 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sift.llm import exact_dedup, jaccard_join, suffix_dedup
+from sift.llm.bitmap import BITS
 from sift.llm.components import components
 from sift.llm.suffix import Suffixes, suffix_sort
 
@@ -175,6 +177,34 @@ def test_overlapping_regions_of_near_copies_take_few_pairs(spark, monkeypatch):
     assert sum(taken) < 6 * len(rows)       # each of some 20 regions has nearly all of them
 
 
+def test_sets_travel_as_texts_where_those_are_shorter():
+    class Every:
+        value = np.full(1 << (BITS - 6), -1, np.int64).view(np.uint64)
+
+    rng = np.random.default_rng(8)
+    own = [f"q{k}" for k in rng.integers(0, 300, 200)]
+    texts = [" ".join(own), " ".join(["x", *own[1:]]), "same same " * 400, "One two", None]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(5), pa.int64()), "text": texts})
+    whole, short = (pa.Table.from_batches(list(jaccard_join._WholeSets(Every, s)(iter([batch])))).slice(0, 4) for s in (False, True))
+    assert whole.column("words").null_count == 4 and short.column("words").to_pylist() == [*(t.encode() for t in texts[:2]), None, b"One two"]
+    assert [len(s) for s in short.column("shingles").to_pylist()] == [0, 0, 1, 0]
+    assert short.nbytes < 0.7 * whole.nbytes
+    nodes = whole.column("node").to_pylist()
+    pairs = pa.table({"a": [nodes[0], nodes[0], nodes[2]], "b": [nodes[1], nodes[2], nodes[3]]})
+    far = [jaccard_join._block_distances(pairs, sets, 0.2) for sets in (whole, short)]
+    assert far[0].equals(far[1]) and 0 < far[0].column("distance")[0].as_py() < 0.2
+
+
+def test_rows_told_twice_share_no_pivot_with_themselves(spark, documents, corpus, monkeypatch):
+    rows = [(i, t) for i, t, _ in corpus]
+    made, plain = defaultdict(list), jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name: made[name].append(kept := plain(df, name)) or kept)
+    got = jaccard_join.jaccard_join(documents.unionByName(documents)).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == brute_links(rows + rows)
+    (shared,), (members,) = made["shared-pivots"], made["region-members"]
+    assert members.groupBy("pivot").count().where("count > 1").count() == shared.count() == members.select("pivot").distinct().count() > 0
+
+
 def test_one_of_each_keeps_the_smallest(documents, corpus):
     want = {i for i, _, c in brute_components([(i, t) for i, t, _ in corpus]) if i == c}
     assert {r.doc_id for r in jaccard_join.one_of_each(documents).collect()} == want
