@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex
 from tokenizers.pre_tokenizers import Split
 
-from sift.llm.arrow import blocks, once
+from sift.llm.arrow import blocks, once, single
 
 #: Entries in a worker's table of encoded words before a new one is started (memory bound, not a limit on input).
 WORD_TABLE = 1 << 17
@@ -61,7 +61,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 @once
-def _runs(pattern: str) -> tuple[str, ...]:
+def char_runs(pattern: str) -> tuple[str, ...]:
     """The runs of code points that match, by the tokenizers library's own regular expressions (its Unicode version)."""
     cut = Split(Regex(pattern + "+"), "removed", invert=True)
     # the library keeps offsets of every character, so it is asked a slice at a time
@@ -71,7 +71,7 @@ def _runs(pattern: str) -> tuple[str, ...]:
 
 def char_class(pattern: str, limit: int = 0x110000) -> str:
     """The inside of a character class with the code points below ``limit`` that have a Unicode property."""
-    ends = ((ord(run[0]), min(ord(run[-1]), limit - 1)) for run in _runs(pattern))
+    ends = ((ord(run[0]), min(ord(run[-1]), limit - 1)) for run in char_runs(pattern))
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ends if a < limit)
 
 
@@ -252,9 +252,9 @@ class _WordTable(dict):
         return ids
 
 
-@once
+@single
 def codec(path: str) -> ByteLevelCodec:
-    """One compiled automaton per worker process and file."""
+    """One compiled automaton per worker process, as long as its tasks encode."""
     return ByteLevelCodec(path)
 
 
@@ -266,7 +266,7 @@ class RoundTrip:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(self.path)
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, coder=coder):
             ids = [coder.encode(t.decode()) for t in texts]
             decoded = [coder.decode(i) for i in ids]
             ends = np.cumsum([0] + [len(i) for i in ids], dtype=np.int64).astype(np.int32)

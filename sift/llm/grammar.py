@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from sift.llm.arrow import blocks, once
+from sift.llm.arrow import blocks, once, single
 from sift.llm.bpe import byte_alphabet, char_class
 from sift.llm.scratch import stage
 
@@ -143,7 +143,7 @@ class WordTokenizer:
         return self.library.get_vocab_size()
 
 
-@once
+@single
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
@@ -307,7 +307,7 @@ class Writer:
         ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []
         held = 0
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, coder=coder):
             encoded = coder.encode([t.decode() for t in texts])
             for doc_id, one in zip(batch.column(0).to_pylist(), encoded):
                 ids.append(np.concatenate([one, end]))

@@ -1,11 +1,14 @@
+import gc
 import math
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -70,6 +73,15 @@ def test_round_trip_over_documents(documents, corpus, nothing):
     assert bpe.encode_decode(nothing, BYTES).count() == 0
 
 
+def test_workers_let_go_of_a_coder_that_a_task_does_not_use():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})
+    held = weakref.ref(bpe.codec(BYTES))
+    assert [b.num_rows for b in bpe.RoundTrip(BYTES)(iter([batch]))] == [1] and held() is bpe.codec(BYTES)
+    assert [b.num_rows for b in quality.Judge(quality.RepeatLimits())(iter([batch]))] == [1]
+    gc.collect()
+    assert held() is None
+
+
 def test_word_tokenizer_encodes_as_the_library():
     library, coder = Tokenizer.from_file(WORDS), grammar.WordTokenizer(WORDS)
     texts = list(odd_texts()) + ["a" + chr(c) + "b" for c in range(1, 0x3000)]
