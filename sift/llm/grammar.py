@@ -35,8 +35,8 @@ import re
 import struct
 import unicodedata
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import groupby
 
 import numpy as np
@@ -48,7 +48,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from sift.llm.arrow import blocks, once, single
-from sift.llm.bpe import byte_alphabet, char_class
+from sift.llm.bpe import byte_alphabet, char_runs
 from sift.llm.scratch import stage
 
 END_ID = 2
@@ -59,6 +59,10 @@ MAGIC = b"RPR1"
 #: Entries of a worker's word table before a new one is started (memory bound).
 WORD_TABLE = 1 << 18
 
+#: Kinds of characters, contractions with one letter and with two.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_ONE, _TWO = np.array([ord(c) for c in "stmd"], np.uint32), [tuple(map(ord, pair)) for pair in ("re", "ve", "ll")]
+
 FILE = "part int, shard int, doc_ids array<long>, n_ids long, grammar binary"
 
 
@@ -70,8 +74,8 @@ def _limit(text: str) -> int:
 class _Words(dict):
     """Each word's ids as bytes; ``old`` is the table that was full before, from which words still in use are taken over."""
 
-    def __init__(self, model, letters: dict, old: dict):
-        self.model, self.letters, self.old = model, letters, old
+    def __init__(self, tokenize: Callable, packed: list[bytes], letters: dict, old: dict):
+        self.tokenize, self.packed, self.letters, self.old = tokenize, packed, letters, old
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
@@ -79,7 +83,8 @@ class _Words(dict):
             # a word is normalised and cut already: only the library's model is left to apply
             # (printable ASCII stands for itself in the byte alphabet)
             letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
+            packed = self.packed
+            ids = b"".join([packed[token.id] for token in self.tokenize(letters)])
         self[word] = ids
         return ids
 
@@ -101,13 +106,19 @@ class WordTokenizer:
         self.library.no_padding()
         self.letters = {byte: letter for letter, byte in byte_alphabet().items()}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = _Words(self.library.model, self.letters, {})
+        packed = [struct.pack("=I", i) for i in range(self.size)]
+        self.new_words = partial(_Words, self.library.model.tokenize, packed, self.letters)
+        self.words = self.new_words({})
 
     @staticmethod
     @once
-    def _pattern(limit: int) -> re.Pattern:
-        letter, digit, space = (char_class(p, limit) for p in (r"\p{L}", r"\p{N}", r"\s"))
-        return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+")
+    def _kinds() -> np.ndarray:
+        """Each code point's kind, by the library's own regular expressions."""
+        kinds = np.full(0x110000, _OTHER, np.uint8)
+        for kind, pattern in ((_SPACE, r"\s"), (_DIGIT, r"\p{N}"), (_LETTER, r"\p{L}")):
+            for run in char_runs(pattern):
+                kinds[ord(run[0]):ord(run[-1]) + 1] = kind
+        return kinds
 
     @staticmethod
     @once
@@ -117,26 +128,60 @@ class WordTokenizer:
         spans = (list(run) for unknown, run in runs if unknown)
         return re.compile("[" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in spans) + "]")
 
-    def _cut(self, text: str) -> list[str] | None:
+    def _normal(self, text: str) -> str | None:
         if any(s in text for s in self.special):
             return None
         if text.isascii():
-            return self._pattern(0x80).findall(text.lower())
+            return text.lower()
         # the library lower-cases character by character, so a final sigma is an ordinary one
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if self._unknown(_limit(text)).search(text) or not unicodedata.is_normalized("NFC", low):
             return None
-        return self._pattern(_limit(low)).findall(low)
+        return low
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """The words of all texts, and where each text's words begin (and the last one's end).
+
+        Words are contractions, runs of letters, single digits and runs of other
+        characters, as the file's pre-tokenizer takes them from left to right.
+        """
+        data = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+        kind = self._kinds()[data]
+        starts = np.ones(len(data), bool)
+        starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        kept = kind != _SPACE
+        starts &= kept
+        # an apostrophe that is a run by itself takes the letters of a contraction; what letters follow are a word
+        quote = np.flatnonzero(data[:-1] == ord("'"))
+        quote = quote[starts[quote]]
+        first, second = data[quote + 1], data[np.minimum(quote + 2, len(data) - 1)]
+        takes = np.isin(first, _ONE).astype(np.int64)
+        for a, b in _TWO:
+            takes[(first == a) & (second == b) & (quote + 2 < len(data))] = 2
+        quote, takes = quote[takes > 0], takes[takes > 0]
+        starts[quote + 1] = False
+        after = quote + takes + 1
+        after = after[after < len(data)]
+        starts[after[kind[after] == _LETTER]] = True
+        # each word gets a space before it
+        kept = np.flatnonzero(kept)
+        place = np.cumsum(starts[kept].view(np.uint8) + np.uint8(1), dtype=np.int64)
+        spaced = np.full(int(place[-1]) if len(place) else 0, 0x20, np.uint32)
+        spaced[place - 1] = data[kept]
+        ends = np.cumsum([0] + [len(t) + 1 for t in texts])
+        bounds = np.searchsorted(np.flatnonzero(starts), ends)
+        return spaced.tobytes().decode("utf-32-le").split(" ")[1:], bounds.tolist()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._cut(t) for t in texts]
+        normal = [self._normal(t) for t in texts]
+        words, bounds = self._cut([t for t in normal if t is not None])
         if len(self.words) > WORD_TABLE:
             self.words.old = {}
-            self.words = _Words(self.library.model, self.letters, self.words)
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.uint32) if words is not None
+            self.words = self.new_words(self.words)
+        get, spans = self.words.__getitem__, zip(bounds[:-1], bounds[1:])
+        return [np.frombuffer(b"".join(map(get, words[slice(*next(spans))])), np.uint32) if low is not None
                 else np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
-                for t, words in zip(texts, cut)]
+                for t, low in zip(texts, normal)]
 
     @property
     def size(self) -> int:
@@ -149,7 +194,9 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+    mixed = keys * np.uint64(0x9E3779B97F4A7C15)
+    mixed >>= np.uint64(64 - bits)
+    return mixed.astype(np.int32)
 
 
 def _frequent_pairs(keys: np.ndarray, least: int) -> np.ndarray:
@@ -189,25 +236,34 @@ def compress(ids: np.ndarray, starts: np.ndarray, n_terminals: int,
     first = n_terminals
     while True:
         places = np.flatnonzero(live)
-        keys = symbols[places].astype(np.uint64) << np.uint64(32)
+        keys = symbols[places].astype(np.uint64)
+        keys <<= np.uint64(32)
         keys |= symbols[after[places]]
         bits = min(20, max(8, len(places).bit_length()))
         bucket = _bucket(keys, bits)
         # counts by hash bucket are upper bounds: places in small buckets need no exact count, now or later
         full = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
-        live[places[~full]] = False
+        live[places] = full
+        full = np.flatnonzero(full)
         places, keys, bucket = places[full], keys[full], bucket[full]
         pairs = _compatible(_frequent_pairs(keys, least))
         if not len(pairs):
             break
-        # only keys in the buckets of taken pairs are looked up
-        taken = np.zeros(1 << bits, bool)
-        taken[_bucket(pairs, bits)] = True
-        near = np.flatnonzero(taken[bucket])
-        order = np.argsort(pairs)
-        place = np.minimum(np.searchsorted(pairs[order], keys[near]), len(pairs) - 1)
-        rule = order[place]
-        same = pairs[rule] == keys[near]
+        # a key is compared with the pair that its bucket names, and searched for only where a bucket has several
+        own = _bucket(pairs, bits)
+        named = np.full(1 << bits, -1, np.int32)
+        named[own] = np.arange(len(pairs))
+        rule = named[bucket]
+        near = np.flatnonzero(rule >= 0)
+        rule, wanted = rule[near], keys[near]
+        hidden = np.flatnonzero(named[own] != np.arange(len(pairs)))
+        if len(hidden):
+            several = np.zeros(1 << bits, bool)
+            several[own[hidden]] = True
+            again = np.flatnonzero(several[bucket[near]])
+            order = np.argsort(pairs)
+            rule[again] = order[np.minimum(np.searchsorted(pairs[order], wanted[again]), len(pairs) - 1)]
+        same = pairs[rule] == wanted
         at, rule = places[near[same]], rule[same]
         double = symbols[at] == symbols[after[at]]
         if double.any():

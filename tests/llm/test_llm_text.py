@@ -89,6 +89,29 @@ def test_word_tokenizer_encodes_as_the_library():
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_a_block_are_cut_in_a_few_steps_for_all_texts(monkeypatch):
+    rng = random.Random(9)
+    library, coder = Tokenizer.from_file(WORDS), grammar.WordTokenizer(WORDS)
+    alphabet = ["'", "'", "'s", "'RE", "'ll", "'v", "ve", "s", "T", "l", "é", "ſ", "7", "٣", ".", "-", " ", "\n", "\u00a0", "\u2003", "\x1c", "\x85", "漢", "𝒜", "e\u0301"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(3000)] + ["'", "'s", "a'", "'r", "x'l", "", " "]
+    calls, cut = [], coder._cut
+    monkeypatch.setattr(coder, "_cut", lambda *args: calls.append(1) or cut(*args))
+    for text, ids in zip(texts, coder.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert len(calls) == 1
+    assert [ids.tolist() for ids in coder.encode(["", " "])] == [[], []] and coder.encode([]) == []
+
+
+def test_lookup_of_pairs_that_share_a_bucket(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids, starts = rng.integers(0, 12, 4000).astype(np.uint32), np.array([0, 1000, 1000, 4000])
+    plain = grammar.pack(ids, starts, 12)
+    monkeypatch.setattr(grammar, "_bucket", lambda keys, bits: (keys % np.uint64(7)).astype(np.int32))
+    shared = grammar.Grammar(grammar.pack(ids, starts, 12))
+    assert shared.expand(shared.symbols).tolist() == ids.tolist()
+    assert len(shared.rules) == len(grammar.Grammar(plain).rules)
+
+
 def test_grammar_decodes_any_stretch():
     rng = random.Random(2)
     for _ in range(40):
