@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from sift.llm import exact_dedup, jaccard_join, suffix_dedup
 from sift.llm.bitmap import BITS
 from sift.llm.components import components
@@ -195,20 +196,19 @@ def test_sets_travel_as_texts_where_those_are_shorter():
     assert far[0].equals(far[1]) and 0 < far[0].column("distance")[0].as_py() < 0.2
 
 
-def test_tasks_of_many_batches(spark, documents, corpus):
-    """A task's input comes in batches; each one's rows count, also after the first."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "4")
-    try:
-        got = jaccard_join.jaccard_join(documents, leaf=8, pivots=4).collect()
-    finally:
-        spark.conf.set(key, before)
+def test_tasks_of_many_batches(documents, corpus, short_batches):
+    got = jaccard_join.jaccard_join(documents, leaf=8, pivots=4).collect()
     rows = [(i, t) for i, t, _ in corpus]
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
     assert sorted((r.doc_id, r.n_links) for r in got) == brute_links(rows)
 
 
+def test_near_dedup_of_many_batches(spark, documents, corpus, short_batches):
+    kept = corpus_pipeline.drop_near_copies(spark, documents, "")
+    want = {i for i, _, c in brute_components([(i, t) for i, t, _ in corpus]) if i == c}
+    assert kept.columns == documents.columns and {r.doc_id for r in kept.collect()} == want
+
+
 def test_rows_told_twice_share_no_pivot_with_themselves(spark, documents, corpus, monkeypatch):
     rows = [(i, t) for i, t, _ in corpus]
     made, plain = defaultdict(list), jaccard_join.stage
