@@ -93,3 +93,13 @@ def test_wordless_texts_and_one_id_on_two_texts(spark):
     df = spark.createDataFrame([(1, "..."), (2, "!!"), (3, "..."), (None, a), (5, a), (5, b), (9, b + " tail")], "id long, text string")
     got = {(r.id, r.story_id) for r in stories.story_groups(df, "id", "text").collect()}
     assert got == {(1, 1), (2, 2), (3, 1), (None, 5), (5, 5), (9, 5)}
+
+
+def _near_copies(families, members):
+    """Members of a family differ in their last word; id % families is the family."""
+    return {i: " ".join(_words(f"f{i % families}x", 60) + [f"own{i}"]) for i in range(families * members)}
+
+
+def test_tasks_of_many_batches(spark, short_batches):
+    texts = _near_copies(7, 9) | {100 + i: " ".join(_words(f"alone{i}x", 30)) for i in range(20)}
+    assert _groups(spark, texts) == {i: i % 7 if i < 100 else i for i in texts}
