@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sift.operators import stories
 from sift.operators.components import components
+from sift.plans.story_plans import q_best_per_story
 
 
 def _groups(spark, texts):
@@ -103,3 +104,21 @@ def _near_copies(families, members):
 def test_tasks_of_many_batches(spark, short_batches):
     texts = _near_copies(7, 9) | {100 + i: " ".join(_words(f"alone{i}x", 30)) for i in range(20)}
     assert _groups(spark, texts) == {i: i % 7 if i < 100 else i for i in texts}
+
+
+def test_best_item_of_each_story_of_many_batches(spark, tmp_path, short_batches):
+    texts = _near_copies(5, 8)
+    tables = {"documents": ([(i, t, f"src{i % 4}") for i, t in texts.items()], "doc_id long, text string, source string"),
+              "benchmark": ([(0, texts[2]), (1, "a passage of its own")], "item_id long, text string"),
+              "pages": ([(i, f"https://site.example/{i}") for i in range(3)], "page_id long, url string"),
+              "supplier": ([(1, "one", 0, 1.0), (2, "two", 4, 1.0), (3, "three", 9, 1.0)], "s_suppkey long, s_name string, s_nationkey long, s_acctbal double")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def rank(i):    # primary: suppliers 1 and 3 (tier 1); then the weighted score, then the smallest id
+        r, q, n, a, s = (1 + x % 5 for x in (i, i // 5, i // 25, i // 125, i * 7 // 3))
+        return i % 4 in (1, 3), round((1.5 * r + q + 1.5 * n + a + s) / 6, 2), -i
+
+    best = {f: max((i for i in texts if i % 5 == f), key=rank) for f in range(5)}
+    got = q_best_per_story(spark, str(tmp_path)).collect()
+    assert {(r.story_id, r.doc_id, r.is_primary, r.n_items) for r in got} == {(-1 if f == 2 else f, i, rank(i)[0], 8) for f, i in best.items()}
